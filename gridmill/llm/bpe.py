@@ -11,9 +11,11 @@ columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import array
 import math
 import re
 import struct
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import slices
 
 #: Characters that the splitters of all Unicode versions treat alike; a text with others goes through the library whole.
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
+#: Bytes of text in a chunk: longer chunks repeat fewer words, and take more memory.
+CHUNK_BYTES = 12 << 20
 _odd = re.compile(f"[^{ALIKE}]")
 _cache: dict = {}
 
@@ -43,16 +47,28 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-class Splitter:
-    """Texts to words as the tokenizer's own splitter cuts them, its special tokens being words of their own."""
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class WordTokenizer:
+    """The tokenizer in two steps: texts to words as its own splitter cuts them, and single words to ids.
+
+    Special tokens in a text are words of their own. A word is encoded without being split again.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library = library(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(split_pattern()).findall
+        self.split = self.library.pre_tokenizer.pre_tokenize_str
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.library.encode_special_tokens = True
 
     def words(self, text: str) -> list[str]:
         if self.at_special and self.at_special.search(text):
@@ -61,24 +77,17 @@ class Splitter:
 
     def plain(self, text: str) -> list[str]:
         if _odd.search(text):
-            return [text[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            return [text[i:j] for _, (i, j) in self.split(text)]
         return self.find(text)
 
-
-class WordEncoder:
-    """Single words, as the splitter gives them, to ids."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.library.encode_special_tokens = True
-
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
-        return [[self.special[w]] if w in self.special else x for w, x in zip(words, ids, strict=True)]
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as unsigned 32-bit integers."""
+        out = []
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out.append(array.array("I", [self.special[w]] if w in self.special else e.ids).tobytes())
+        return out
 
 
 def _once(kind, path: str):
@@ -105,35 +114,60 @@ _ROW = pa.schema([("dest", pa.int64()), ("chunk", pa.int64()), ("part", pa.int32
 _ROW_SQL = "dest long, chunk long, part int, blob binary"
 
 
+def _pack_codes(codes: np.ndarray) -> list[np.ndarray]:
+    """Numbers, small ones being frequent, to bytes that compress well: one byte, two more from 240 on, four more where these don't do."""
+    high, huge = (codes >= 240) & (codes < 15 << 16), codes >= 15 << 16
+    low = np.where(high, 240 + (codes >> np.uint32(16)), codes)
+    low[huge] = 255
+    return [low.astype(np.uint8), codes[high].astype(np.uint16), codes[huge]]
+
+
+def _unpack_codes(low: np.ndarray, rest: np.ndarray, huge: np.ndarray) -> np.ndarray:
+    out = low.astype(np.uint32)
+    high = (low >= 240) & (low < 255)
+    out[high] = ((out[high] - 240) << np.uint32(16)) | rest
+    out[low == 255] = huge
+    return out
+
+
 def _chunks(path: str, parts: int):
-    """Documents to one row for each chunk (part -1) and one for each part that its distinct words fall in."""
+    """Documents to one row for each chunk (part -1) and one for each part that its distinct words fall in.
+
+    The words' codes go by falling frequency, so they pack well; the part of each goes along, from which its place in the parts' lists follows.
+    """
 
     def run(batches):
         import pandas as pd
 
-        splitter, count, first = _once(Splitter, path), 0, TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text"):
-            chunk, count = first + count, count + 1
-            split = [splitter.words(t or "") for t in batch.column(1).to_pylist()]
-            n_words = np.fromiter(map(len, split), np.int64, len(split))
-            found = pa.chunked_array([pa.array([w for ws in split for w in ws], pa.string())]).dictionary_encode().combine_chunks()
-            found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-            words, codes = found.dictionary, found.indices.to_numpy()
-            values = np.array(words.to_pylist() or [""], object)[: len(words)]
+        tokenizer, count, first = _once(WordTokenizer, path), 0, TaskContext.get().partitionId() << 32
+
+        def rows(chunk, keys, n_words, codes, words):
+            codes = np.frombuffer(codes, np.uint32)
+            freq = np.bincount(codes, minlength=len(words))
+            by_rank = np.argsort(-freq, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+            values = np.array([*words, ""], object)[:-1][by_rank]
             part = (pd.util.hash_array(values) % np.uint64(parts)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            keys = batch.column(0)
-            head = [keys.is_valid().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)]
-            rows = [(-1 - chunk, chunk, -1, _pack(*head, n_words, place[codes] if len(codes) else place))]
-            part = part[order]
-            raw = [w.encode() for w in values[order]]
-            edges = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
-            for i, j in zip(edges, [*edges[1:], len(part)], strict=True) if len(part) else []:
-                own = raw[i:j]
-                rows.append((int(part[i]), chunk, int(part[i]), _pack(np.fromiter(map(len, own), np.uint32, j - i), np.frombuffer(b"".join(own), np.uint8))))
-            yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=True)) for r in rows], _ROW)
+            head = [np.array([k is not None for k in keys], bool), np.array([k or 0 for k in keys], np.int64), np.array(n_words, np.int64)]
+            yield -1 - chunk, chunk, -1, _pack(*head, *_pack_codes(rank[codes]), part.astype(np.uint32))
+            part, values = part[order], values[order]
+            edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for i, j in zip(edges, [*edges[1:], len(part)], strict=True):
+                own = [w.encode() for w in values[i:j]]
+                yield int(part[i]), chunk, int(part[i]), _pack(np.fromiter(map(len, own), np.uint32, j - i), np.frombuffer(b"".join(own), np.uint8))
+
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            words: defaultdict = defaultdict()
+            words.default_factory = words.__len__
+            codes, n_words = array.array("I"), []
+            for text in batch.column(1):
+                split = tokenizer.words(text.as_py() or "")
+                codes.extend(map(words.__getitem__, split))
+                n_words.append(len(split))
+            yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=True)) for r in rows(first + count, batch.column(0).to_pylist(), n_words, codes, words)], _ROW)
+            count += 1
 
     return run
 
@@ -150,7 +184,7 @@ def _encode_part(path: str):
             ends, data = np.cumsum(lengths), data.tobytes()
             lists.append([data[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)])
         distinct = list(dict.fromkeys(w for ws in lists for w in ws))
-        ids = dict(zip(distinct, (np.array(x, np.uint32).tobytes() for x in _once(WordEncoder, path)([w.decode() for w in distinct])), strict=True))
+        ids = dict(zip(distinct, _once(WordTokenizer, path).ids([w.decode() for w in distinct]), strict=True))
         blobs = []
         for ws in lists:
             got = [ids[w] for w in ws]
@@ -163,24 +197,31 @@ def _encode_part(path: str):
 def _join_back(table: pa.Table) -> pa.Table:
     """One chunk with the ids of its distinct words: ids of each document, by position."""
     rows = sorted(table.select(["part", "blob"]).to_pylist(), key=lambda r: r["part"])
-    valid, keys, n_words, codes = _unpack(rows[0]["blob"], bool, np.int64, np.int64, np.uint32)
+    valid, keys, n_words, low, rest, huge, part = _unpack(rows[0]["blob"], bool, np.int64, np.int64, np.uint8, np.uint16, np.uint32, np.uint32)
+    place = np.empty(len(part), np.int64)
+    place[np.argsort(part, kind="stable")] = np.arange(len(part))
+    codes = place[_unpack_codes(low, rest, huge)] if len(low) else np.zeros(0, np.int64)
     counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for r in rows[1:]:
         a, b = _unpack(r["blob"], np.uint32, np.uint32)
         counts.append(a)
         ids.append(b)
     counts, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
-    starts = np.cumsum(counts) - counts
-    each = counts[codes]
-    ends = np.cumsum(each)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + each, each)
-    flat = ids[at] if len(at) else ids[:0]
-    ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_words)))]
+    starts, flat, ends, total = np.cumsum(counts) - counts, [ids[:0]], [np.zeros(1, np.int64)], 0
+    for i in range(0, len(codes), 1 << 18):  # in pieces: the positions take eight bytes for each id
+        own = codes[i : i + (1 << 18)]
+        each = counts[own]
+        stops = np.cumsum(each)
+        flat.append(ids[np.arange(stops[-1]) + np.repeat(starts[own] - stops + each, each)])
+        ends.append(stops + total)
+        total += int(stops[-1])
+    flat, ends = np.concatenate(flat), np.concatenate(ends)
+    ends = ends[np.concatenate(([0], np.cumsum(n_words)))]
     out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
     return pa.table({"key": pa.array(keys, mask=~valid), "n_tokens": np.diff(ends).astype(np.int64), "ids": out.cast(pa.binary())})
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, chunk_bytes: int = SLICE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, part_bytes: int = 4 << 20) -> DataFrame:
     """Encode every text; returns ``key``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers).
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, on every node. ``key`` is an integer.
@@ -188,7 +229,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     path = tokenizer or default_tokenizer()
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, math.ceil(size / chunk_bytes))
+    parts = max(8, math.ceil(size / part_bytes))
     return (
         read.mapInArrow(_chunks(path, parts), _ROW_SQL)
         .groupBy("dest").applyInArrow(_encode_part(path), _ROW_SQL)
@@ -201,13 +242,11 @@ class Pieces:
     """The id-to-piece table: as large as the vocabulary, whatever the corpus."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
+        own = library(path)
         byte_of = {c: b for b, c in _byte_letters().items()}
-        special = {t.content for t in library.get_added_tokens_decoder().values()}
-        pieces: list[bytes] = [b""] * library.get_vocab_size()
-        for piece, i in library.get_vocab().items():
+        special = {t.content for t in own.get_added_tokens_decoder().values()}
+        pieces: list[bytes] = [b""] * own.get_vocab_size()
+        for piece, i in own.get_vocab().items():
             known = all(c in byte_of for c in piece)
             pieces[i] = bytes(byte_of[c] for c in piece) if known and piece not in special else piece.encode()
         self.table = pa.array(pieces, pa.large_binary())

@@ -19,6 +19,7 @@ import base64
 import hashlib
 import json
 import math
+import re
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Splitter, _odd, _once, default_tokenizer, split_pattern
+from .bpe import _byte_letters, _odd, _once, default_tokenizer, library, split_pattern
 from .common import scratch_path, slices
 
 MAGIC = b"GMTOK1\0\0"
@@ -46,18 +47,17 @@ class FastEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.splitter = Splitter(path)
-        model = json.loads(Path(path).read_text())["model"]["vocab"]
-        from .bpe import _byte_letters
-
+        self.library = library(path)
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.whole = re.compile("|".join([f"(?:{_odd.pattern})", *map(re.escape, special)]))
         byte_of = {c: b for b, c in _byte_letters().items()}
-        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model.items() if piece not in self.splitter.special}
+        vocabulary = json.loads(Path(path).read_text())["model"]["vocab"]
+        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
         self.quick = tiktoken.Encoding("own", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        at_special = self.splitter.at_special
-        if _odd.search(text) or (at_special and at_special.search(text)):
-            return np.array(self.splitter.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.whole.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.quick.encode_ordinary(text), np.uint32)
 
 
