@@ -16,6 +16,7 @@ import math
 import re
 import struct
 from collections import defaultdict
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import slices
 #: Characters that the splitters of all Unicode versions treat alike; a text with others goes through the library whole.
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
 #: Bytes of text in a chunk: longer chunks repeat fewer words, and take more memory.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _odd = re.compile(f"[^{ALIKE}]")
 _cache: dict = {}
 
@@ -173,11 +174,11 @@ def _chunks(path: str, parts: int):
 
 
 def _encode_part(path: str):
-    """The rows of one part of the distinct-word table: each distinct word is encoded once. Chunk rows pass through."""
+    """The rows of one part of the distinct-word table: each distinct word is encoded once. The ids go to their chunks."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() < 0:
-            return table
+            return table.slice(0, 0)
         lists = []
         for blob in table.column("blob").to_pylist():
             lengths, data = _unpack(blob, np.uint32, np.uint8)
@@ -189,53 +190,67 @@ def _encode_part(path: str):
         for ws in lists:
             got = [ids[w] for w in ws]
             blobs.append(_pack(np.fromiter(map(len, got), np.uint32, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)))
-        return table.set_column(3, "blob", pa.array(blobs, pa.binary()))
+        chunks = table.column("chunk").to_numpy()
+        return pa.table([pa.array(-1 - chunks), pa.array(chunks), table.column("part"), pa.array(blobs, pa.binary())], schema=_ROW)
 
     return run
 
 
-def _join_back(table: pa.Table) -> pa.Table:
-    """One chunk with the ids of its distinct words: ids of each document, by position."""
-    rows = sorted(table.select(["part", "blob"]).to_pylist(), key=lambda r: r["part"])
-    valid, keys, n_words, low, rest, huge, part = _unpack(rows[0]["blob"], bool, np.int64, np.int64, np.uint8, np.uint16, np.uint32, np.uint32)
-    place = np.empty(len(part), np.int64)
-    place[np.argsort(part, kind="stable")] = np.arange(len(part))
-    codes = place[_unpack_codes(low, rest, huge)] if len(low) else np.zeros(0, np.int64)
-    counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    for r in rows[1:]:
-        a, b = _unpack(r["blob"], np.uint32, np.uint32)
-        counts.append(a)
-        ids.append(b)
-    counts, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
-    starts, flat, ends, total = np.cumsum(counts) - counts, [ids[:0]], [np.zeros(1, np.int64)], 0
-    for i in range(0, len(codes), 1 << 18):  # in pieces: the positions take eight bytes for each id
-        own = codes[i : i + (1 << 18)]
-        each = counts[own]
-        stops = np.cumsum(each)
-        flat.append(ids[np.arange(stops[-1]) + np.repeat(starts[own] - stops + each, each)])
-        ends.append(stops + total)
-        total += int(stops[-1])
-    flat, ends = np.concatenate(flat), np.concatenate(ends)
-    ends = ends[np.concatenate(([0], np.cumsum(n_words)))]
-    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
-    return pa.table({"key": pa.array(keys, mask=~valid), "n_tokens": np.diff(ends).astype(np.int64), "ids": out.cast(pa.binary())})
-
-
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, part_bytes: int = 4 << 20) -> DataFrame:
+def _join_back(finish, empty: pa.Schema):
+    """The ids of a chunk's distinct words and the chunk: ids of each document, by position, then ``finish``."""
+
+    def run(ids_of_words: pa.Table, chunk: pa.Table) -> pa.Table:
+        if not chunk.num_rows or chunk.column("part")[0].as_py() >= 0:
+            return empty.empty_table()
+        valid, keys, n_words, low, rest, huge, part = _unpack(chunk.column("blob")[0].as_py(), bool, np.int64, np.int64, np.uint8, np.uint16, np.uint32, np.uint32)
+        place = np.empty(len(part), np.int64)
+        place[np.argsort(part, kind="stable")] = np.arange(len(part))
+        codes = place[_unpack_codes(low, rest, huge)] if len(low) else np.zeros(0, np.int64)
+        counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for r in sorted(ids_of_words.select(["part", "blob"]).to_pylist(), key=lambda r: r["part"]):
+            a, b = _unpack(r["blob"], np.uint32, np.uint32)
+            counts.append(a)
+            ids.append(b)
+        counts, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
+        starts, flat, ends, total = np.cumsum(counts) - counts, [ids[:0]], [np.zeros(1, np.int64)], 0
+        for i in range(0, len(codes), 1 << 18):  # in pieces: the positions take eight bytes for each id
+            own = codes[i : i + (1 << 18)]
+            each = counts[own]
+            stops = np.cumsum(each)
+            flat.append(ids[np.arange(stops[-1]) + np.repeat(starts[own] - stops + each, each)])
+            ends.append(stops + total)
+            total += int(stops[-1])
+        flat, ends = np.concatenate(flat), np.concatenate(ends)
+        ends = ends[np.concatenate(([0], np.cumsum(n_words)))]
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+        table = pa.table({"key": pa.array(keys, mask=~valid), "n_tokens": np.diff(ends).astype(np.int64), "ids": out.cast(pa.binary())})
+        return finish(table) if finish else table
+
+    return run
+
+
+_ENCODED = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, part_bytes: int = 4 << 20, finish=None, schema: pa.Schema = _ENCODED) -> DataFrame:
     """Encode every text; returns ``key``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers).
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, on every node. ``key`` is an integer.
+    ``finish`` may turn a chunk's table of key, n_tokens and ids into one of ``schema`` before it leaves the worker.
+
+    The shuffle of chunks and their words is read twice: by the parts for the words, and by the join for the chunks.
     """
     path = tokenizer or default_tokenizer()
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, math.ceil(size / part_bytes))
-    return (
-        read.mapInArrow(_chunks(path, parts), _ROW_SQL)
-        .groupBy("dest").applyInArrow(_encode_part(path), _ROW_SQL)
-        .groupBy("chunk").applyInArrow(_join_back, "key long, n_tokens long, ids binary")
-        .withColumnRenamed("key", key)
-    )
+    rows = read.mapInArrow(_chunks(path, max(8, math.ceil(size / part_bytes))), _ROW_SQL)
+    ids = rows.groupBy("dest").applyInArrow(_encode_part(path), _ROW_SQL)
+    fields = ", ".join(f"`{f.name}` {_SQL[f.type]}" for f in schema)
+    out = ids.groupBy("dest").cogroup(rows.groupBy("dest")).applyInArrow(_join_back(finish, schema), fields)
+    return out.withColumnRenamed("key", key)
+
+
+_SQL = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
 
 
 class Pieces:
@@ -265,14 +280,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _texts(pieces: Pieces, ids: list[bytes | None]) -> list[str]:
+    """The text of each array of ids: its pieces joined, bytes that are no UTF-8 replaced as the library does."""
+    raw = [x or b"" for x in ids]
+    data, ends = pieces.join(np.frombuffer(b"".join(raw), np.uint32))
+    at = ends[np.cumsum([0] + [len(x) // 4 for x in raw])]
+    return [data[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def _decode(path: str):
     def run(batches):
-        pieces = _once(Pieces, path)
         for batch in slices(batches, "ids"):
-            raw = [x or b"" for x in batch.column("ids").to_pylist()]
-            data, ends = pieces.join(np.frombuffer(b"".join(raw), np.uint32))
-            at = ends[np.cumsum([0] + [len(x) // 4 for x in raw])]
-            texts = [data[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
+            texts = _texts(_once(Pieces, path), batch.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -284,7 +303,23 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return encoded.mapInArrow(_decode(tokenizer or default_tokenizer()), f"{fields}, decoded string")
 
 
+_DIGESTS = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _digests(path: str):
+    """A chunk's ids decoded where they are, and digests of both."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for batch in slices(table.to_batches(), "ids"):
+            ids = batch.column("ids").to_pylist()
+            texts = _texts(_once(Pieces, path), ids)
+            out.append(pa.table([batch.column("key"), batch.column("n_tokens"), pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(t.encode()).hexdigest() for t in texts])], schema=_DIGESTS))
+        return pa.concat_tables(out) if out else _DIGESTS.empty_table()
+
+    return run
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text for every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), finish=_digests(default_tokenizer()), schema=_DIGESTS)

@@ -116,10 +116,12 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sample = read.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), F.substring("text", 1, DICTIONARY_CHARS).alias("text")).orderBy("h", "text").limit(DICTIONARY_DOCS)
+    n, size = read.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Picked by hash, so each task sends its share of the sample only.
+    picked = F.pmod(F.xxhash64("key", "text"), F.lit(max(1, n // DICTIONARY_DOCS))) == 0
+    sample = read.where((F.length("text") > 0) & picked).select("key", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(2 * DICTIONARY_DOCS)
     encoder = _once(FastEncoder, tokenizer)
-    dictionary = train_dictionary([encoder(r.text).tobytes() for r in sample.collect()])
+    dictionary = train_dictionary([encoder(r.text).tobytes() for r in sorted(sample.collect(), key=lambda r: (r.key is None, r.key, r.text))])
     _put(folder, "dictionary.json", json.dumps({"sha256": hashlib.sha256(dictionary).hexdigest(), "end_id": end_id, "zstd": base64.b64encode(dictionary).decode()}))
     ranged = read.repartitionByRange(max(1, math.ceil(size / task_bytes)), "key").sortWithinPartitions("key", "text")
     shards = ranged.mapInArrow(_write(tokenizer, end_id, folder, dictionary, shard_bytes), "file string, first_key long, n_docs long, n_tokens long")
