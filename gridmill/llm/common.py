@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step in a Python worker takes at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _own: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
