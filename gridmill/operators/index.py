@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geometry import Box, morton
 from .grid import Cells, Grid, Packed, assign, grid_for, packed_for
@@ -15,10 +17,12 @@ from .grid import Cells, Grid, Packed, assign, grid_for, packed_for
 class Index:
     path: str
     cells: Cells
+    #: The stored columns, as JSON: known even where no file is.
+    schema: str
 
     def data(self, spark: SparkSession, cell_ids: list[int] | None = None) -> DataFrame:
         """All copies of all shapes, or those of some cells; other cells' folders are not read."""
-        df = spark.read.parquet(f"{self.path}/data")
+        df = spark.read.schema(StructType.fromJson(json.loads(self.schema))).parquet(f"{self.path}/data")
         return df if cell_ids is None else df.where(F.col("cell_id").isin([-1, *cell_ids]))
 
     def home(self, spark: SparkSession) -> DataFrame:
@@ -36,17 +40,18 @@ def build(df: DataFrame, path: str, cells: int | Cells = 16, kind: str = "grid",
     out = out.repartition("cell_id", F.pmod(F.xxhash64(F.shiftright("_z", 16)), F.lit(8))).sortWithinPartitions("cell_id", "_z").drop("_z")
     out.write.option("maxRecordsPerFile", records_per_file).partitionBy("cell_id").parquet(f"{path}/data")
     kind = "grid:" + cells.text() if isinstance(cells, Grid) else "str"
-    cells.frame(df.sparkSession).withColumn("kind", F.lit(kind)).write.parquet(f"{path}/_cells")
-    return Index(path, cells)
+    schema = out.select([c for c in out.columns if c != "cell_id"] + ["cell_id"]).schema.json()
+    cells.frame(df.sparkSession).withColumns({"kind": F.lit(kind), "schema": F.lit(schema)}).write.parquet(f"{path}/_cells")
+    return Index(path, cells, schema)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     rows = spark.read.parquet(f"{path}/_cells").orderBy("cell_id").collect()
     if rows[0].kind.startswith("grid:"):
-        return Index(path, Grid.parse(rows[0].kind[5:]))
+        return Index(path, Grid.parse(rows[0].kind[5:]), rows[0].schema)
     xs = sorted({r.x for r in rows})
     edges = tuple(tuple(sorted({r.y for r in rows if r.x == x} | {max(r.y + r.height for r in rows if r.x == x)})) for x in xs)
-    return Index(path, Packed((*xs, max(r.x + r.width for r in rows)), edges))
+    return Index(path, Packed((*xs, max(r.x + r.width for r in rows)), edges), rows[0].schema)
 
 
 def describe(spark: SparkSession, index: Index) -> DataFrame:
