@@ -155,7 +155,7 @@ def _chunks(path: str, parts: int):
             yield -1 - chunk, chunk, -1, _pack(*head, *_pack_codes(rank[codes]), part.astype(np.uint32))
             part, values = part[order], values[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-            for i, j in zip(edges, [*edges[1:], len(part)], strict=True):
+            for i, j in zip(edges, [*edges[1:], len(part)][: len(edges)], strict=True):
                 own = [w.encode() for w in values[i:j]]
                 yield int(part[i]), chunk, int(part[i]), _pack(np.fromiter(map(len, own), np.uint32, j - i), np.frombuffer(b"".join(own), np.uint8))
 

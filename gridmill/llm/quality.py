@@ -43,10 +43,11 @@ def features(texts: list[bytes]):
     singles = _bucket(words)
     mapped, grams = _BYTE[data], {}
     for n in GRAMS:
-        h = mapped[: len(data) - n + 1] * f[4]
+        size = max(0, len(data) - n + 1)
+        h = mapped[:size] * f[4]
         for k in range(1, n):
             h *= f[5]
-            h += mapped[k : len(data) - n + 1 + k] * f[4]
+            h += mapped[k : k + size] * f[4]
         grams[n] = _bucket(h)
     at = word = 0
     for text, count in zip(texts, counts.tolist(), strict=True):
