@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = cut(read.mapInArrow(_signatures(width, rows, bands), "key long, n long, digest binary, sig binary, bands array<long>"), "signatures")
     full = signed.where("n > 0 and key is not null")
-    classes = full.groupBy("digest").agg(F.min("key").alias("rep"))
+    # Written first, so that the join has two plain shuffles, and Spark can split the one with many copies.
+    classes = cut(full.groupBy("digest").agg(F.min("key").alias("rep")), "digests")
     member = cut(signed.select("key", "n", "digest").join(classes, "digest", "left").select("key", "n", "rep"), "members")
     reps = full.join(member.where("key = rep").select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "digest"])
     reps = cut(reps.select(F.col("key").alias("id"), "sig", "bands"), "classes")
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     dealt = _dealt(sets, group.groupBy("g").agg(F.count("*").alias("n_members")))
     found = cut(connected_components(_links(dealt, "set", _by_set(percent))), "components")
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "key")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
 
 
