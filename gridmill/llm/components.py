@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every node sends its larger neighbours to its smallest one."""
+def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node sends its larger neighbours to its smallest one.
+
+    The smallest ones are written first, so that the join has two plain shuffles, and Spark can split a node with many edges.
+    """
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -32,8 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     mark = None
     while True:
-        new = cut(_small_star(_large_star(e)), "edges")
-        drop(e)
+        large, least = _large_star(e)
+        new = cut(_small_star(large), "edges")
+        drop(e, least)
         e, (was, mark) = new, (mark, new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
         if mark == was:
             break
