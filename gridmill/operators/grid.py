@@ -7,7 +7,6 @@ goes to cell -1. ``is_home`` marks the one copy in the cell of the box's own cor
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +32,15 @@ class Cells:
     def row(self, column: Column, y: Column) -> Column:
         raise NotImplementedError
 
+    def cell_at(self, x: Column, y: Column) -> Column:
+        """The id of the cell that holds a point; one before the first edges counts as on them."""
+        low, _ = _extent(self)
+        c = self.column(F.greatest(x, F.lit(low[0])))
+        return self.cell_id(c, self.row(c, F.greatest(y, F.lit(low[1]))))
+
+    def cell_id(self, column: Column, row: Column) -> Column:
+        raise NotImplementedError
+
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.bounds(), "cell_id long, x long, y long, width long, height long")
 
@@ -76,6 +84,9 @@ class Grid(Cells):
     def column(self, x):
         return div((x - self.x + 1) * self.cols - 1, self.width).cast("int")
 
+    def cell_id(self, column, row):
+        return column.cast("bigint") * self.rows + row
+
     def row(self, column, y):
         return div((y - self.y + 1) * self.rows - 1, self.height).cast("int")
 
@@ -123,9 +134,8 @@ class Packed(Cells):
         edges = F.element_at(F.array(*(F.array(*(F.lit(v) for v in e)) for e in self.y_edges)), column + 1)
         return F.size(F.filter(edges, lambda e: e <= y)) - 1
 
-    def cell_of(self, x: int, y: int) -> int:
-        c = bisect_right(self.x_edges, x) - 1
-        return self.first[c] + bisect_right(self.y_edges[c], y) - 1
+    def cell_id(self, column, row):
+        return F.element_at(F.array(*(F.lit(f).cast("bigint") for f in self.first)), column + 1) + row
 
 
 def assign(df: DataFrame, cells: Cells, box: Box | None = None) -> DataFrame:
@@ -141,11 +151,7 @@ def assign(df: DataFrame, cells: Cells, box: Box | None = None) -> DataFrame:
     rows = F.when(F.col("_inside"), F.sequence(cells.row(F.col("_col"), F.col("_y1")), cells.row(F.col("_col"), F.col("_y2")))).otherwise(F.array(F.lit(-1)))
     out = out.withColumn("_row", F.explode(rows))
     home = (F.col("_col") == cells.column(F.col("_home_x"))) & (F.col("_row") == cells.row(F.col("_col"), F.col("_y1")))
-    if isinstance(cells, Packed):
-        start = F.element_at(F.array(*(F.lit(f).cast("bigint") for f in cells.first)), F.col("_col") + 1)
-    else:
-        start = F.col("_col").cast("bigint") * cells.rows
-    out = out.withColumns({"cell_id": F.when(F.col("_inside"), start + F.col("_row")).otherwise(F.lit(-1).cast("bigint")), "is_home": ~F.col("_inside") | home})
+    out = out.withColumns({"cell_id": F.when(F.col("_inside"), cells.cell_id(F.col("_col"), F.col("_row"))).otherwise(F.lit(-1).cast("bigint")), "is_home": ~F.col("_inside") | home})
     return out.drop("_y1", "_y2", "_home_x", "_inside", "_col", "_row")
 
 
@@ -175,3 +181,23 @@ def packed_for(df: DataFrame, cells: int, box: Box | None = None, sample: int =
     step = max(1, r.n // sample)
     picked = df.select(box.x.alias("x"), box.y.alias("y")).where(F.pmod(F.xxhash64("x", "y", F.lit(seed)), F.lit(step)) == 0).limit(2 * sample).collect()
     return Packed.of([(p.x, p.y) for p in picked], m.x or 0, m.y or 0, max(1, m.width or 1), max(1, m.height or 1), cells)
+
+
+#: Rows of the larger side that a cell of a join's grid holds on average.
+ROWS_PER_CELL = 64
+
+
+def grid_for_join(left: DataFrame, right: DataFrame, left_box: Box | None = None, right_box: Box | None = None, rows_per_cell: int = ROWS_PER_CELL) -> Grid:
+    """A grid over both sides, fine enough for short lists in its cells and no finer than twice the mean box."""
+    got = []
+    for df, box in ((left, left_box or Box()), (right, right_box or Box())):
+        got.append(df.agg(F.count("*").alias("n"), F.min(box.x).alias("x"), F.min(box.y).alias("y"), F.max(box.x2).alias("x2"), F.max(box.y2).alias("y2"), F.avg(box.width).alias("w"), F.avg(box.height).alias("h")).first())
+    full = [r for r in got if r.n]
+    if not full:
+        return Grid(0, 0, 1, 1)
+    x, y = min(r.x for r in full), min(r.y for r in full)
+    width, height = max(1, max(r.x2 for r in full) - x), max(1, max(r.y2 for r in full) - y)
+    side = max(1.0, 2 * max(max(r.w, r.h) for r in full))
+    cells = max(1, max(r.n for r in full) // rows_per_cell)
+    shape = math.sqrt(cells * width / height)
+    return Grid(x, y, width, height, max(1, min(int(shape), int(width / side))), max(1, min(int(cells / max(1.0, shape)), int(height / side))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import Box, circle_box, circle_overlaps
+from .grid import Cells
 from .index import Index
 
 
@@ -25,30 +26,20 @@ def range_query(df: DataFrame, query: Box | tuple, box: Box | None = None, circl
     return out if exact is None else out.where(exact)
 
 
-def reference_point(cell: Box, a: Box, b: Box) -> Column:
+def in_cell(cells: Cells, cell_id: Column, a: Box, b: Box) -> Column:
     """Whether the lower corner of the common box lies in the cell: true in exactly one of the cells that both overlap."""
-    return cell.contains_point(F.greatest(a.x, b.x), F.greatest(a.y, b.y))
+    return cells.cell_at(F.greatest(a.x, b.x), F.greatest(a.y, b.y)) == cell_id
 
 
 def indexed_range_query(spark: SparkSession, index: Index, query: tuple[int, int, int, int], box: Box | None = None) -> DataFrame:
     """The same rows from an index: reads the cells that the query overlaps, and keeps each shape in one of its cells."""
     box, q = box or Box(), Box(*query)
-    ids = index.cells.overlapping(*query)
-    cells = F.broadcast(index.cells.frame(spark).select("cell_id", *(F.col(c).alias(f"_c{c}") for c in ("x", "y", "width", "height"))))  # a row for each cell
-    rows = index.data(spark, ids).where(box.overlaps(q)).join(cells, "cell_id", "left")
-    keep = F.when(F.col("cell_id") < 0, F.lit(True)).otherwise(_in_first_cell(index, box, q))
-    return rows.where(keep).select([c for c in rows.columns if c not in ("cell_id", "is_home", "_cx", "_cy", "_cwidth", "_cheight")])
+    rows = index.data(spark, index.cells.overlapping(*query)).where(box.overlaps(q))
+    keep = (F.col("cell_id") < 0) | in_cell(index.cells, F.col("cell_id"), box, q)
+    return rows.where(keep).drop("cell_id", "is_home")
 
 
-def _in_first_cell(index: Index, box: Box, q: Box) -> Column:
-    """The reference point, moved into the cells' extent where shape or query begin before it."""
-    bounds = index.cells.bounds()
-    x0, y0 = min(b[1] for b in bounds), min(b[2] for b in bounds)
-    cell = Box("_cx", "_cy", "_cwidth", "_cheight")
-    return cell.contains_point(F.greatest(box.x, q.x, F.lit(x0)), F.greatest(box.y, q.y, F.lit(y0)))
-
-
-def batch_range_query(df: DataFrame, queries: DataFrame, cells, box: Box | None = None) -> DataFrame:
+def batch_range_query(df: DataFrame, queries: DataFrame, cells: Cells | None = None, box: Box | None = None) -> DataFrame:
     """Many range queries at once: queries (query_id, qx, qy, qwidth, qheight) as one join over cells."""
     from .spatial_join import spatial_join
 

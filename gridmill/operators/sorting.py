@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import sort_columns
+from ..scratch import shared_path
 
 
 def key_sort(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
@@ -30,6 +34,30 @@ def total_order(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def numbered(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
+    """Rows in a global order, with their place from 1 in ``name``. Ranges are sorted and numbered by themselves; only their sizes meet.
+
+    The ranges are written to the shared folder once, so that sizes and rows come from the same ones.
+    """
+    def number(batches):
+        done = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(done + 1, done + 1 + batch.num_rows))], [*batch.schema.names, name])
+            done += batch.num_rows
+
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    path = shared_path(df.sparkSession, "numbered")
+    ranged.mapInArrow(number, StructType([*ranged.schema.fields, StructField(name, LongType())])).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before, total = [], 0
+    for p, n in sorted(map(tuple, rows.groupBy("_p").count().collect())):
+        before.append(F.struct(F.lit(p), F.lit(total).cast("bigint")))
+        total += n
+    if not before:
+        return rows.drop("_p")
+    return rows.withColumn(name, F.col(name) + F.element_at(F.map_from_entries(F.array(*before)), F.col("_p"))).drop("_p")
+
+
 def order_errors(df: DataFrame, key: str, position: str) -> DataFrame:
     """Rows, in the order of ``position``, whose key is below the one before.
 

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
-from .grid import Cells, assign
+from .grid import Cells, assign, grid_for_join
 from .index import Index
-from .selection import reference_point
+from .selection import in_cell
 
 #: Cell pairs that may be broadcast: a bound on the index tables, checked on the driver.
 MAX_PAIRS = 1_000_000
+#: Rows in a cell that one sweep takes on average.
+SWEEP_ROWS = 2000
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
@@ -23,27 +25,23 @@ def _box(side: str) -> Box:
     return Box(*(f"{side}_{c}" for c in ("x", "y", "width", "height")))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, cells: Cells, left_box: Box | None = None, right_box: Box | None = None) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, left_box: Box | None = None, right_box: Box | None = None) -> DataFrame:
     """Pairs of overlapping rows, columns named l_* and r_*: both sides replicated to cells, each pair kept in one cell only.
 
-    True duplicates in the inputs give pairs of their own. Shapes must lie within the cells' extent to meet.
+    Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. Shapes must
+    lie within the cells' extent to meet.
     """
-    a = _named(assign(_flat(left, left_box), cells), "l")
-    b = _named(assign(_flat(right, right_box), cells), "r")
-    bounds = F.broadcast(_cells(left.sparkSession, cells, "c"))  # a row for each cell
-    pairs = a.join(b, "cell_id").where(_box("l").overlaps(_box("r"))).join(bounds, F.col("cell_id") == F.col("c_cell_id"))
-    return pairs.where(reference_point(_box("c"), _box("l"), _box("r"))).drop("cell_id", "c_cell_id", "c_x", "c_y", "c_width", "c_height")
+    left, right = _flat(left, left_box), _flat(right, right_box)
+    cells = cells or grid_for_join(left, right)
+    a, b = _named(assign(left, cells), "l").where("cell_id >= 0"), _named(assign(right, cells), "r").where("cell_id >= 0")
+    pairs = a.join(b, "cell_id").where(_box("l").overlaps(_box("r")))
+    return pairs.where(in_cell(cells, F.col("cell_id"), _box("l"), _box("r"))).drop("cell_id")
 
 
 def _flat(df: DataFrame, box: Box | None) -> DataFrame:
     return df if box is None else df.withColumns(dict(zip(("x", "y", "width", "height"), (box.x, box.y, box.width, box.height), strict=True)))
 
 
-def _cells(spark: SparkSession, cells: Cells, side: str) -> DataFrame:
-    f = cells.frame(spark)
-    return f.select([F.col(c).alias(f"{side}_{c}") for c in f.columns])
-
-
 def cell_pairs(left: Cells, right: Cells) -> list[tuple[int, int]]:
     """Overlapping cells of two indexes, by a sweep over x."""
     a, b, out, active = sorted(left.bounds(), key=lambda c: c[1]), sorted(right.bounds(), key=lambda c: c[1]), [], []
@@ -58,19 +56,23 @@ def cell_pairs(left: Cells, right: Cells) -> list[tuple[int, int]]:
 
 
 def distributed_join(spark: SparkSession, left: Index, right: Index) -> DataFrame:
-    """Pairs of overlapping rows of two indexes: data meet through the table of overlapping cells, and are not replicated anew."""
+    """Pairs of overlapping rows of two indexes, met through the table of overlapping cells.
+
+    Within a pair of cells, rows meet in the cells of a fine grid, so that large cells are not searched row against row.
+    """
     pairs = cell_pairs(left.cells, right.cells)
     if len(pairs) > MAX_PAIRS:
         return spatial_join(left.home(spark), right.home(spark), left.cells)
-    table = spark.createDataFrame(pairs or [(-2, -2)], "l_cell_id long, r_cell_id long")
+    table = F.broadcast(spark.createDataFrame(pairs or [(-2, -2)], "l_cell_id long, r_cell_id long"))
+    fine = grid_for_join(left.data(spark), right.data(spark))
+    sides = {}
     for side, index in (("l", left), ("r", right)):
-        bounds = _cells(spark, index.cells, side).withColumnsRenamed({f"{side}_{c}": f"{side}c_{c}" for c in ("x", "y", "width", "height")})
-        table = table.join(F.broadcast(bounds), f"{side}_cell_id")
-    a, b = _named(left.data(spark), "l"), _named(right.data(spark), "r")
-    met = a.withColumnRenamed("cell_id", "l_cell_id").join(F.broadcast(table), "l_cell_id").join(b.withColumnRenamed("cell_id", "r_cell_id"), "r_cell_id")
-    one = reference_point(_box("lc"), _box("l"), _box("r")) & reference_point(_box("rc"), _box("l"), _box("r"))
-    met = met.where(_box("l").overlaps(_box("r")) & one)
-    return met.select([c for c in met.columns if not c.startswith(("lc_", "rc_")) and c not in ("l_cell_id", "r_cell_id")])
+        rows = index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where("own >= 0")
+        sides[side] = _named(assign(rows, fine), side).withColumnRenamed(f"{side}_own", f"{side}_cell_id").join(table, f"{side}_cell_id")
+    met = sides["l"].join(sides["r"], ["cell_id", "l_cell_id", "r_cell_id"]).where(_box("l").overlaps(_box("r")))
+    for cells, name in ((fine, "cell_id"), (left.cells, "l_cell_id"), (right.cells, "r_cell_id")):
+        met = met.where(in_cell(cells, F.col(name), _box("l"), _box("r")))
+    return met.drop("cell_id", "l_cell_id", "r_cell_id")
 
 
 def should_repartition(left: Cells, right: Cells) -> bool:
@@ -82,8 +84,7 @@ def should_repartition(left: Cells, right: Cells) -> bool:
 def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: str = "auto") -> DataFrame:
     """Pairs of two indexes; ``repartition``: auto, yes or no. Columns stay (left, right) whichever side is dealt anew."""
     if repartition == "yes" or (repartition == "auto" and should_repartition(left.cells, right.cells)):
-        larger = left if len(left.cells.bounds()) >= len(right.cells.bounds()) else right
-        return spatial_join(left.home(spark), right.home(spark), larger.cells)
+        return spatial_join(left.home(spark), right.home(spark))
     return distributed_join(spark, left, right)
 
 
@@ -100,8 +101,9 @@ def plane_sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns])
 
 
-def sweep_join(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
+def sweep_join(left: DataFrame, right: DataFrame, cells: Cells | None = None) -> DataFrame:
     """As :func:`spatial_join`, by a plane sweep within each cell. A cell's shapes are in one task; take enough cells."""
+    cells = cells or grid_for_join(left, right, rows_per_cell=SWEEP_ROWS)
     a, b = assign(left, cells).drop("is_home"), assign(right, cells).drop("is_home")
     fields = [f"l_{f.name} {f.dataType.simpleString()}" for f in left.schema] + [f"r_{f.name} {f.dataType.simpleString()}" for f in right.schema]
     bounds = {c[0]: c[1:] for c in cells.bounds()}

@@ -92,7 +92,7 @@ query("G01_point_mbr", "SELECT id, x, y, 1::BIGINT AS width, 1::BIGINT AS height
 query("G02_point_distance", "SELECT id, sqrt(((x-5000)*(x-5000)+(y-5000)*(y-5000))::DOUBLE) AS d FROM pt_part")(lambda t: t.pt_part.select("id", G.point_distance("x", "y", 5000, 5000).alias("d")))
 query("G03_point_intersects", f"SELECT id FROM (SELECT *, 1 AS width, 1 AS height FROM pt_part) WHERE {OVER}")(lambda t: t.pt_part.where(G.point_box().overlaps(Box(*WINDOW))).select("id"))
 query("G04_morton", "SELECT id, (SELECT sum(((x >> i) & 1) << (2*i))::BIGINT + sum(((y >> i) & 1) << (2*i+1))::BIGINT FROM range(14) r(i)) AS z FROM pt_part")(lambda t: t.pt_part.select("id", G.morton().alias("z")))
-query("G05_point_order", "SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) AS n FROM pt_part")(lambda t: _numbered(t.pt_part, "x", "y", "id"))
+query("G05_point_order", "SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) AS n FROM pt_part")(lambda t: O.numbered(t.pt_part, "x", "y", "id"))
 query("G06_box_parts", "SELECT okey, line, x + width AS x2, y + height AS y2, x + width // 2 AS x_mid, y + height // 2 AS y_mid FROM rect_lineitem")(lambda t: t.rect_lineitem.select("okey", "line", LI.x2.alias("x2"), LI.y2.alias("y2"), LI.center()[0].alias("x_mid"), LI.center()[1].alias("y_mid")))
 query("G07_max_distance", "SELECT id, sqrt((greatest(5000-x, x+width-5000)*greatest(5000-x, x+width-5000)+greatest(5000-y, y+height-5000)*greatest(5000-y, y+height-5000))::DOUBLE) AS d FROM rect_orders")(lambda t: t.rect_orders.select("id", LI.max_distance(5000, 5000).alias("d")))
 query("G08_min_distance", "SELECT id, sqrt((greatest(x-5000, 0, 5000-x-width)*greatest(x-5000, 0, 5000-x-width)+greatest(y-5000, 0, 5000-y-height)*greatest(y-5000, 0, 5000-y-height))::DOUBLE) AS d FROM rect_orders")(lambda t: t.rect_orders.select("id", LI.min_distance(5000, 5000).alias("d")))
@@ -118,18 +118,6 @@ def _long(box: Box):
     return [c.cast("bigint").alias(n) for c, n in ((box.x, "x"), (box.y, "y"), (box.width, "width"), (box.height, "height"))]
 
 
-def _numbered(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows with their place in the global order. Ranges are sorted by themselves; only their sizes meet."""
-    ranged = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    here = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
-    sizes = {r[0]: r[1] for r in ranged.groupBy("_p").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offset = F.element_at(F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(v).cast("bigint")) for k, v in before.items()))), F.col("_p")) if before else F.lit(0)
-    return here.withColumn("n", F.col("_n") + offset).drop("_p", "_n")
-
-
 def _reparsed(t: Tables) -> DataFrame:
     lines = t.rect_orders.select("id", files.shape_line(t.rect_orders, "rectangle").alias("line"))
     out = lines.select("id", "line", *(c.alias(n) for n, c in files.parse_shape(F.col("line"), "rectangle").items()))
@@ -278,7 +266,7 @@ query("Q02_indexed_range", f"SELECT id, x, y, width, height FROM rect_orders WHE
 query("Q03_packed_range", f"SELECT id, x, y, width, height FROM rect_orders WHERE {OVER}")(lambda t: Q.indexed_range_query(t.spark, build(t.rect_orders, shared_path(t.spark, "index"), 16, "str"), WINDOW))
 query("Q01_circle_range_mbr", "SELECT id FROM rect_orders WHERE x + width > 3500 AND 6500 > x AND y + height > 3500 AND 6500 > y")(lambda t: Q.range_query(t.rect_orders, (), circle=(5000.0, 5000.0, 1500.0)).select("id"))
 query("Q01_circle_range_exact", "SELECT id FROM rect_orders WHERE (5000 - greatest(x, least(5000, x+width)))*(5000 - greatest(x, least(5000, x+width))) + (5000 - greatest(y, least(5000, y+height)))*(5000 - greatest(y, least(5000, y+height))) < 1500*1500")(lambda t: Q.range_query(t.rect_orders, (), circle=(5000.0, 5000.0, 1500.0), mode="exact").select("id"))
-query("Q05_batch_range", "SELECT q.id AS query_id, r.okey, r.line FROM rect_lineitem r JOIN (SELECT * FROM rect_orders WHERE id % 20 = 0) q ON r.x + r.width > q.x AND q.x + q.width > r.x AND r.y + r.height > q.y AND q.y + q.height > r.y")(lambda t: Q.batch_range_query(t.rect_lineitem, t.rect_orders.where("id % 20 = 0").selectExpr("id AS query_id", "x AS qx", "y AS qy", "width AS qwidth", "height AS qheight"), GRID).select(F.col("r_query_id").alias("query_id"), F.col("l_okey").alias("okey"), F.col("l_line").alias("line")))
+query("Q05_batch_range", "SELECT q.id AS query_id, r.okey, r.line FROM rect_lineitem r JOIN (SELECT * FROM rect_orders WHERE id % 20 = 0) q ON r.x + r.width > q.x AND q.x + q.width > r.x AND r.y + r.height > q.y AND q.y + q.height > r.y")(lambda t: Q.batch_range_query(t.rect_lineitem, t.rect_orders.where("id % 20 = 0").selectExpr("id AS query_id", "x AS qx", "y AS qy", "width AS qwidth", "height AS qheight")).select(F.col("r_query_id").alias("query_id"), F.col("l_okey").alias("okey"), F.col("l_line").alias("line")))
 query("Q06_cell_pruning", "SELECT (i*20+j)::BIGINT AS cell_id FROM range(20) a(i), range(20) b(j) WHERE 10100*(i+1)//20 > 1000 AND 10100*i//20 < 3500 AND 10100*(j+1)//20 > 500 AND 10100*j//20 < 2500")(lambda t: t.spark.createDataFrame([(i,) for i in GRID.overlapping(*WINDOW)], "cell_id long"))
 
 # Nearest neighbours.
@@ -291,13 +279,13 @@ query("K06_batch_knn", "SELECT query_id, id, d2, rank FROM (SELECT q.query_id, c
 
 # Spatial joins.
 PAIRS = "FROM rect_lineitem l JOIN rect_orders r ON l.x + l.width > r.x AND r.x + r.width > l.x AND l.y + l.height > r.y AND r.y + r.height > l.y"
-query("J01_spatial_join", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.spatial_join(t.rect_lineitem, t.rect_orders, GRID)))
-query("J01_rect_point_join", "SELECT l.okey AS okey, l.line AS line, r.id AS id FROM rect_lineitem l JOIN pt_part r ON l.x + l.width > r.x AND r.x + 1 > l.x AND l.y + l.height > r.y AND r.y + 1 > l.y")(lambda t: _pairs(SJ.spatial_join(t.rect_lineitem, t.pt_part, GRID, None, G.point_box())))
+query("J01_spatial_join", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.spatial_join(t.rect_lineitem, t.rect_orders)))
+query("J01_rect_point_join", "SELECT l.okey AS okey, l.line AS line, r.id AS id FROM rect_lineitem l JOIN pt_part r ON l.x + l.width > r.x AND r.x + 1 > l.x AND l.y + l.height > r.y AND r.y + 1 > l.y")(lambda t: _pairs(SJ.spatial_join(t.rect_lineitem, t.pt_part, None, None, G.point_box())))
 query("J02_distributed_join", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.join_indexed(t.spark, *_two(t), repartition="no")))
 query("J03_repartition_join", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.join_indexed(t.spark, *_two(t), repartition="yes")))
 query("J04_join_cost", "SELECT n AS pairs, 3 * 25 + 36 < n AS repartition FROM (SELECT count(*) AS n FROM (SELECT 10100*i//6 AS x1, 10100*(i+1)//6 AS x2, 10100*j//6 AS y1, 10100*(j+1)//6 AS y2 FROM range(6) a(i), range(6) b(j)) p JOIN (SELECT 10100*i//5 AS x1, 10100*(i+1)//5 AS x2, 10100*j//5 AS y1, 10100*(j+1)//5 AS y2 FROM range(5) a(i), range(5) b(j)) q ON p.x2 > q.x1 AND q.x2 > p.x1 AND p.y2 > q.y1 AND q.y2 > p.y1)")(lambda t: t.spark.createDataFrame([(len(SJ.cell_pairs(G6, G5)), SJ.should_repartition(G6, G5))], "pairs long, repartition boolean"))
 query("J05_cell_pairs", "SELECT p.c AS left_cell, q.c AS right_cell FROM (SELECT (i*6+j)::BIGINT AS c, 10100*i//6 AS x1, 10100*(i+1)//6 AS x2, 10100*j//6 AS y1, 10100*(j+1)//6 AS y2 FROM range(6) a(i), range(6) b(j)) p JOIN (SELECT (i*5+j)::BIGINT AS c, 10100*i//5 AS x1, 10100*(i+1)//5 AS x2, 10100*j//5 AS y1, 10100*(j+1)//5 AS y2 FROM range(5) a(i), range(5) b(j)) q ON p.x2 > q.x1 AND q.x2 > p.x1 AND p.y2 > q.y1 AND q.y2 > p.y1")(lambda t: t.spark.createDataFrame(SJ.cell_pairs(G6, G5), "left_cell long, right_cell long"))
-query("J06_plane_sweep", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.sweep_join(t.rect_lineitem, t.rect_orders, GRID)))
+query("J06_plane_sweep", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.sweep_join(t.rect_lineitem, t.rect_orders)))
 G6, G5 = GR.Grid(0, 0, 10100, 10100, 6, 6), GR.Grid(0, 0, 10100, 10100, 5, 5)
 
 
@@ -367,8 +355,8 @@ query("O05_hash_partition", "SELECT o_orderkey FROM orders")(lambda t: t.orders.
 query("O06_binary_partition", None)(lambda t: t.customer.select("c_custkey", T.binary_partition(F.col("c_name"), 10, -3, -1).alias("p")))
 query("O07_range_partition", "SELECT o_orderkey, ((o_custkey >= 100)::INT + (o_custkey >= 500)::INT + (o_custkey >= 1000)::INT) AS p FROM orders")(lambda t: t.orders.select("o_orderkey", T.range_partition(F.col("o_custkey"), [100, 500, 1000]).alias("p")))
 query("O08_split_points", "SELECT count(*) AS n FROM range(7)")(lambda t: t.spark.createDataFrame([(len(S.split_points(t.orders, "o_orderkey", 8)),)], "n long"))
-query("O09_total_order", "SELECT o_orderkey, o_orderdate, n FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")(lambda t: _numbered(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey"))
-query("O10_sort_rows", "SELECT 0::BIGINT AS errors")(lambda t: O.order_errors(_numbered(files.sort_rows(t.spark, 20_000), "key", "row_id"), "key", "n").agg(F.count("*").alias("errors")))
+query("O09_total_order", "SELECT o_orderkey, o_orderdate, n FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")(lambda t: O.numbered(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey"))
+query("O10_sort_rows", "SELECT 0::BIGINT AS errors")(lambda t: O.order_errors(O.numbered(files.sort_rows(t.spark, 20_000), "key", "row_id"), "key", "n").agg(F.count("*").alias("errors")))
 query("O11_sample_ratio")(lambda t: S.by_ratio(t.orders, 0.1).select("o_orderkey"))
 query("O11_sample_count", "SELECT least(count(*), 500) AS n FROM orders")(lambda t: S.by_count(t.orders, 500).agg(F.count("*").alias("n")))
 query("O12_shuffle", "SELECT o_orderkey FROM orders")(lambda t: S.shuffled(t.orders.select("o_orderkey")))
@@ -381,11 +369,10 @@ def _top(t: Tables) -> DataFrame:
 
 
 def _spec_sorted(t: Tables) -> DataFrame:
-    columns = T.sort_columns("value", "-k2,2nr -k5,5", "-")
-    keyed = t.items.select("value", *(T.number(p).alias(f"k{i}") if n else p.alias(f"k{i}") for i, (p, n, _) in enumerate(T.key_parts("value", "-k2,2nr -k5,5", "-"))))
-    assert len(columns) == 2
-    keyed = keyed.withColumn("k0", -F.col("k0"))
-    return _numbered(keyed, "k0", "k1", "value").select("value", "n")
+    """The order of ``-k2,2nr -k5,5`` as plain columns, so that ranges can be laid on it."""
+    (number, _, _), (flag, _, _) = T.key_parts("value", "-k2,2nr -k5,5", "-")
+    keyed = t.items.select("value", (-T.number(number)).alias("k0"), flag.alias("k1"))
+    return O.numbered(keyed, "k0", "k1", "value").select("value", "n")
 
 
 # Projection and text.
