@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -217,6 +218,17 @@ def _range_splits(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.least(scaled, F.lit(7)).alias("split")).agg(F.count("*").alias("n"))
 
 
+query("S29_database", "SELECT c_custkey AS k, c_name AS v FROM customer")(lambda t: _database(t))
+
+
+def _database(t: Tables) -> DataFrame:
+    """A table written to a database and read back in ranges. The database is Spark's own embedded one, within this process: for local mode."""
+    url, properties = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    files.write_table(t.customer.selectExpr("c_custkey AS k", "c_name AS v"), url, "T", properties)
+    high = t.customer.agg(F.max("c_custkey")).first()[0]
+    return files.read_table(t.spark, url, "T", '"k"', 0, high, 4, properties)
+
+
 query("S33_xml", "SELECT c_custkey AS id, c_name AS name FROM customer")(lambda t: _xml(t))
 
 
@@ -394,6 +406,18 @@ query("E06_secondarysort", "SELECT l_orderkey AS a, l_partkey AS b, row_number()
 query("E07_join", "SELECT o_orderkey AS k, o_custkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey")(lambda t: J.inner_join(t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey"), t.lineitem.select(F.col("l_orderkey").alias("k"), "l_linenumber"), key="k").groupBy("k", "s0.o_custkey").agg(F.count("*").alias("n")))
 query("E08_multifile_wordcount", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)) WHERE word <> '' GROUP BY word")(lambda t: files.multiple_inputs((t.documents, lambda d: d.select("text")), (t.benchmark, lambda d: d.select("text"))).select(F.explode(T.tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 query("E09_pageview_count", "SELECT event_type AS url, count(*) AS pageview FROM events GROUP BY event_type")(lambda t: t.events.groupBy(F.col("event_type").alias("url")).agg(F.count("*").alias("pageview")))
+query("E09_database_pageviews", "SELECT event_type AS url, count(*) AS pageview, (SELECT count(*) FROM events) AS total FROM events GROUP BY event_type")(lambda t: _pageviews(t))
+
+
+def _pageviews(t: Tables) -> DataFrame:
+    """Accesses counted by url, the counts kept in a database, and their sum held against the number of accesses."""
+    url, properties = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    counts = t.events.groupBy(F.col("event_type").alias("url")).agg(F.count("*").alias("pageview"))
+    files.write_table(counts, url, "PAGEVIEW", properties)
+    back = files.read_table(t.spark, url, "PAGEVIEW", properties=properties)
+    return back.join(F.broadcast(back.agg(F.sum("pageview").cast("bigint").alias("total"))))  # one row
+
+
 query("U05_pipe", "SELECT upper(o_orderstatus || '-' || o_orderpriority) AS value FROM orders")(lambda t: pipe(t.orders.select(F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("value")), ["tr", "a-z", "A-Z"]))
 query("U05_map_reduce", "SELECT o_orderpriority || chr(9) || count(*) AS value FROM orders GROUP BY o_orderpriority")(lambda t: _piped_count(t))
 
