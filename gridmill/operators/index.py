@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,10 @@ class Index:
         df = spark.read.schema(StructType.fromJson(json.loads(self.schema))).parquet(f"{self.path}/data")
         return df if cell_ids is None else df.where(F.col("cell_id").isin([-1, *cell_ids]))
 
+    def pruned(self, spark: SparkSession, keep: Callable[[list[tuple[int, int, int, int, int]]], Iterable[int]]) -> DataFrame:
+        """The data of the cells that a filter of one's own keeps: it gets (cell_id, x, y, width, height) of all and gives ids."""
+        return self.data(spark, list(keep(self.cells.bounds())))
+
     def home(self, spark: SparkSession) -> DataFrame:
         """Each shape once."""
         return self.data(spark).where("is_home").drop("cell_id", "is_home")

@@ -6,10 +6,13 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bloom
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.geometry import Box, div
@@ -433,3 +436,64 @@ def _inverted(t: Tables) -> DataFrame:
     from ..operators.inverted import postings
 
     return postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_uses"), F.min("doc_id").alias("first_doc"))
+
+
+# The rest of the library's surface.
+query("A13_per_file_count", "SELECT n FROM (SELECT count(*) AS n FROM orders)")(lambda t: t.orders.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n")))
+query("P02_identity", "SELECT o_orderkey, o_custkey FROM orders")(lambda t: t.orders.select("o_orderkey", "o_custkey"))
+FILTERED = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"
+
+
+def _filtered(kind: str):
+    """Lines that a filter of some orders lets through, then held against the orders themselves."""
+    def run(t: Tables) -> DataFrame:
+        some = t.orders.where("o_orderstatus = 'P'").select("o_orderkey")
+        held = getattr(bloom, kind)(some, "o_orderkey", max(1, some.count())).may_hold(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey")
+        return held.join(some, held.l_orderkey == some.o_orderkey, "left_semi")
+
+    return run
+
+
+for _kind in ("plain", "counting", "dynamic"):
+    query(f"P08_bloom_{_kind}", FILTERED)(_filtered(_kind))
+
+
+def _globbed(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "glob")
+    t.customer.select(F.col("c_name").alias("value")).write.text(f"{path}/kept.d")
+    t.supplier.select(F.col("s_name").alias("value")).write.text(f"{path}/_logs")
+    return files.read_lines(t.spark, f"{path}/kept.d", glob="part-*")
+
+
+query("P10_path_filter", "SELECT c_name AS value FROM customer")(_globbed)
+query("K02_whole_distances", "SELECT id, x, y, floor(sqrt(((x-5000)*(x-5000)+(y-5000)*(y-5000))::DOUBLE)) AS distance FROM pt_customer ORDER BY distance, id, x, y LIMIT 50")(lambda t: Q.knn(t.pt_customer, 5000, 5000, 50, whole=True))
+query("Q07_own_cell_filter", "SELECT DISTINCT id FROM rect_orders WHERE x < 2525 AND x + width > 0")(lambda t: build(t.rect_orders, shared_path(t.spark, "index"), GR.Grid(0, 0, 10100, 10100, 4, 4)).pruned(t.spark, lambda cells: [c[0] for c in cells if c[1] == 0]).where("is_home OR x < 2525").select("id").distinct())
+query("S05_shape_batches", "SELECT count(*) AS n, sum(width * height)::BIGINT AS area FROM rect_orders")(lambda t: files.shape_batches(t.rect_orders, _batch_area, "n long, area long").agg(F.sum("n").alias("n"), F.sum("area").alias("area")))
+query("S20_many_files", "SELECT c_name AS value FROM customer UNION ALL SELECT s_name FROM supplier")(lambda t: files.read_lines(t.spark, [_lines_back(t, d.select(F.col(c).alias("value")))[1] for d, c in ((t.customer, "c_name"), (t.supplier, "s_name"))]))
+query("S27_named_outputs", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")(lambda t: _named_outputs(t))
+query("U01_own_mapper", "SELECT o_orderkey, o_custkey % 7 AS r FROM orders WHERE o_custkey % 7 < 3")(lambda t: t.orders.select("o_orderkey", "o_custkey").mapInArrow(_own_mapper, "o_orderkey long, r long"))
+query("U04_own_aggregate", "SELECT 'LongValueSpan' AS type, 'keys' AS id, CAST(max(o_orderkey) - min(o_orderkey) AS VARCHAR) AS value FROM orders")(lambda t: _own_aggregate(t))
+query("U09_side_data", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
+query("R_union", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")(lambda t: t.customer.select(F.col("c_nationkey").alias("k")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"))))
+
+
+def _batch_area(batch):
+    area = pc.sum(pc.multiply(batch.column("width"), batch.column("height"))).as_py()
+    return pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([area or 0], pa.int64())], ["n", "area"])
+
+
+def _own_mapper(batches):
+    for batch in batches:
+        rest = pa.array(batch.column("o_custkey").to_numpy() % 7, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("o_orderkey"), rest], ["o_orderkey", "r"]).filter(pc.less(rest, 3))
+
+
+def _named_outputs(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "named")
+    files.write_named(t.orders.select("o_orderkey", "o_totalprice"), {"dear": (F.col("o_totalprice") > 100000, f"{path}/dear"), "cheap": (F.col("o_totalprice") <= 100000, f"{path}/cheap")})
+    return t.spark.read.parquet(f"{path}/dear").select("o_orderkey")
+
+
+def _own_aggregate(t: Tables) -> DataFrame:
+    A.register("LongValueSpan", lambda v: F.max(v) - F.min(v))
+    return A.named(t.orders, [("LongValueSpan", "keys", F.col("o_orderkey"))])

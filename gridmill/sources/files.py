@@ -101,6 +101,16 @@ def _number(c: Column, kind: str = "bigint") -> Column:
     return c.try_cast(kind)
 
 
+def shape_batches(df: DataFrame, fn: Callable, schema: str, rows: int = 1_000_000) -> DataFrame:
+    """Shapes in Arrow batches of at most ``rows`` through a function of one batch."""
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(i, rows))
+
+    return df.mapInArrow(run, schema)
+
+
 def parse_shape(line: Column, kind: str) -> dict[str, Column]:
     """The columns of one shape line: point, rectangle, cell, circle, polygon, boundary."""
     f = F.split(line, ",")
