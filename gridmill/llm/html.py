@@ -363,7 +363,7 @@ def _gradients(own, weights):
     parts = []
     for k, (found, labels) in enumerate(own):
         x[: len(found), k], ids = vectors(found, weights)
-        if k % 2:  # half of the pages in a step are learned by their paths alone, so that words don't take over
+        if k % 4:  # three of four pages in a step are learned by their paths alone, so that words don't take over
             x[:, k, PATH_DIM : PATH_DIM + WORD_DIM] = 0
         mask[: len(found), k], y[: len(found), k] = 1, labels
         parts.append(ids)
@@ -381,7 +381,7 @@ def _gradients(own, weights):
     for k, ((flat, n), (words, counts)) in enumerate(parts):
         own_dx = dx[: len(n), k]
         np.add.at(grads["path"], flat, np.repeat(own_dx[:, :PATH_DIM] / n[:, None], n, axis=0))
-        np.add.at(grads["word"], words, np.repeat((1 - k % 2) * own_dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / counts[:, None], counts, axis=0))
+        np.add.at(grads["word"], words, np.repeat((k % 4 == 0) * own_dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / counts[:, None], counts, axis=0))
     return grads
 
 
