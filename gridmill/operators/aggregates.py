@@ -20,7 +20,7 @@ TYPES: dict[str, Callable[[Column], Column]] = {
 
 
 def register(name: str, aggregate: Callable[[Column], Column]) -> None:
-    """A user's own aggregate type."""
+    """A user's own aggregate type. It casts its values itself: a mapper's rows hold them as text."""
     TYPES[name] = aggregate
 
 

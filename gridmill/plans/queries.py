@@ -495,5 +495,5 @@ def _named_outputs(t: Tables) -> DataFrame:
 
 
 def _own_aggregate(t: Tables) -> DataFrame:
-    A.register("LongValueSpan", lambda v: F.max(v) - F.min(v))
+    A.register("LongValueSpan", lambda v: F.max(v.cast("bigint")) - F.min(v.cast("bigint")))
     return A.named(t.orders, [("LongValueSpan", "keys", F.col("o_orderkey"))])
