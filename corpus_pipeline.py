@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import bpe, decontam, neardup, pii, quality
-from gridmill.llm.common import cut
+from gridmill.llm.common import cut, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.3 or more. It learns from the labelled rows of the documents it is given."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 

@@ -79,6 +79,11 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             at = stop
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on, Arrow batches to Python workers hold about ``size`` bytes at most, which bounds the buffers on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
