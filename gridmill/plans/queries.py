@@ -322,6 +322,17 @@ query("J08_inner_join", THREE + "SELECT a.k, a.v AS v0, b.v AS v1, c.v AS v2 FRO
 query("J09_outer_join", THREE + "SELECT coalesce(a.k, b.k, c.k) AS k, a.v AS v0, b.v AS v1, c.v AS v2, ((a.v IS NOT NULL)::BIGINT + 2 * (b.v IS NOT NULL)::BIGINT + 4 * (c.v IS NOT NULL)::BIGINT) AS present FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")(lambda t: J.outer_join(*_three(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)), "present"))
 query("J10_override_join", THREE + ", u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) SELECT k, v, source FROM u QUALIFY source = max(source) OVER (PARTITION BY k)")(lambda t: J.override_join(*_three(t), key="k").select("k", "v", "source"))
 query("J11_join_expression", THREE + "SELECT a.k, a.v AS v0, b.v AS v1 FROM a JOIN b ON a.k = b.k")(lambda t: J.JoinExpression(dict(zip("abc", _three(t), strict=True)), "k")("inner(tbl(a), tbl(b))").select("k", F.col("s0.v").alias("v0"), F.col("s1.v").alias("v1")))
+
+# The same joins over whole tables; the four above and THREE keep the cut of their SQL.
+def _whole(t: Tables):
+    return (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v")), t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("bigint").alias("v")))
+
+
+WHOLE = "WITH a AS (SELECT c_nationkey AS k, c_custkey AS v FROM customer), b AS (SELECT s_nationkey AS k, s_suppkey AS v FROM supplier), c AS (SELECT n_nationkey AS k, n_regionkey::BIGINT AS v FROM nation) "
+query("J08_inner_join_whole", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1, c.v AS v2 FROM a JOIN b ON a.k = b.k JOIN c ON a.k = c.k")(lambda t: J.inner_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3))))
+query("J09_outer_join_whole", WHOLE + "SELECT coalesce(a.k, b.k, c.k) AS k, a.v AS v0, b.v AS v1, c.v AS v2, ((a.v IS NOT NULL)::BIGINT + 2 * (b.v IS NOT NULL)::BIGINT + 4 * (c.v IS NOT NULL)::BIGINT) AS present FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")(lambda t: J.outer_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)), "present"))
+query("J10_override_join_whole", WHOLE + ", u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) SELECT k, v, source FROM u QUALIFY source = max(source) OVER (PARTITION BY k)")(lambda t: J.override_join(*_whole(t), key="k").select("k", "v", "source"))
+query("J11_join_expression_whole", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1 FROM a JOIN b ON a.k = b.k")(lambda t: J.JoinExpression(dict(zip("abc", _whole(t), strict=True)), "k")("inner(tbl(a), tbl(b))").select("k", F.col("s0.v").alias("v0"), F.col("s1.v").alias("v1")))
 query("J13_tagged_join", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: J.tagged_join({"o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "c": t.customer.select(F.col("c_custkey").alias("k"), "c_name")}, "k").select("k", "o.o_orderkey", "c.c_name"))
 query("J13_tagged_join_capped", "SELECT k, o_orderkey, c_name FROM (SELECT o_custkey AS k, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3) JOIN customer ON k = c_custkey")(lambda t: J.tagged_join({"o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "c": t.customer.select(F.col("c_custkey").alias("k"), "c_name")}, "k", max_values_per_group=3).select("k", "o.o_orderkey", "c.c_name"))
 query("J13_tagged_anti", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda t: J.tagged_join({"c": t.customer.select(F.col("c_custkey").alias("k"), "c_name"), "o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey")}, "k", "anti").select("k"))
@@ -377,6 +388,8 @@ query("O11_sample_count", "SELECT least(count(*), 500) AS n FROM orders")(lambda
 query("O12_shuffle", "SELECT o_orderkey FROM orders")(lambda t: S.shuffled(t.orders.select("o_orderkey")))
 query("O13_descending", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey)::INT AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) QUALIFY place <= 100")(lambda t: _top(t))
 
+query("O13_descending_whole", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)")(lambda t: O.numbered(A.value_counts(t.lineitem, "l_suppkey").withColumn("k", -F.col("n")), "k", "l_suppkey", name="place").drop("k"))
+
 
 def _top(t: Tables) -> DataFrame:
     top = A.value_counts(t.lineitem, "l_suppkey").orderBy(F.desc("n"), "l_suppkey").limit(100)
