@@ -190,13 +190,26 @@ def matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_verify, "query long, id long, offset long, bit_error double")
 
 
+def found_matches(found: DataFrame) -> DataFrame:
+    """``query``, ``n_matches`` (classes that match) and ``matches``: every (id, offset, bit_error), best first."""
+    every = F.sort_array(F.collect_list(F.struct(F.col("bit_error").alias("e"), "id", "offset")))
+    return found.groupBy("query").agg(F.count_distinct("id").alias("n_matches"), F.transform(every, lambda m: F.struct(m["id"].alias("id"), m["offset"].alias("offset"), F.round(m["e"], 6).alias("bit_error"))).alias("matches"))
+
+
 def op1_audio(spark, sf_dir: str) -> DataFrame:
-    """Each vector's recording: ``vec_id``, ``n_codes``, ``fingerprint``, its class, and for queries the classes that match."""
+    """Each vector's recording: ``vec_id``, ``n_codes``, ``fingerprint``, its class, and for queries the classes that match.
+
+    ``matches`` holds all matches of a class and stands in the row of the class's smallest query key, so that copies don't
+    repeat it; the class's other queries find it by ``class_id``. ``match_id`` and what follows are the best one, in each.
+    """
     table = cut(fingerprints(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))), "fingerprints")
     full = table.where("n_codes > 0 and key is not null")
-    ids = full.groupBy("fingerprint").agg(F.min("key").alias("id"), F.max((F.col("key") % QUERY_STEP == 0).cast("int")).alias("asked"))
+    ids = full.groupBy("fingerprint").agg(F.min("key").alias("id"), F.min(F.when(F.col("key") % QUERY_STEP == 0, F.col("key"))).alias("asked"))
     classes = cut(full.join(ids.withColumnRenamed("fingerprint", "own"), (F.col("key") == F.col("id")) & (F.col("fingerprint") == F.col("own"))).dropDuplicates(["id"]).select("id", "codes", "asked"), "classes")
-    found = matches(classes, classes.where("asked = 1")).groupBy("query").agg(F.count("*").alias("n_matches"), F.min_by(F.struct("id", "offset", "bit_error"), F.struct("bit_error", "id")).alias("best"))
-    member = table.join(ids, "fingerprint", "left").select("key", "n_codes", "fingerprint", F.coalesce("id", "key").alias("class_id"))
-    out = member.join(found, (member.class_id == found.query) & (member.key % QUERY_STEP == 0), "left")
-    return out.select(F.col("key").alias("vec_id"), "n_codes", "fingerprint", "class_id", F.when(F.col("key") % QUERY_STEP == 0, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.col("best.id").alias("match_id"), F.col("best.offset").alias("match_offset"), F.round("best.bit_error", 6).alias("bit_error"))
+    found = cut(found_matches(matches(classes, classes.where("asked is not null"))), "matches")
+    member = table.join(ids, "fingerprint", "left").select("key", "n_codes", "fingerprint", F.coalesce("id", "key").alias("class_id"), "asked")
+    query = F.col("key") % QUERY_STEP == 0
+    best = found.select("query", "n_matches", F.get("matches", F.lit(0)).alias("best"))
+    out = member.join(best, (member.class_id == best["query"]) & query, "left").drop("query")
+    out = out.join(found.select("query", "matches"), (out.class_id == F.col("query")) & (out.key == out.asked), "left")
+    return out.select(F.col("key").alias("vec_id"), "n_codes", "fingerprint", "class_id", F.when(query, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.col("best.id").alias("match_id"), F.col("best.offset").alias("match_offset"), F.col("best.bit_error").alias("bit_error"), "matches")
