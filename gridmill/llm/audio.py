@@ -3,12 +3,12 @@
 A recording (signed 16-bit mono samples) is cut into overlapping frames; each frame's spectrum is summed into twelve pitch
 classes and normalised. Over the image of frames by pitch classes an integral image lets sixteen rectangle filters be taken
 at each position with four look-ups each; each filter's value, quantised to two Gray-coded bits, makes one packed 32-bit
-code per position. Two recordings that share codes are aligned by the histogram of their offsets, and the share of bits that
-differ over the aligned stretch (bit errors) decides whether they match.
+code per position. Two recordings are laid over each other at every offset, and the share of bits that differ over the
+aligned stretch (bit errors) decides whether they match.
 
 Recordings with equal fingerprints form one class, named by its smallest key. Matches are pairs of class representatives,
-found by joining codes, so copies are never expanded into pairs; a search takes the classes of every key divisible by
-``QUERY_STEP`` as queries against all classes. Frequent codes are dealt by position salt in the join.
+found by comparing blocks of them, so copies are never expanded into pairs; a search takes the classes of every key divisible
+by ``QUERY_STEP`` as queries against all classes. Its time grows with queries times classes.
 
 Edge cases: null or too short recordings have no codes, are a class by themselves and match nothing; repeated rows each
 give a row; a null key matches nothing; other columns are not read; an empty table gives an empty one.
@@ -29,9 +29,12 @@ RATE, FRAME, HOP = 5512, 2048, 682
 LOW, HIGH = 28.0, 2000.0
 #: Frames that a filter spans.
 SPAN = 16
-#: Codes that must agree at the best offset, and the bit errors up to which an alignment is a match.
+#: Whole codes that agree at one offset in a search by votes (the search here asks for none), codes that an alignment must
+#: cover, and the bit errors up to which it is a match.
 LEAST_VOTES, LEAST_OVERLAP, MAX_BIT_ERROR = 3, 12, 0.15
 QUERY_STEP = 20
+#: Recordings, and bytes of their codes, in a block of the search.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 19
 
 
 def _filters():
@@ -157,37 +160,93 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum()) / (32 * n), n
 
 
-def _spread(batches):
+def _blocks(batches):
+    """(ids, lengths, codes) of recordings in a row, as many as BLOCK_ROWS and BLOCK_BYTES (of codes, padded to the longest) allow."""
+    kind = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary())])
+
+    def block(ids, codes):
+        return pa.RecordBatch.from_pydict({"ids": [np.array(ids, np.int64).tobytes()], "lengths": [np.array([len(c) // 4 for c in codes], np.int64).tobytes()], "codes": [b"".join(codes)]}, kind)
+
     for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            codes = [np.frombuffer(c, np.uint32) for c in part.column("codes").to_pylist()]
-            n = np.array([len(c) for c in codes], np.int64)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            if n.sum():
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(at), pa.array(np.concatenate(codes).astype(np.int64))], ["id", "at", "code"])
+        ids, codes = batch.column("id").to_pylist(), batch.column("codes").to_pylist()
+        at = longest = 0
+        for end, c in enumerate(codes):
+            longest = max(longest, len(c))
+            if end > at and (end - at == BLOCK_ROWS or longest * (end + 1 - at) > BLOCK_BYTES):
+                yield block(ids[at:end], codes[at:end])
+                at, longest = end, len(c)
+        if ids:
+            yield block(ids[at:], codes[at:])
+
+
+def _spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
+    """The Fourier transforms over time of each bit as a sign, nothing beyond a recording's end: (frequencies, recordings, 32)."""
+    signs = np.zeros((len(codes), size, 32), np.float32)
+    for row, c in zip(signs, codes, strict=True):
+        row[: len(c)] = np.unpackbits(np.ascontiguousarray(c).view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=1).transpose(1, 0, 2))
+
+
+def alignments(asked: list[np.ndarray], codes: list[np.ndarray]):
+    """(place in ``asked``, place in ``codes``, offset) of each alignment of two sides that can be a match.
+
+    Agreeing less differing bits at all offsets are a correlation, taken through its Fourier transform. What comes out is
+    rounded, so a margin far above its error is allowed; each alignment is counted exactly afterwards.
+    """
+    na, nb = np.array([len(c) for c in asked]), np.array([len(c) for c in codes])
+    if not len(na) or not len(nb) or min(na.max(), nb.max()) < LEAST_OVERLAP:
+        return
+    size = -(-int(na.max() + nb.max() - LEAST_OVERLAP) // 16) * 16  # offsets with enough overlap don't wrap round
+    offsets = np.arange(LEAST_OVERLAP - int(nb.max()), int(na.max()) - LEAST_OVERLAP + 1)
+    pairs = max(1, (1 << 20) // size)
+    many = min(64, pairs)
+    a = _spectra(asked, size)
+    for j in range(0, len(codes), max(1, pairs // many)):
+        part = slice(j, j + max(1, pairs // many))
+        b = np.ascontiguousarray(_spectra(codes[part], size).conj().transpose(0, 2, 1))
+        for i in range(0, len(asked), many):
+            agree = np.fft.irfft(a[:, i : i + many] @ b, size, axis=0)
+            la, lb = na[i : i + many, None], nb[None, part]
+            if (la == la[0]).all() and (lb == lb[0, 0]).all():
+                la, lb = la[:1], lb[:, :1]
+            at = offsets[:, None, None]
+            overlap = np.minimum(la - np.maximum(0, at), lb - np.maximum(0, -at))
+            least = np.where(overlap >= LEAST_OVERLAP, 32 * (1 - 2 * MAX_BIT_ERROR) * overlap - 0.5 - 1e-4 * size, np.inf).astype(np.float32)
+            for k, x, y in zip(*np.nonzero(agree[offsets % size] >= least), strict=True):
+                yield i + int(x), j + int(y), int(offsets[k])
 
 
 def _verify(batches):
+    def side(r, name):
+        return np.frombuffer(r[name + "ids"], np.int64), np.split(np.frombuffer(r[name + "codes"], np.uint32), np.cumsum(np.frombuffer(r[name + "lengths"], np.int64))[:-1])
+
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        got = [bit_errors(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), o) for x, y, o in zip(a, b, batch.column("offset").to_pylist(), strict=True)]
-        good = [e <= MAX_BIT_ERROR and n >= LEAST_OVERLAP for e, n in got]
-        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "id", "offset")), pa.array([e for e, _ in got])], ["query", "id", "offset", "bit_error"])
-        yield out.filter(pa.array(good, pa.bool_()))
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            (queries, asked), (ids, codes) = side(r, "q_"), side(r, "")
+            got = []
+            for x, y, offset in alignments(asked, codes):
+                e, n = bit_errors(asked[x], codes[y], offset)
+                if e <= MAX_BIT_ERROR and n >= LEAST_OVERLAP and queries[x] != ids[y]:
+                    got.append((int(queries[x]), int(ids[y]), offset, e))
+            for at in range(0, len(got), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got[at : at + 100_000], strict=True)], ["query", "id", "offset", "bit_error"])
+
+
+def _dealt(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """The recordings in blocks, in parts of about so many rows, written once."""
+    parts = max(8, df.count() // rows + 1)
+    return cut(df.select("id", "codes").repartition(parts, "id").mapInArrow(_blocks, "ids binary, lengths binary, codes binary"), name)
 
 
 def matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Alignments of query classes (id, codes) with all other classes (id, codes): ``query``, ``id``, ``offset``, ``bit_error``."""
-    spread = classes.mapInArrow(_spread, "id long, at long, code long")
-    asked = queries.mapInArrow(_spread, "id long, at long, code long").withColumnsRenamed({"id": "query", "at": "query_at"})
-    hits = asked.join(spread, "code").where("query <> id")
-    votes = hits.groupBy("query", "id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_VOTES)
-    best = votes.groupBy("query", "id").agg(F.max_by("offset", F.struct("n", -F.abs("offset"), "offset")).alias("offset"))
-    codes = classes.select("id", "codes")
-    pairs = best.join(codes.withColumnsRenamed({"codes": "b"}), "id").join(codes.select(F.col("id").alias("query"), F.col("codes").alias("a")), "query")
-    return pairs.mapInArrow(_verify, "query long, id long, offset long, bit_error double")
+    """All alignments of query classes (id, codes) with all other classes (id, codes) within MAX_BIT_ERROR over at least LEAST_OVERLAP codes: ``query``, ``id``, ``offset``, ``bit_error``.
+
+    No votes are asked for: a match need not share a whole code. Every offset of every pair is looked at, in blocks.
+    """
+    asked = _dealt(queries, 2_000, "queries").withColumnsRenamed({c: "q_" + c for c in ("ids", "lengths", "codes")})
+    blocks = _dealt(classes, 20_000, "blocks").crossJoin(asked.hint("shuffle_replicate_nl"))
+    return blocks.mapInArrow(_verify, "query long, id long, offset long, bit_error double")
 
 
 def found_matches(found: DataFrame) -> DataFrame:

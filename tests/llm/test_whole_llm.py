@@ -23,3 +23,31 @@ def test_audio_returns_every_match(spark, tmp_path):
         assert at_zero <= {m.id for m in got[q].matches or []}
         assert got[q].n_matches == len({m.id for m in got[q].matches or []}) >= len(at_zero)
     assert got[0].n_matches > 1 and (got[0].match_id, got[0].match_offset, got[0].bit_error) == tuple(got[0].matches[0])
+
+
+def test_audio_search_is_brute_force_on_bit_errors(spark):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 32, n, np.uint32) for n in (46, 46, 13, 120, 31, 12, 11)]
+    codes = dict(enumerate(base))
+    flips = lambda n, share: np.packbits(rng.random((n, 32)) < share, axis=1).view(">u4").ravel().astype(np.uint32)
+    for i in range(12):  # noisy stretches of the long ones: few whole codes survive
+        a = base[i % 4]
+        start = int(rng.integers(0, max(1, len(a) - 20)))
+        part = a[start:]
+        codes[10 + i] = np.concatenate((rng.integers(0, 1 << 32, i % 3, np.uint32), part ^ flips(len(part), 0.1 + 0.01 * (i % 5))))
+    codes[30] = np.tile(base[0][:4], 12)  # matches itself, moved, at several offsets
+    codes[31] = np.tile(base[0][:4], 9)
+    want, by_votes = {}, 0
+    for q, a in codes.items():
+        for k, b in codes.items():
+            for o in range(-len(b), len(a) + 1) if q != k else ():
+                e, n = audio.bit_errors(a, b, o)
+                if e <= audio.MAX_BIT_ERROR and n >= audio.LEAST_OVERLAP:
+                    want[q, k, o] = e
+                    i, j = max(0, o), max(0, -o)
+                    by_votes += int((a[i : i + n] == b[j : j + n]).sum()) >= audio.LEAST_VOTES
+    df = spark.createDataFrame([(k, c.tobytes()) for k, c in codes.items()], "id long, codes binary")
+    got = {(r.query, r.id, r.offset): r.bit_error for r in audio.matches(df, df).collect()}
+    assert got == want
+    assert by_votes < len(want)
+    assert len({o for q, k, o in got if (q, k) == (30, 31)}) > 1
