@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
-from .grid import Cells, assign, grid_for_join
+from .grid import Cells, _extent, assign, grid_for_join
 from .index import Index
 from .selection import in_cell
 
@@ -55,24 +55,38 @@ def cell_pairs(left: Cells, right: Cells) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _within(left: Cells, right: Cells, box: Box) -> Column:
+    """Whether a box lies wholly in the bounds that both sides' cells cover."""
+    (low, high), (r_low, r_high) = _extent(left), _extent(right)
+    w, h = F.greatest(box.width, F.lit(1)), F.greatest(box.height, F.lit(1))
+    return (box.x >= max(low[0], r_low[0])) & (box.x + w <= min(high[0], r_high[0])) & (box.y >= max(low[1], r_low[1])) & (box.y + h <= min(high[1], r_high[1]))
+
+
 def distributed_join(spark: SparkSession, left: Index, right: Index) -> DataFrame:
     """Pairs of overlapping rows of two indexes, met through the table of overlapping cells.
 
     Within a pair of cells, rows meet in the cells of a fine grid, so that large cells are not searched row against row.
+    Shapes that reach beyond the cells of either index are joined by themselves, on a grid over both sides.
     """
     pairs = cell_pairs(left.cells, right.cells)
     if len(pairs) > MAX_PAIRS:
-        return spatial_join(left.home(spark), right.home(spark), left.cells)
+        return spatial_join(left.home(spark), right.home(spark))
     table = F.broadcast(spark.createDataFrame(pairs or [(-2, -2)], "l_cell_id long, r_cell_id long"))
     fine = grid_for_join(left.data(spark), right.data(spark))
+    within = _within(left.cells, right.cells, Box())
     sides = {}
     for side, index in (("l", left), ("r", right)):
-        rows = index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where("own >= 0")
+        rows = index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where(within)
         sides[side] = _named(assign(rows, fine), side).withColumnRenamed(f"{side}_own", f"{side}_cell_id").join(table, f"{side}_cell_id")
     met = sides["l"].join(sides["r"], ["cell_id", "l_cell_id", "r_cell_id"]).where(_box("l").overlaps(_box("r")))
     for cells, name in ((fine, "cell_id"), (left.cells, "l_cell_id"), (right.cells, "r_cell_id")):
         met = met.where(in_cell(cells, F.col(name), _box("l"), _box("r")))
-    return met.drop("cell_id", "l_cell_id", "r_cell_id")
+    met = met.drop("cell_id", "l_cell_id", "r_cell_id")
+    a, b = left.home(spark), right.home(spark)
+    for x, y, beyond in ((a.where(~within), b, a), (a.where(within), b.where(~within), b)):
+        if not beyond.where(~within).isEmpty():
+            met = met.unionByName(spatial_join(x, y))
+    return met
 
 
 def should_repartition(left: Cells, right: Cells) -> bool:

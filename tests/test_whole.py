@@ -1,7 +1,12 @@
 """Each query or operator does the whole job: nothing that belongs to a result is left out."""
 
+import random
+
 import pytest
 
+from gridmill.operators import grid as GR
+from gridmill.operators import spatial_join as SJ
+from gridmill.operators.index import build
 from gridmill.plans import queries as plans
 
 
@@ -21,3 +26,16 @@ def test_descending_numbers_all_rows(spark):
     got = plans.QUERIES["O13_descending_whole"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count() > 100
     assert sorted(r.place for r in got) == list(range(1, len(got) + 1))
+
+
+def test_indexed_joins_agree_beyond_the_cells(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    frames = [spark.createDataFrame([(i, r.randrange(-300, 900), r.randrange(-300, 900), r.randrange(0, 90), r.randrange(0, 90)) for i in range(250)], "id long, x long, y long, width long, height long") for _ in range(2)]
+    a, b = frames
+    want = sorted(map(tuple, a.alias("l").crossJoin(b.alias("r")).where("l.x + l.width > r.x and r.x + r.width > l.x and l.y + l.height > r.y and r.y + r.height > l.y").select("l.id", "r.id").collect()))
+    for n, (left_cells, right_cells) in enumerate([(GR.Grid(0, 0, 400, 400, 4, 4), GR.Grid(0, 0, 400, 400, 3, 3)), (GR.Grid(0, 0, 300, 300, 3, 3), GR.Grid(-300, -300, 1300, 1300, 5, 5)), (GR.Grid(-300, -300, 200, 200, 2, 2), GR.Grid(500, 500, 200, 200, 2, 2))]):
+        left, right = build(a, str(tmp_path / f"a{n}"), left_cells), build(b, str(tmp_path / f"b{n}"), right_cells)
+        for way in ("no", "yes", "auto"):
+            assert sorted(map(tuple, SJ.join_indexed(spark, left, right, way).select("l_id", "r_id").collect())) == want, (n, way)
+    monkeypatch.setattr(SJ, "MAX_PAIRS", 0)
+    assert sorted(map(tuple, SJ.join_indexed(spark, build(a, str(tmp_path / "a"), GR.Grid(0, 0, 400, 400, 4, 4)), right, "no").select("l_id", "r_id").collect())) == want
