@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,27 @@ def first_of_each(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def split_points(sample: DataFrame, key: str, partitions: int) -> list:
-    """partitions - 1 split points at even steps of a bounded sorted sample, equal ones left out."""
-    keys = sorted(r[0] for r in sample.select(key).where(F.col(key).isNotNull()).limit(1_000_000).collect())
+def interval_of_each(df: DataFrame, share: float) -> DataFrame:
+    """Rows of every partition at even steps: one is kept while fewer than ``share`` of the rows up to it are."""
+    def run(batches):
+        done = 0
+        for batch in batches:
+            n = np.arange(done + 1, done + batch.num_rows + 1)
+            yield batch.filter(pa.array(np.ceil(share * n) > np.ceil(share * (n - 1))))
+            done += batch.num_rows
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Keys that split points are taken from on the driver, about.
+MAX_KEYS = 1_000_000
+
+
+def split_points(sample: DataFrame, key: str, partitions: int, seed: int = 1) -> list:
+    """partitions - 1 split points at even steps of the sorted keys, equal ones left out. Of more than MAX_KEYS keys, a random sample of about so many over all rows."""
+    held = sample.select(key).where(F.col(key).isNotNull())
+    n = held.count()
+    keys = sorted(r[0] for r in (held if n <= MAX_KEYS else held.sample(MAX_KEYS / n, seed)).collect())
     out: list = []
     for i in range(1, partitions):
         k = min(len(keys) - 1, round(i * len(keys) / partitions))

@@ -381,6 +381,10 @@ query("O05_hash_partition", "SELECT o_orderkey FROM orders")(lambda t: t.orders.
 query("O06_binary_partition", None)(lambda t: t.customer.select("c_custkey", T.binary_partition(F.col("c_name"), 10, -3, -1).alias("p")))
 query("O07_range_partition", "SELECT o_orderkey, ((o_custkey >= 100)::INT + (o_custkey >= 500)::INT + (o_custkey >= 1000)::INT) AS p FROM orders")(lambda t: t.orders.select("o_orderkey", T.range_partition(F.col("o_custkey"), [100, 500, 1000]).alias("p")))
 query("O08_split_points", "SELECT count(*) AS n FROM range(7)")(lambda t: t.spark.createDataFrame([(len(S.split_points(t.orders, "o_orderkey", 8)),)], "n long"))
+query("O08_split_point_keys", "SELECT i, o_orderkey AS key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) JOIN range(1, 8) t(i) ON place = round_even(i * n / 8, 0)")(lambda t: _split_points(t, t.orders))
+query("O08_split_sampler")(lambda t: _split_points(t, S.first_of_each(t.orders.select("o_orderkey"), 1000)))
+query("O08_random_sampler")(lambda t: _split_points(t, S.by_ratio(t.orders.select("o_orderkey"), 0.1)))
+query("O08_interval_sampler")(lambda t: _split_points(t, S.interval_of_each(t.orders.select("o_orderkey"), 0.1)))
 query("O09_total_order", "SELECT o_orderkey, o_orderdate, n FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")(lambda t: O.numbered(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey"))
 query("O10_sort_rows", "SELECT 0::BIGINT AS errors")(lambda t: O.order_errors(O.numbered(files.sort_rows(t.spark, 20_000), "key", "row_id"), "key", "n").agg(F.count("*").alias("errors")))
 query("O11_sample_ratio")(lambda t: S.by_ratio(t.orders, 0.1).select("o_orderkey"))
@@ -391,6 +395,11 @@ query("O13_descending", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC
 query("O13_descending_whole", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)")(lambda t: O.numbered(A.value_counts(t.lineitem, "l_suppkey").withColumn("k", -F.col("n")), "k", "l_suppkey", name="place").drop("k"))
 
 
+def _split_points(t: Tables, sample: DataFrame) -> DataFrame:
+    """The seven points that cut the sample's order keys in eight ranges."""
+    return t.spark.createDataFrame(list(enumerate(S.split_points(sample, "o_orderkey", 8), 1)), "i long, key long")
+
+
 def _top(t: Tables) -> DataFrame:
     top = A.value_counts(t.lineitem, "l_suppkey").orderBy(F.desc("n"), "l_suppkey").limit(100)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "l_suppkey")))

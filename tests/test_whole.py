@@ -5,6 +5,7 @@ import random
 import pytest
 
 from gridmill.operators import grid as GR
+from gridmill.operators import sampling
 from gridmill.operators import spatial_join as SJ
 from gridmill.operators.index import build
 from gridmill.plans import queries as plans
@@ -39,3 +40,14 @@ def test_indexed_joins_agree_beyond_the_cells(spark, tmp_path, monkeypatch):
             assert sorted(map(tuple, SJ.join_indexed(spark, left, right, way).select("l_id", "r_id").collect())) == want, (n, way)
     monkeypatch.setattr(SJ, "MAX_PAIRS", 0)
     assert sorted(map(tuple, SJ.join_indexed(spark, build(a, str(tmp_path / "a"), GR.Grid(0, 0, 400, 400, 4, 4)), right, "no").select("l_id", "r_id").collect())) == want
+
+
+def test_split_points_cut_all_rows(spark):
+    n = 2_400_000
+    got = sampling.split_points(spark.range(0, n, 1, 4), "id", 8)
+    assert len(got) == 7 and all(abs(p - n * i / 8) < n / 200 for i, p in enumerate(got, 1))
+
+
+def test_interval_sampler(spark):
+    got = [r.id for r in sampling.interval_of_each(spark.range(0, 2000, 1, 2), 0.1).collect()]
+    assert len(got) == 200 and got[:3] == [0, 10, 20] and got[100] == 1000
