@@ -7,7 +7,8 @@ main text or not. The network is trained here, on pages that :func:`training_pag
 footers, sidebars, notices, adverts, forms, reader comments, in many mark-ups); no page of the corpus is used for it.
 
 Edge cases: null html is empty; a page without main text gives an empty text; broken and unclosed tags, comments and raw
-text elements (script, style, ...) are read as browsers do; repeated pages each give a row; other columns are not read.
+text elements (script, style, ...) are read as browsers do; template, svg and select are left out where they are ended, and
+only there; repeated pages each give a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ TRAIN_PAGES, EPOCHS, RATE, SEED = 800, 8, 0.01, 5
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+# Elements left out as a whole, but only where they end.
+SKIPPED = frozenset("template svg select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object".split())
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOUNDS = frozenset("html body article section div main aside nav header footer table ul ol dl form blockquote td th".split())
@@ -52,10 +56,27 @@ def _end_of(tag: str):
     return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I)
 
 
+@lru_cache(maxsize=100)
+def _edge_of(tag: str):
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>]|\Z)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+{'' if tag != 'svg' else '(?<!/)'}>", re.I | re.S)
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a name begins, and the place after its own end tag; one that is not ended is left out."""
+    begun, out = [], {}
+    for m in _edge_of(tag).finditer(page):
+        if m[1]:
+            if begun:
+                out[begun.pop()] = m.end()
+        elif m[1] is not None:
+            begun.append(m.start())
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each leaf block with text, in page order."""
     out, stack, texts, path, linked, at = [], [], [], (), 0, 0
-    page = page or ""
+    page, ends_of = page or "", {}
 
     def close():
         nonlocal texts, linked
@@ -89,6 +110,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 end = _end_of(tag).search(page, at)
                 at = end.end() if end else len(page)
                 continue
+            if tag in SKIPPED:
+                if tag not in ends_of:
+                    ends_of[tag] = _ends(page, tag)
+                at = ends_of[tag].get(m.start(), at)
+                continue
             if tag == "br":
                 if texts:
                     texts.append(" ")

@@ -2,9 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from gridmill.llm import audio
+from gridmill.llm import audio, html
 
 
 def test_audio_returns_every_match(spark, tmp_path):
@@ -51,3 +50,22 @@ def test_audio_search_is_brute_force_on_bit_errors(spark):
     assert got == want
     assert by_votes < len(want)
     assert len({o for q, k, o in got if (q, k) == (30, 31)}) > 1
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>one <svg/> two</p><p>three</p>", "one two three"),
+        ("<p>one <svg class=x /> two <svg><text>no</text></svg> three</p>", "one two three"),
+        ("<p>one <math/> two</p><p>three</p>", "one two three"),
+        ("<p>with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> given</p>", "with x=2 given"),
+        ("<p>one</p><object data=a><p>two</p><p>three</p>", "one two three"),
+        ("<p>one <object>else</object> two</p>", "one else two"),
+        ("<p>one</p><select><option>a<p>two</p><p>three</p><select><option>no</select><p>four</p>", "one a two three four"),
+        ("<p>one</p><svg><p>two</p><!-- </svg> --><p>three", "one two three"),
+        ("<p>one <svg><svg>no</svg>no</svg>two</p><template>no</template>", "one two"),
+        ("<p>one</p><svg>" + "<svg>" * 20_000 + "two", "one two"),
+    ],
+)
+def test_html_keeps_text_beside_elements_left_out(page, text):
+    assert " ".join(t for _, t, _ in html.blocks(page)) == text
