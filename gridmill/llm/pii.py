@@ -27,10 +27,10 @@ KINDS = ("email", "card", "phone", "ssn", "iban", "ip", "date", "secret")
 
 _email = re.compile(r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _secret = re.compile(r"(?i:token|secret|api_?key|password)[ \t]*[=:][ \t]*\"?([0-9A-Za-z_-]{16,})")
-_iban = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])")
+_iban = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![0-9A-Za-z])")
 _number = re.compile(
     r"""(?<![\w.])(?:
-      (?P<date>\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4})
+      (?P<date>\d{4}(?:-\d\d?-\d\d?|/\d\d?/\d\d?|\.\d\d\.\d\d)|\d\d?(?:-\d\d?-|[./]\d\d?[./])\d{4})
      |(?P<ip>\d{1,3}(?:\.\d{1,3}){3})
      |(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})
      |(?P<ssn>\d{3}-\d\d-\d{4})
@@ -113,21 +113,29 @@ def _ip(raw, key, back):
 
 
 def _date(raw, key, back):
-    numbers = [int(x) for x in re.split(r"[-./]", raw)]
-    try:
-        day = datetime.date(*(numbers if "-" in raw else numbers[::-1])).toordinal() - FIRST_DAY
-    except ValueError:
+    """Year, month and day in any usual order, kept with separators and widths. Days up to 12 and beyond stay apart, so that the pseudonym is read in the same order."""
+    fields = re.split(r"[-./]", raw)
+    for order in ("ymd", "ydm") if len(fields[0]) == 4 else ("dmy", "mdy"):
+        at = dict(zip(order, fields, strict=True))
+        try:
+            first = datetime.date(*(int(at[c]) for c in "ymd"))
+            break
+        except ValueError:
+            continue
+    else:
         return None
+    day = first.toordinal() - FIRST_DAY
     if not 0 <= day < DAYS:
         return None
-    while True:  # walk along the cycle until the number is a day
+    while True:  # walk along the cycle until the number is a day that fits the layout
         a, b = feistel(day >> 9, day & 511, (1 << 8, 1 << 9), key, b"date:", back)
         day = a << 9 | b
         if day < DAYS:
-            break
-    d = datetime.date.fromordinal(FIRST_DAY + day)
-    sep = next(c for c in raw if not c.isdigit())
-    return f"{d.year:04}-{d.month:02}-{d.day:02}" if sep == "-" else f"{d.day:02}{sep}{d.month:02}{sep}{d.year:04}"
+            d = datetime.date.fromordinal(FIRST_DAY + day)
+            if (d.day > 12) == (first.day > 12) and d.day < 10 ** len(at["d"]) and d.month < 10 ** len(at["m"]):
+                break
+    new = {"y": f"{d.year:04}", "m": f"{d.month:0{len(at['m'])}}", "d": f"{d.day:0{len(at['d'])}}"}
+    return _relaid(raw, "".join(new[c] for c in order))
 
 
 def _phone(raw, key, back):
@@ -138,14 +146,27 @@ def _phone(raw, key, back):
     return _relaid(raw, digits[:lead] + permute(digits[lead:], key, "phone", back))
 
 
+#: Characters of an IBAN by country, to tell one printed in groups from words after it.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
+
+
 def _ibans(raw, key, back):
+    """The pseudonym of an IBAN, with the spaces of ``raw``; words of capitals after its last group are not read."""
     def check(country, account):
         return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
-    if int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 != 1:
+    groups = raw.split(" ")
+    for n in range(len(groups), 0, -1):
+        own = "".join(groups[:n])
+        if len(groups) > 1 and (n < 3 or len(own) != IBAN_LENGTHS.get(own[:2], len(own)) or not 15 <= len(own) <= 34):
+            continue
+        if int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
+            break
+    else:
         return None
-    account = permute(raw[4:], key, "iban" + raw[:2], back)
-    return f"{raw[:2]}{check(raw[:2], account):02}{account}"
+    account = permute(own[4:], key, "iban" + own[:2], back)
+    new = iter(f"{own[:2]}{check(own[:2], account):02}{account}")
+    return "".join(c if c == " " else next(new) for c in " ".join(groups[:n]))
 
 
 def _mail(raw, key, back):
@@ -174,6 +195,9 @@ def mask_text(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dic
         for m in _secret.finditer(text):
             take("secret", m.start(1), m.end(1), permute(m[1], key, "secret", back))
     if not text.isalpha():
+        for m in _iban.finditer(text):  # before numbers, which its groups look like
+            new = _ibans(m[0], key, back)
+            take("iban", m.start(), m.start() + len(new or ""), new)
         for m in _number.finditer(text):
             kind, raw = m.lastgroup, m[0]
             if kind == "ssn":
@@ -181,8 +205,6 @@ def mask_text(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dic
             else:
                 new = {"date": _date, "ip": _ip, "card": _card, "phone": _phone, "called": _phone}[kind](raw, key, back)
             take("phone" if kind == "called" else kind, m.start(), m.end(), new)
-        for m in _iban.finditer(text):
-            take("iban", m.start(), m.end(), _ibans(m[0], key, back))
     if not spans:
         return text, found
     out, at = [], 0

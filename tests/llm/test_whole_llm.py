@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gridmill.llm import audio, html
+from gridmill.llm import audio, html, pii
 
 
 def test_audio_returns_every_match(spark, tmp_path):
@@ -69,3 +69,25 @@ def test_audio_search_is_brute_force_on_bit_errors(spark):
 )
 def test_html_keeps_text_beside_elements_left_out(page, text):
     assert " ".join(t for _, t, _ in html.blocks(page)) == text
+
+
+@pytest.mark.parametrize("value", ["03/25/2021", "3/25/2021", "3/5/2021", "03-25-2021", "25-03-2021", "2021/03/25", "2021.03.25", "2021/3/5", "2021-25-03", "31.12.1999", "2024-02-29", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034", "NO93 8601 1117 947"])
+def test_usual_spellings_get_pseudonyms(value):
+    kind = "iban" if value[0].isalpha() else "date"
+    for text in (value, f"on {value}, or", f"X {value} AND MORE"):
+        new, found = pii.mask_text(text)
+        assert found == {kind: 1} and value not in new
+        assert pii.mask_text(new, back=True)[0] == text
+        assert "".join("9" if c.isdigit() else c for c in new.replace(value, "")) != "" and len(new) == len(text)
+        assert [c for c in new if not c.isalnum()] == [c for c in text if not c.isalnum()]
+
+
+def test_dates_in_all_orders_are_one_value():
+    year, month, day = (int(x) for x in pii.mask_text("2021-03-25")[0].split("-"))
+    assert pii.mask_text("03/25/2021")[0] == f"{month:02}/{day:02}/{year}" and pii.mask_text("25.03.2021")[0] == f"{day:02}.{month:02}.{year}"
+    assert pii.mask_text("2021.03.25")[0] == f"{year}.{month:02}.{day:02}"
+    days = [f"{m:02}/{d:02}/2021" for m in range(1, 13) for d in range(13, 29)]
+    new = [pii.mask_text(v)[0] for v in days]
+    assert len(set(new)) == len(days) and all(pii.mask_text(n, back=True)[0] == v for n, v in zip(new, days, strict=True))
+    plain, grouped = pii.mask_text("GB82WEST12345698765432")[0], pii.mask_text("GB82 WEST 1234 5698 7654 32")[0]
+    assert grouped.replace(" ", "") == plain
