@@ -12,6 +12,8 @@ columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import array
+import ctypes
+import gc
 import math
 import re
 import struct
@@ -97,6 +99,18 @@ def _once(kind, path: str):
     return _cache[kind, path]
 
 
+def forget() -> None:
+    """Drop a worker's tokenizers, and give the memory that they and Arrow had back to the system."""
+    if _cache:
+        _cache.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = [a.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))

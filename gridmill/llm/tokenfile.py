@@ -9,8 +9,9 @@ Each frame is one document's ids, zstandard-compressed by itself with the dictio
 two small reads: its index entry, then its frame. The dictionary is trained on a bounded sample of serialized id arrays.
 
 Edge cases: null text is empty (only the end id); rows with a null key come first, as one more document each (their key is
-written as the smallest integer and read back as null); equal keys stay side by side, ordered by text; other columns are
-not read; an empty table gives no shard.
+written as the smallest integer and read back as null); equal keys stay side by side, ordered by a hash of the text, so
+that a frequent key is dealt over many ranges; a key that is no integer is read as null; other columns are not read; an
+empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -29,16 +30,20 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .bpe import _byte_letters, _odd, _once, default_tokenizer, library, split_pattern
-from .common import scratch_path, slices
+from .bpe import _byte_letters, _odd, _once, default_tokenizer, forget, library, split_pattern
+from .common import cut, scratch_path, slices
 
 MAGIC = b"GMTOK1\0\0"
 NO_KEY = -(1 << 63)
 #: The dictionary's sample and size: so many documents, characters of each, and bytes, whatever the corpus. Only training uses the sample.
 DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 2000, 20_000, 64 << 10
+#: Bytes of frames that are unpacked at once, ranges of keys whose shards one task numbers, and tasks that shards are read by.
+READ_BYTES, RANGES_EACH, READ_TASKS = 1 << 18, 4096, 100_000
 
 
 class FastEncoder:
@@ -80,7 +85,7 @@ def _write(tokenizer: str, end_id: int, folder: str, dictionary: bytes, shard_by
         encoder, system = _once(FastEncoder, tokenizer), _open(folder)
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         tag = np.array([end_id], np.uint32)
-        keys, counts, frames, size = [], [], [], 0
+        keys, counts, frames, size, place, own_range = [], [], [], 0, 0, TaskContext.get().partitionId()
 
         def flush():
             name = f"{uuid.uuid4().hex}.tok"  # an attempt that is run again writes another file; only the manifest's files count
@@ -90,7 +95,7 @@ def _write(tokenizer: str, end_id: int, folder: str, dictionary: bytes, shard_by
             with system[0].open_output_stream(f"{system[1]}/{name}") as out:
                 for part in (head, np.array(keys, np.int64).tobytes(), np.array(counts, np.uint64).tobytes(), offsets.tobytes(), b"".join(frames)):
                     out.write(part)
-            return pa.RecordBatch.from_pydict({"file": [name], "first_key": pa.array([keys[0]], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"range": pa.array([own_range], pa.int64()), "place": pa.array([place], pa.int64()), "file": [name], "first_key": pa.array([keys[0]], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64())})
 
         for batch in slices(batches, "text"):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -101,7 +106,7 @@ def _write(tokenizer: str, end_id: int, folder: str, dictionary: bytes, shard_by
                 size += len(frames[-1])
                 if size >= shard_bytes:
                     yield flush()
-                    keys, counts, frames, size = [], [], [], 0
+                    keys, counts, frames, size, place = [], [], [], 0, place + 1
         if keys:
             yield flush()
 
@@ -111,28 +116,34 @@ def _write(tokenizer: str, end_id: int, folder: str, dictionary: bytes, shard_by
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 8 << 20, task_bytes: int = 16 << 20) -> DataFrame:
     """Write every document's ids and the end id under ``folder``; returns the manifest: ``file``, ``shard``, ``first_key``, ``n_docs``, ``n_tokens``, ``start``.
 
-    The manifest has a row for each shard, not for each document, and is the only thing that comes to the driver; it is
-    written to ``folder``/manifest as Parquet. The only shuffle puts whole documents into ranges of the key.
+    The manifest has a row for each shard, not for each document, and is written to ``folder``/manifest as Parquet. The
+    only shuffle of texts puts whole documents into ranges of the key. Shards are numbered in the order of the ranges and,
+    in a range, of their writing: by tasks that take RANGES_EACH ranges each, of which only the sums come to the driver (a
+    few thousand rows for a hundred terabytes).
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     n, size = read.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    # Picked by hash, so each task sends its share of the sample only.
+    # Picked by hash, so each task sends its share of the sample only, and the dictionary is the same in each run.
     picked = F.pmod(F.xxhash64("key", "text"), F.lit(max(1, n // DICTIONARY_DOCS))) == 0
-    sample = read.where((F.length("text") > 0) & picked).select("key", F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(2 * DICTIONARY_DOCS)
+    sample = read.where((F.length("text") > 0) & picked).select(F.xxhash64("key", "text").alias("h"), F.substring("text", 1, DICTIONARY_CHARS).alias("text"))
     encoder = _once(FastEncoder, tokenizer)
-    dictionary = train_dictionary([encoder(r.text).tobytes() for r in sorted(sample.collect(), key=lambda r: (r.key is None, r.key, r.text))])
+    dictionary = train_dictionary([encoder(r.text).tobytes() for r in sample.orderBy("h", "text").limit(2 * DICTIONARY_DOCS).collect()])
     _put(folder, "dictionary.json", json.dumps({"sha256": hashlib.sha256(dictionary).hexdigest(), "end_id": end_id, "zstd": base64.b64encode(dictionary).decode()}))
-    ranged = read.repartitionByRange(max(1, math.ceil(size / task_bytes)), "key").sortWithinPartitions("key", "text")
-    shards = ranged.mapInArrow(_write(tokenizer, end_id, folder, dictionary, shard_bytes), "file string, first_key long, n_docs long, n_tokens long")
-    start, rows = 0, []
-    # Shards come back in the order of the ranges and, in a range, in the order they were written.
-    for i, r in enumerate(shards.collect()):
-        rows.append((r.file, i, r.first_key, r.n_docs, r.n_tokens, start))
-        start += r.n_tokens
-    manifest = spark.createDataFrame(rows, "file string, shard long, first_key long, n_docs long, n_tokens long, start long")
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return manifest
+    ranged = read.withColumn("h", F.xxhash64("text")).repartitionByRange(max(1, math.ceil(size / task_bytes)), "key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
+    shards = cut(ranged.mapInArrow(_write(tokenizer, end_id, folder, dictionary, shard_bytes), "range long, place long, file string, first_key long, n_docs long, n_tokens long"), "shards")
+    shards = shards.withColumn("block", F.floor(F.col("range") / RANGES_EACH))
+    shard = tokens = 0
+    before = [(-1, 0, 0)]
+    for block, s, t in sorted(map(tuple, shards.groupBy("block").agg(F.count("*"), F.sum("n_tokens")).collect())):
+        before.append((block, shard, tokens))
+        shard, tokens = shard + s, tokens + t
+    so_far = Window.partitionBy("block").orderBy("range", "place").rowsBetween(Window.unboundedPreceding, -1)
+    own = shards.withColumns({"shard": F.count("*").over(so_far), "start": F.coalesce(F.sum("n_tokens").over(so_far), F.lit(0))})
+    own = own.join(spark.createDataFrame(before, "block long, shards_before long, tokens_before long"), "block")
+    own = own.select("file", (F.col("shard") + F.col("shards_before")).alias("shard"), "first_key", "n_docs", "n_tokens", (F.col("start") + F.col("tokens_before")).alias("start"))
+    own.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return spark.read.schema(own.schema).parquet(f"{folder}/manifest")
 
 
 def _put(folder: str, name: str, content: str) -> None:
@@ -173,8 +184,11 @@ def read_document(folder: str, file: str, position: int, dictionary: bytes) -> n
     return np.frombuffer(raw, "<u4")
 
 
-def _read(folder: str, dictionary: bytes):
+def _read(folder: str, dictionary: bytes, names: list[str]):
+    """Shards (file, start) to rows of documents with the columns ``names``; holds a shard's index and READ_BYTES of its frames, one frame at least."""
+
     def run(batches):
+        forget()  # this worker may have written the shards; their encoders are large
         system, path = _open(folder)
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
@@ -184,27 +198,41 @@ def _read(folder: str, dictionary: bytes):
                     keys = np.frombuffer(f.read(8 * n), np.int64)
                     counts = np.frombuffer(f.read(8 * n), np.uint64).astype(np.int64)
                     offsets = np.frombuffer(f.read(8 * n + 8), np.uint64).astype(np.int64)
-                    starts = r["start"] + np.cumsum(counts) - counts
-                    for i in range(0, n, 500):
-                        j = min(n, i + 500)
+                    starts, i = r["start"] + np.cumsum(counts) - counts, 0
+                    while i < n:
+                        # Frames pack some ids very well, so what they hold is bounded too.
+                        j = min(int(np.searchsorted(offsets, offsets[i] + READ_BYTES, side="right")) - 1, int(np.searchsorted(starts, starts[i] + READ_BYTES, side="right")))
+                        j = min(n, max(i + 1, j))
                         data = f.read(int(offsets[j] - offsets[i]))
-                        ids = [unpack.decompress(data[a:b]) for a, b in zip(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i], strict=True)]
-                        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[i:j], mask=keys[i:j] == NO_KEY), "start": starts[i:j], "n_tokens": counts[i:j], "ids": pa.array(ids, pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())})
+                        ids, sums = [], []
+                        for a, b in zip(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i], strict=True):
+                            raw = unpack.decompress(data[a:b])
+                            sums.append(zlib.crc32(raw))
+                            if "ids" in names:
+                                ids.append(raw)
+                        columns = {"key": pa.array(keys[i:j], mask=keys[i:j] == NO_KEY), "start": pa.array(starts[i:j]), "n_tokens": pa.array(counts[i:j]), "ids_crc32": pa.array(sums, pa.int64())}
+                        if ids:
+                            columns["ids"] = pa.array(ids, pa.binary())
+                        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+                        i = j
 
     return run
 
 
-def read(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """All documents of the shards: ``key``, ``start`` (ids before it), ``n_tokens``, ``ids``, ``ids_crc32``."""
-    spark = manifest.sparkSession
-    parts = max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))
-    fields = f"`{key}` long, start long, n_tokens long, ids binary, ids_crc32 long"
-    reader = _read(folder, read_dictionary(folder))
-    return manifest.select("file", "start").repartition(parts).mapInArrow(lambda b: (x.rename_columns([key, *x.schema.names[1:]]) for x in reader(b)), fields)
+_FIELDS = {"key": "long", "start": "long", "n_tokens": "long", "ids": "binary", "ids_crc32": "long"}
+
+
+def read(manifest: DataFrame, folder: str, key: str = "doc_id", columns: tuple[str, ...] = ("start", "n_tokens", "ids", "ids_crc32")) -> DataFrame:
+    """All documents of the shards: ``key``, and of ``columns``: ``start`` (ids before it), ``n_tokens``, ``ids``, ``ids_crc32``. Ids that aren't asked for don't leave the worker."""
+    names = ["key", *columns]
+    fields = ", ".join(f"{n} {_FIELDS[n]}" for n in names)
+    parts = max(1, min(manifest.count(), READ_TASKS))
+    out = manifest.select("file", "start").repartition(parts).mapInArrow(_read(folder, read_dictionary(folder), names), fields)
+    return out.withColumnRenamed("key", key)
 
 
 def op3_tokenfile(spark, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum as read back from the token files."""
     folder = scratch_path(spark, "tokens")
     manifest = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    return read(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(manifest, folder, columns=("start", "n_tokens", "ids_crc32"))

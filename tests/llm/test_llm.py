@@ -65,11 +65,21 @@ def test_word_codes_of_any_size():
     assert (bpe._unpack_codes(*bpe._pack_codes(codes.copy())) == codes).all()
 
 
-def test_token_files(spark, small, library, tmp_path):
+def test_token_files(spark, small, library, tmp_path, monkeypatch):
     docs, folder = table(spark, ODD), f"file://{tmp_path}/t"
     manifest = tokenfile.write(docs, folder, shard_bytes=300, task_bytes=1 << 14)
     got = sorted(tokenfile.read(manifest, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda k: (k is not None, k))
+    shards = manifest.orderBy("shard").collect()
+    assert len(shards) > 1 and [r.shard for r in shards] == list(range(len(shards)))
+    assert [r.start for r in shards] == [sum(s.n_tokens for s in shards[:i]) for i in range(len(shards))]
+    short = tokenfile.read(manifest, folder, columns=("ids_crc32", "start"))
+    assert short.columns == ["doc_id", "ids_crc32", "start"] and sorted(map(tuple, short.collect()), key=lambda r: r[2]) == [(r.doc_id, r.ids_crc32, r.start) for r in got]
+    monkeypatch.setattr(tokenfile, "RANGES_EACH", 1)
+    monkeypatch.setattr(tokenfile, "READ_BYTES", 1)
+    again = tokenfile.write(docs, folder + "2", shard_bytes=300, task_bytes=1 << 14)
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read(again, folder + "2").collect()) == [(r.start, r.n_tokens, r.ids_crc32) for r in got]
+    assert tokenfile.read_dictionary(folder) == tokenfile.read_dictionary(folder + "2")
     start = 0
     for r in got:
         assert (r.start, r.n_tokens) == (start, len(r.ids) // 4)
