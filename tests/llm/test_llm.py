@@ -239,11 +239,13 @@ def brute_components(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-@pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 256), (5, 80, 8)])
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 48), (5, 80, 6), (4, 80, 3)])
 def test_near_duplicates(spark, monkeypatch, width, percent, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
-    if block < 256:  # many blocks also in small groups
-        monkeypatch.setattr(F, "sqrt", lambda c: F.lit(0.0))
+    monkeypatch.setattr(neardup, "MEMBERS", block)  # many cells also in small groups
+    monkeypatch.setattr(neardup, "PIVOTS", max(1, block // 3))
+    if block < 6:
+        monkeypatch.setattr(neardup, "CELL_BYTES", 3000)
+        monkeypatch.setattr(neardup, "PIECE_BYTES", 40)
     r = random.Random(width)
     base = [[f"w{r.randrange(500)}" for _ in range(90)] for _ in range(4)]
     texts = {}
@@ -261,6 +263,31 @@ def test_near_duplicates(spark, monkeypatch, width, percent, block):
     assert [(x.component_id, x.kept) for x in got if x.doc_id is None] == [(None, True)] * 2
 
 
+def thue_morse(n):
+    """A word of n letters on which polynomial hashes modulo a power of two fail, and the one with its letters exchanged."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[v] for v in bits), "".join("ba"[v] for v in bits)
+
+
+def test_different_words_are_not_linked(spark):
+    rows = [(i * 10 + k, w) for i, n in enumerate((1024, 2048, 4096, 8192)) for k, w in enumerate(thue_morse(n))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got)
+
+
+@pytest.mark.parametrize("block", [48, 2])
+def test_keys_with_several_texts_join_their_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "MEMBERS", block)
+    r = random.Random(9)
+    text = {c: " ".join(f"{c}{r.randrange(99)}" for _ in range(40)) for c in "ABCDEFG"}
+    near = text["D"].rsplit(" ", 1)[0]
+    rows = [(2, "B"), (3, "C"), (5, "B"), (5, "C"), (7, "D"), (7, "E"), (8, "E"), (9, "F"), (9, "F"), (4, "G"), (4, "G")]
+    df = spark.createDataFrame([(k, text[c]) for k, c in rows] + [(6, near), (6, None), (1, None), (1, "")], "doc_id long, text string")
+    got = neardup.near_duplicates(df, width=3, percent=85).collect()
+    assert len(got) == len(rows) + 4
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 2), (3, 2), (5, 2), (4, 4), (6, 6), (7, 6), (8, 6), (9, 9)}
+
+
 def test_near_duplicates_sql_and_empty(spark, small):
     compare(neardup.op7_neardup(spark, small), neardup.OP7_SQL, small)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
