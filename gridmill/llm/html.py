@@ -6,9 +6,13 @@ hashed words, and a few sizes. A bidirectional LSTM in numpy reads the whole seq
 main text or not. The network is trained here, on pages that :func:`training_page` invents (article, menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, in many mark-ups); no page of the corpus is used for it.
 
-Edge cases: null html is empty; a page without main text gives an empty text; broken and unclosed tags, comments and raw
-text elements (script, style, ...) are read as browsers do; template, svg and select are left out where they are ended, and
-only there; repeated pages each give a row; other columns are not read.
+Pages are scanned once by position, and a path is a chain of nodes that blocks share, so time and memory grow with the
+page's length only, however it is nested or broken.
+
+Edge cases: null html is empty; a page without main text gives an empty text; broken and unclosed tags and comments are read
+as browsers do without scripts; left out are the contents of script, style and textarea, of a title outside svg, and of a
+select where it is ended; other elements (math, svg, object, noscript, template, iframe, ...) are read as any; repeated
+pages each give a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,16 +34,17 @@ TRAIN_PAGES, EPOCHS, RATE, SEED = 800, 8, 0.01, 5
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe".split())
-# Elements left out as a whole, but only where they end.
-SKIPPED = frozenset("template svg select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object".split())
+RAW = frozenset("script style textarea title".split())
+# Left out as a whole, but only where it ends.
+SKIPPED = "select"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object svg tspan".split())
 INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOUNDS = frozenset("html body article section div main aside nav header footer table ul ol dl form blockquote td th".split())
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_stop = re.compile(r"[>\"']")
 _attr = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[a-z]+")
 
@@ -56,64 +61,162 @@ def _end_of(tag: str):
     return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I)
 
 
-@lru_cache(maxsize=100)
-def _edge_of(tag: str):
-    return re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>]|\Z)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+{'' if tag != 'svg' else '(?<!/)'}>", re.I | re.S)
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The place of the ``>`` that ends a tag, quoted ones left out, or -1. ``dead``: quotes from which none was found, shared by a page's tags."""
+    seen = []
+    while m := _stop.search(page, at):
+        i = m.start()
+        if page[i] == ">":
+            return i
+        seen.append(i)
+        close = -1 if i in dead else page.find(page[i], i + 1)
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(seen)
+    return -1
+
+
+def _tokens(page: str):
+    """(text before, whether an end tag, name, attributes) of each tag, comments left out; at the end the rest of the text with an empty name. Raw elements are left out."""
+    begun, at, parts, dead, svg, last = 0, 0, [], set(), 0, page.rfind(">")
+    while (i := page.find("<", at)) >= 0:
+        c = page[i + 1 : i + 2]
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            parts.append(page[begun:i])
+            begun = at = end + 3 if end >= 0 else len(page)
+            continue
+        slash = c == "/"
+        m = _name.match(page, i + 1 + slash)
+        if not m:
+            if c in ("!", "?", "/") and c:
+                end = page.find(">", i)
+                parts.append(page[begun:i])
+                begun = at = end + 1 if end >= 0 else len(page)
+            else:  # a plain character
+                at = i + 1
+            continue
+        parts.append(page[begun:i])
+        if m.end() > last:  # no tag ends from here on
+            begun = len(page)
+            break
+        end = _tag_end(page, m.end(), dead)
+        end = page.find(">", m.end()) if end < 0 else end
+        begun = at = end + 1
+        tag, attributes = m[0].lower(), page[m.end() : end]
+        if tag in RAW and not slash and not (tag == "title" and svg):
+            close = _end_of(tag).search(page, at)
+            begun = at = close.end() if close else len(page)
+            continue
+        if tag == "svg":
+            svg = max(0, svg - 1) if slash else svg + (not attributes.endswith("/"))
+        yield "".join(parts), slash, tag, attributes
+        parts = []
+    parts.append(page[begun:])
+    yield "".join(parts), False, "", ""
 
 
-def _ends(page: str, tag: str) -> dict[int, int]:
-    """Where each element of a name begins, and the place after its own end tag; one that is not ended is left out."""
+def _select_ends(tokens: list) -> dict[int, int]:
+    """The place of each select and of the end tag that closes it."""
     begun, out = [], {}
-    for m in _edge_of(tag).finditer(page):
-        if m[1]:
-            if begun:
-                out[begun.pop()] = m.end()
-        elif m[1] is not None:
-            begun.append(m.start())
+    for i, (_, slash, tag, _) in enumerate(tokens):
+        if tag == SKIPPED:
+            if not slash:
+                begun.append(i)
+            elif begun:
+                out[begun.pop()] = i
     return out
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each leaf block with text, in page order."""
-    out, stack, texts, path, linked, at = [], [], [], (), 0, 0
-    page, ends_of = page or "", {}
+class Node:
+    """An element on a block's path, below ``parent``."""
+
+    __slots__ = ("parent", "part", "number")
+
+    def __init__(self, parent: Node | None, part: str, number: int):
+        self.parent, self.part, self.number = parent, part, number
+
+
+class _Stack:
+    """The open elements, and where each kind of them is, so that no look-up walks through all."""
+
+    def __init__(self):
+        self.tags, self.nodes, self.places = [], [None], {}
+        self.bounds, self.outer, self.count = [], [], 0
+
+    def top(self) -> Node | None:
+        return self.nodes[-1]
+
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else -1
+
+    def push(self, tag: str, part: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.tags))
+        if tag not in INLINE:
+            self.outer.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(Node(self.nodes[-1], part, self.count))
+        self.count += 1
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.places[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
+            if tag not in INLINE:
+                self.outer.pop()
+
+    def closed_by(self, tag: str) -> int:
+        """The place of the open element that a new element of a name closes, or -1."""
+        found = max([self.last(t) for t in CLOSES.get(tag, ())], default=-1)
+        if tag in ENDS_P:
+            found = max(found, self.last("p"))
+        return found if found >= (self.bounds[-1] if self.bounds else 0) else -1
+
+
+def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
+    """(innermost open element, text, characters in links) of each leaf block with text, in page order."""
+    out, stack, texts, node, linked = [], _Stack(), [], None, 0
+    tokens = list(_tokens(page or ""))
+    ends = _select_ends(tokens)
 
     def close():
         nonlocal texts, linked
         if texts:
             text = " ".join(entities.unescape("".join(texts)).split())
             if text:
-                out.append((path, text, linked))
+                out.append((node, text, linked))
             texts, linked = [], 0
 
     def add(text):
-        nonlocal path, linked
+        nonlocal node, linked
         if not text:
             return
         if not texts:
             if text.isspace():
                 return
-            path = tuple(e for t, e in stack)
+            node = stack.top()
         texts.append(text)
-        if any(t == "a" for t, _ in stack):
+        if stack.last("a") >= 0:
             linked += len(text.strip())
 
-    while m := _tag.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    skip = -1
+    for i, (text, slash, tag, attributes) in enumerate(tokens):
+        if i <= skip:
+            continue
+        add(text)
         if not tag:
             continue
-        tag = tag.lower()
         if not slash:
-            if tag in RAW:
-                end = _end_of(tag).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            if tag in SKIPPED:
-                if tag not in ends_of:
-                    ends_of[tag] = _ends(page, tag)
-                at = ends_of[tag].get(m.start(), at)
+            if tag == SKIPPED:
+                skip = ends.get(i, -1)
                 continue
             if tag == "br":
                 if texts:
@@ -123,49 +226,69 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 close()
             if tag in VOID:
                 continue
-            ends = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
-                if t in ends or (t == "p" and tag in ENDS_P):
-                    close()
-                    del stack[i:]
-                    break
-                if t in BOUNDS:
-                    break
+            place = stack.closed_by(tag)
+            if place >= 0:
+                close()
+                stack.cut(place)
             if not attributes.endswith("/"):
-                stack.append((tag, _element(tag, attributes)))
+                stack.push(tag, _element(tag, attributes))
         else:
             if tag not in INLINE:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-    add(page[at:])
+            place = stack.last(tag)
+            if place >= 0 and (tag not in INLINE or place > (stack.outer[-1] if stack.outer else -1)):
+                stack.cut(place)
     close()
     return out
 
 
 @lru_cache(maxsize=50_000)
-def _path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
-    parts = [w for e in path if not e.startswith(("html", "body")) for w in e.split()]
-    return tuple(zlib.crc32(w.encode()) % PATHS for w in parts) or (0,)
+def _part_ids(part: str) -> tuple[int, ...]:
+    return () if part.startswith(("html", "body")) else tuple(zlib.crc32(w.encode()) % PATHS for w in part.split())
+
 
+def path_ids(node: Node | None) -> tuple[int, ...]:
+    """The hashed parts of a whole path, outermost first; training needs them one by one."""
+    parts = []
+    while node is not None:
+        parts.append(_part_ids(node.part))
+        node = node.parent
+    return tuple(i for ids in reversed(parts) for i in ids) or (0,)
+
+
+def _path_means(nodes: list[Node | None], table: np.ndarray) -> np.ndarray:
+    """The mean vector of each path's parts. Each node's sum is its parent's and its own parts', taken once."""
+    sums: dict[int, tuple[np.ndarray, int]] = {}
+    nothing = np.zeros(table.shape[1])
+    out = np.empty((len(nodes), table.shape[1]), np.float32)
+    for k, node in enumerate(nodes):
+        chain = []
+        while node is not None and node.number not in sums:
+            chain.append(node)
+            node = node.parent
+        total, n = sums[node.number] if node is not None else (nothing, 0)
+        for below in reversed(chain):
+            if ids := _part_ids(below.part):
+                total, n = total + table[list(ids)].sum(axis=0, dtype=np.float64), n + len(ids)
+            sums[below.number] = (total, n)
+        out[k] = total / n if n else table[0]
+    return out
 
-def vectors(found: list[tuple[tuple[str, ...], str, int]], weights: dict) -> tuple[np.ndarray, list]:
-    """The blocks' input vectors, and the hashed parts that they are made of."""
+
+def vectors(found: list[tuple[Node | None, str, int]], weights: dict, parts: bool = False):
+    """The blocks' input vectors; with ``parts`` also the hashed parts that they are made of, for training."""
     _, _, _, words, counts = words_of([t.lower().encode() for _, t, _ in found])
     words = (words % np.uint64(WORDS)).astype(np.int64)
-    paths = [_path_ids(p) for p, _, _ in found]
-    n = np.array([len(p) for p in paths])
-    flat = np.fromiter((i for p in paths for i in p), np.int64, int(n.sum()))
-    p = np.add.reduceat(weights["path"][flat], np.cumsum(n) - n, axis=0) / n[:, None]
     w = np.add.reduceat(weights["word"][words], np.cumsum(counts) - counts, axis=0) / counts[:, None]
     chars = np.array([len(t) for _, t, _ in found], np.float32)
     links = np.array([k for _, _, k in found], np.float32)
     sizes = np.stack([np.log1p(chars) / 6, np.minimum(1, links / chars), np.array([t[-1] in ".!?:\"'”»" for _, t, _ in found], np.float32), np.array([sum(map(t.count, ",.;")) for _, t, _ in found], np.float32) / chars * 10], 1)
+    if not parts:
+        return np.concatenate([_path_means([node for node, _, _ in found], weights["path"]), w, sizes], 1).astype(np.float32)
+    paths = [path_ids(node) for node, _, _ in found]
+    n = np.array([len(p) for p in paths])
+    flat = np.fromiter((i for p in paths for i in p), np.int64, int(n.sum()))
+    p = np.add.reduceat(weights["path"][flat], np.cumsum(n) - n, axis=0) / n[:, None]
     return np.concatenate([p, w, sizes], 1).astype(np.float32), [(flat, n), (words, counts)]
 
 
@@ -388,7 +511,7 @@ def _gradients(own, weights):
     x, mask, y = np.zeros((steps, len(own), size), np.float32), np.zeros((steps, len(own)), np.float32), np.zeros((steps, len(own)), np.float32)
     parts = []
     for k, (found, labels) in enumerate(own):
-        x[: len(found), k], ids = vectors(found, weights)
+        x[: len(found), k], ids = vectors(found, weights, parts=True)
         if k % 4:  # three of four pages in a step are learned by their paths alone, so that words don't take over
             x[:, k, PATH_DIM : PATH_DIM + WORD_DIM] = 0
         mask[: len(found), k], y[: len(found), k] = 1, labels
@@ -414,7 +537,7 @@ def _gradients(own, weights):
 def extract(pages: list[str | None], weights: dict) -> list[str]:
     """The main text of each page: its main blocks in page order, joined by one space."""
     found = [blocks(p) for p in pages]
-    chances = label([vectors(b, weights)[0] if b else np.zeros((0, 1)) for b in found], weights)
+    chances = label([vectors(b, weights) if b else np.zeros((0, 1)) for b in found], weights)
     return [" ".join(t for (_, t, _), p in zip(b, c, strict=True) if p >= 0.5) for b, c in zip(found, chances, strict=True)]
 
 

@@ -325,7 +325,7 @@ def test_html(spark, small):
         page, labels = html.training_page(rng)
         found = html.blocks(page)
         if len(found) == len(labels):
-            p = html.label([html.vectors(found, weights)[0]], weights)[0] >= 0.5
+            p = html.label([html.vectors(found, weights)], weights)[0] >= 0.5
             wrong, seen = wrong + int((p != np.array(labels)).sum()), seen + len(labels)
     assert seen > 2000 and wrong / seen < 0.01
     pages = "<nav><ul><li><a href=/x>of</a></li></ul></nav><article><h1>A &amp; B</h1><p>one<br>two <b>three<p>four\n\t five<!-- no <p>no</p> --></article><script>'<p>no</p>'</script><footer>&copy; no</footer>"

@@ -1,5 +1,8 @@
 """The training-data operators do the whole job: nothing that belongs to a result is left out."""
 
+import time
+import zlib
+
 import numpy as np
 import pytest
 
@@ -56,14 +59,16 @@ def test_audio_search_is_brute_force_on_bit_errors(spark):
     ("page", "text"),
     [
         ("<p>one <svg/> two</p><p>three</p>", "one two three"),
-        ("<p>one <svg class=x /> two <svg><text>no</text></svg> three</p>", "one two three"),
+        ("<p>one <svg class=x /> two <svg><title>a</title><text>drawn</text></svg> three</p>", "one two a drawn three"),
         ("<p>one <math/> two</p><p>three</p>", "one two three"),
         ("<p>with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> given</p>", "with x=2 given"),
         ("<p>one</p><object data=a><p>two</p><p>three</p>", "one two three"),
         ("<p>one <object>else</object> two</p>", "one else two"),
         ("<p>one</p><select><option>a<p>two</p><p>three</p><select><option>no</select><p>four</p>", "one a two three four"),
         ("<p>one</p><svg><p>two</p><!-- </svg> --><p>three", "one two three"),
-        ("<p>one <svg><svg>no</svg>no</svg>two</p><template>no</template>", "one two"),
+        ("<title>no</title><style>no</style><p>one</p><template><p>two</p></template><noscript><p>three</p></noscript><iframe>four</iframe>", "one two three four"),
+        ("<article><p>E is <math><mi>mc</mi></math> ok</p><object>alt <p>text</p></object></article>", "E is mc ok alt text"),
+        ("<p>one<textarea>no</textarea><script>'<p>no</p>'</script> two", "one two"),
         ("<p>one</p><svg>" + "<svg>" * 20_000 + "two", "one two"),
     ],
 )
@@ -71,6 +76,43 @@ def test_html_keeps_text_beside_elements_left_out(page, text):
     assert " ".join(t for _, t, _ in html.blocks(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "found"),
+    [
+        ("<" + "a" * 1_000_000, 0),
+        ("<aaaa" * 200_000, 0),
+        ("x" + "<a \"'>" * 200_000, 1),
+        ("<a '" * 100_000 + '">y' * 100_000, 1),
+        ('<select "' * 100_000 + ">x", 1),
+        ("<!--" * 200_000, 0),
+        ("".join(f"<div>t{i} " for i in range(100_000)), 100_000),
+        ("<p><td>" + "<h1>x" * 100_000, 100_000),
+        ("<b>x" * 100_000, 1),
+        ("<ul><li><p>x" * 50_000, 50_000),
+    ],
+)
+def test_html_of_any_shape_takes_time_by_its_length(page, found):
+    begun = time.process_time()
+    got = html.blocks(page)
+    assert len(got) == found
+    if got:
+        html.vectors(got, {"path": np.ones((html.PATHS, html.PATH_DIM), np.float32), "word": np.ones((html.WORDS, html.WORD_DIM), np.float32)})
+    assert time.process_time() - begun < 10
+
+
+def test_path_vectors_are_the_means_of_all_parts():
+    rng = np.random.default_rng(8)
+    weights = {"path": rng.standard_normal((html.PATHS, html.PATH_DIM)).astype(np.float32), "word": np.zeros((html.WORDS, html.WORD_DIM), np.float32)}
+    for _ in range(30):
+        found = html.blocks(html.training_page(rng)[0] + "plain")
+        for (node, _, _), got in zip(found, html.vectors(found, weights), strict=True):
+            parts = []
+            while node is not None:
+                parts += [zlib.crc32(w.encode()) % html.PATHS for w in node.part.split()] if not node.part.startswith(("html", "body")) else []
+                node = node.parent
+            assert np.allclose(got[: html.PATH_DIM], np.mean([weights["path"][i] for i in parts or [0]], axis=0), atol=1e-5)
+
+
 @pytest.mark.parametrize("value", ["03/25/2021", "3/25/2021", "3/5/2021", "03-25-2021", "25-03-2021", "2021/03/25", "2021.03.25", "2021/3/5", "2021-25-03", "31.12.1999", "2024-02-29", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034", "NO93 8601 1117 947"])
 def test_usual_spellings_get_pseudonyms(value):
     kind = "iban" if value[0].isalpha() else "date"
