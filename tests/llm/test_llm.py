@@ -112,10 +112,29 @@ def least_edits(item, text):
     return int(cost.min())
 
 
-def test_decontamination_finds_all_within_the_budget(spark):
+def held_items(text, items):
+    """(item, least edits) of the items that a text holds by the rules, each looked at by itself."""
+    text, out = decontam.normalise(text), {}
+    for i, item in items:
+        item = decontam.normalise(item)
+        if not item:
+            continue
+        if len(item) < decontam.SHORT_CHARS:
+            if f" {item} " in f" {text} ":
+                out[i] = 0
+        elif (edits := least_edits(item, text)) <= decontam.budget(len(item))[0]:
+            out[i] = edits
+    return out
+
+
+@pytest.mark.parametrize(("block", "wave"), [(2 << 20, 4), (60, 1), (60, 2)])
+def test_decontamination_finds_all_within_the_budget(spark, tmp_path, monkeypatch, block, wave):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontam, "WAVE", wave)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdehilnorst") for _ in range(r.randrange(1, 8)))
-    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 14, 30, 60)] + ["tiny one"]
+    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 14, 30, 60)] + ["tiny one", "q", "q7!", "漢", "漢字", "Is it so?"]
+    items += ["".join(r.choice("abcde ") for _ in range(n)).strip() for n in range(1, 31)]
     texts = []
     for _ in range(80):
         item = list(r.choice(items))
@@ -123,22 +142,33 @@ def test_decontamination_finds_all_within_the_budget(spark):
             p = r.randrange(len(item))
             item[p : p + 1] = r.choice([[], ["z"], [item[p], "q"]])
         texts.append(" ".join(word() for _ in range(r.randrange(0, 40))) + " " + "".join(item).upper() + "! " + " ".join(word() for _ in range(20)))
-    texts += [None, "", items[0], "\n".join(items), " ".join(items[3:4] * 3)]
+    texts += [None, "", items[0], "\n".join(items), " ".join(items[3:4] * 3), "xq", "q", "is it, so", "漢字", "漢 字"]
     docs = table(spark, texts).where("doc_id is not null")
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.edits for x in decontam.contaminated(docs, bench).collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        for k, item in enumerate(map(decontam.normalise, items)):
-            edits = least_edits(item, decontam.normalise(t))
-            if len(item) >= decontam.MIN_CHARS and edits <= decontam.budget(len(item))[0]:
-                want[i, k] = edits
-    assert got == want and len(want) > 40
-    left = decontam.remove(docs, bench)
+    bench = [*enumerate(items), (90, None), (91, "?!"), (0, items[0])]
+    frame = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    docs.where("text <> 'again' or text is null").select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    frame.write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = sorted((i, k, e) for i, t in enumerate(texts) for k, e in held_items(t, [(k, t or "") for k, t in bench]).items())
+    want += [(i, k, e) for i, k, e in want if k == 0]  # item 0 is listed twice
+    got = [(x.doc_id, x.item_id, x.edits) for x in decontam.op4_decontam(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    for x in decontam.contaminated(docs, frame).where("edits = 0").collect():
+        if texts[x.doc_id]:
+            assert decontam.normalise(texts[x.doc_id])[x.start : x.end] == decontam.normalise(items[x.item_id])
+    left = decontam.remove(docs, frame)
     assert left.columns == docs.columns
-    assert {x.doc_id for x in left.collect()} == {x.doc_id for x in docs.collect()} - {i for i, _ in want}
-    assert decontam.contaminated(docs.limit(0), bench).count() == 0
-    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+    again = held_items("again", [(k, t or "") for k, t in bench])
+    assert {x.doc_id for x in left.where("text <> 'again' or text is null").collect()} == {i for i in range(len(texts))} - {i for i, _, _ in want} and not again
+    assert decontam.contaminated(docs.limit(0), frame).count() == 0
+    assert decontam.contaminated(docs, frame.limit(0)).count() == 0
+    assert decontam.remove(docs, frame.limit(0)).count() == docs.count()
+
+
+def test_decontamination_with_an_item_longer_than_a_slice():
+    r = random.Random(4)
+    item = "".join(r.choice("abcdefgh ") for _ in range(1_300_000)).replace("  ", " ").strip()
+    index = decontam.Index.of([(5, item)])
+    assert [x[:3] for x in decontam.find(index, ["no", "x " + item + " y"])] == [(1, 5, 0)]
 
 
 def test_chat(spark, small):
@@ -407,8 +437,8 @@ def test_pipeline_by_brute_force(spark, small, library):
     kept = {i: r.text for i, r in docs.items() if model.score([r.text.encode()])[0] >= 0.3}
     parts = brute_components(kept, 5, 80)
     kept = {i: t for i, t in kept.items() if parts[i][1] == i}
-    bench = [decontam.normalise(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    kept = {i: t for i, t in kept.items() if not any(b in decontam.normalise(t) or least_edits(b, decontam.normalise(t)) <= decontam.budget(len(b))[0] for b in bench)}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in kept.items() if not held_items(t, bench)}
     want = {i: np.array(library.encode(pii.mask_text(t)[0], add_special_tokens=False).ids, "<u4").tobytes() for i, t in kept.items()}
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, small).collect()} == want
     assert len(want) < len(docs)
