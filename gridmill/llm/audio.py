@@ -3,15 +3,17 @@
 A recording (signed 16-bit mono samples) is cut into overlapping frames; each frame's spectrum is summed into twelve pitch
 classes and normalised. Over the image of frames by pitch classes an integral image lets sixteen rectangle filters be taken
 at each position with four look-ups each; each filter's value, quantised to two Gray-coded bits, makes one packed 32-bit
-code per position. Two recordings are laid over each other at every offset, and the share of bits that differ over the
-aligned stretch (bit errors) decides whether they match.
+code per position. For two recordings, a histogram over all offsets counts the bits that agree less those that differ; each
+offset whose count can reach the threshold is aligned, and the share of bits that differ over the aligned stretch (bit
+errors) decides whether they match. Counting bits, not whole codes, the histogram misses no match, however its errors lie.
 
 Recordings with equal fingerprints form one class, named by its smallest key. Matches are pairs of class representatives,
 found by comparing blocks of them, so copies are never expanded into pairs; a search takes the classes of every key divisible
 by ``QUERY_STEP`` as queries against all classes. Its time grows with queries times classes.
 
 Edge cases: null or too short recordings have no codes, are a class by themselves and match nothing; repeated rows each
-give a row; a null key matches nothing; other columns are not read; an empty table gives an empty one.
+give a row; a null key, or one that is no integer, matches nothing; other columns are not read; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ RATE, FRAME, HOP = 5512, 2048, 682
 LOW, HIGH = 28.0, 2000.0
 #: Frames that a filter spans.
 SPAN = 16
-#: Whole codes that agree at one offset in a search by votes (the search here asks for none), codes that an alignment must
-#: cover, and the bit errors up to which it is a match.
-LEAST_VOTES, LEAST_OVERLAP, MAX_BIT_ERROR = 3, 12, 0.15
+#: Codes that an alignment must cover, and the bit errors up to which it is a match.
+LEAST_OVERLAP, MAX_BIT_ERROR = 12, 0.15
 QUERY_STEP = 20
 #: Recordings, and bytes of their codes, in a block of the search.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 19
@@ -190,8 +191,8 @@ def _spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
 def alignments(asked: list[np.ndarray], codes: list[np.ndarray]):
     """(place in ``asked``, place in ``codes``, offset) of each alignment of two sides that can be a match.
 
-    Agreeing less differing bits at all offsets are a correlation, taken through its Fourier transform. What comes out is
-    rounded, so a margin far above its error is allowed; each alignment is counted exactly afterwards.
+    The histogram of agreeing less differing bits over all offsets is a correlation, taken through its Fourier transform.
+    What comes out is rounded, so a margin far above its error is allowed; each alignment is counted exactly afterwards.
     """
     na, nb = np.array([len(c) for c in asked]), np.array([len(c) for c in codes])
     if not len(na) or not len(nb) or min(na.max(), nb.max()) < LEAST_OVERLAP:
@@ -249,26 +250,24 @@ def matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
     return blocks.mapInArrow(_verify, "query long, id long, offset long, bit_error double")
 
 
-def found_matches(found: DataFrame) -> DataFrame:
-    """``query``, ``n_matches`` (classes that match) and ``matches``: every (id, offset, bit_error), best first."""
-    every = F.sort_array(F.collect_list(F.struct(F.col("bit_error").alias("e"), "id", "offset")))
-    return found.groupBy("query").agg(F.count_distinct("id").alias("n_matches"), F.transform(every, lambda m: F.struct(m["id"].alias("id"), m["offset"].alias("offset"), F.round(m["e"], 6).alias("bit_error"))).alias("matches"))
-
-
 def op1_audio(spark, sf_dir: str) -> DataFrame:
-    """Each vector's recording: ``vec_id``, ``n_codes``, ``fingerprint``, its class, and for queries the classes that match.
+    """A row for each vector's recording: ``vec_id``, ``n_codes``, ``fingerprint``, ``class_id``, and for queries ``n_matches`` (classes that match).
 
-    ``matches`` holds all matches of a class and stands in the row of the class's smallest query key, so that copies don't
-    repeat it; the class's other queries find it by ``class_id``. ``match_id`` and what follows are the best one, in each.
+    Beside these, a row for each match of a query class, with the class's smallest query key as ``vec_id``, its
+    ``class_id``, and ``match_id`` (the other class), ``match_offset`` and ``bit_error``; a class's other queries find
+    them by class_id, so copies repeat no match.
     """
     table = cut(fingerprints(recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))), "fingerprints")
     full = table.where("n_codes > 0 and key is not null")
-    ids = full.groupBy("fingerprint").agg(F.min("key").alias("id"), F.min(F.when(F.col("key") % QUERY_STEP == 0, F.col("key"))).alias("asked"))
+    ids = cut(full.groupBy("fingerprint").agg(F.min("key").alias("id"), F.min(F.when(F.col("key") % QUERY_STEP == 0, F.col("key"))).alias("asked")), "ids")
     classes = cut(full.join(ids.withColumnRenamed("fingerprint", "own"), (F.col("key") == F.col("id")) & (F.col("fingerprint") == F.col("own"))).dropDuplicates(["id"]).select("id", "codes", "asked"), "classes")
-    found = cut(found_matches(matches(classes, classes.where("asked is not null"))), "matches")
-    member = table.join(ids, "fingerprint", "left").select("key", "n_codes", "fingerprint", F.coalesce("id", "key").alias("class_id"), "asked")
-    query = F.col("key") % QUERY_STEP == 0
-    best = found.select("query", "n_matches", F.get("matches", F.lit(0)).alias("best"))
-    out = member.join(best, (member.class_id == best["query"]) & query, "left").drop("query")
-    out = out.join(found.select("query", "matches"), (out.class_id == F.col("query")) & (out.key == out.asked), "left")
-    return out.select(F.col("key").alias("vec_id"), "n_codes", "fingerprint", "class_id", F.when(query, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.col("best.id").alias("match_id"), F.col("best.offset").alias("match_offset"), F.col("best.bit_error").alias("bit_error"), "matches")
+    found = cut(matches(classes, classes.where("asked is not null")), "matches")
+    counts = cut(found.groupBy("query").agg(F.count_distinct("id").alias("n_matches")), "counts")
+    member = table.join(ids, "fingerprint", "left").select("key", "n_codes", "fingerprint", F.coalesce("id", "key").alias("class_id"))
+    member = member.join(counts, member.class_id == counts["query"], "left")
+    number = F.when(F.col("key") % QUERY_STEP == 0, F.coalesce("n_matches", F.lit(0)))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("match_id", "long"), ("match_offset", "long"), ("bit_error", "double"))]
+    rows = member.select(F.col("key").alias("vec_id"), "n_codes", "fingerprint", "class_id", number.alias("n_matches"), *nothing)
+    own = found.join(classes.select(F.col("id").alias("query"), "asked"), "query")
+    pairs = own.select(F.col("asked").alias("vec_id"), F.lit(None).cast("long").alias("n_codes"), F.lit(None).cast("string").alias("fingerprint"), F.col("query").alias("class_id"), F.lit(None).cast("long").alias("n_matches"), F.col("id").alias("match_id"), F.col("offset").alias("match_offset"), F.round("bit_error", 6).alias("bit_error"))
+    return rows.unionByName(pairs)
