@@ -2,9 +2,11 @@
 
 E-mail addresses, card and account numbers, telephone and social security numbers, IBANs, IP addresses, dates and quoted
 secrets are recognised and validated, then replaced within their own format by a keyed Feistel permutation: digits stay
-digits, letters stay letters, separators stay, a number with a valid check digit gets one again, a date becomes another
-date. The permutation sees the value without its separators, so equal values get equal pseudonyms in all documents,
-different values different ones, and the holder of the key can turn them back.
+digits, letters stay letters, separators stay, a number's check digit is valid again, a date becomes another date of the
+same widths. What does not validate is left as it is: numbers of a card's length without a valid check digit, days that no
+calendar has, addresses with parts above 255 or with leading zeros. The permutation sees the value without its separators,
+and e-mail addresses without their case, so equal values get equal pseudonyms in all documents, different values different
+ones, and the holder of the key can turn them back.
 
 Edge cases: a null text stays null, an empty one empty; nothing is cut from a text; repeated rows each give a row; other
 columns stay as they are in :func:`pseudonymise`; an empty table gives an empty one.
@@ -95,18 +97,15 @@ def _relaid(raw: str, digits: str) -> str:
 
 def _card(raw, key, back):
     digits = "".join(c for c in raw if c in "0123456789")
-    if luhn(digits):
-        own = permute(digits[:-1], key, "luhn", back)
-        return _relaid(raw, own + next(d for d in "0123456789" if luhn(own + d)))
-    own = permute(digits, key, "number", back)
-    while luhn(own):  # a number without a valid check digit gets another one without
-        own = permute(own, key, "number", back)
-    return _relaid(raw, own)
+    if not luhn(digits):
+        return None
+    own = permute(digits[:-1], key, "luhn", back)
+    return _relaid(raw, own + next(d for d in "0123456789" if luhn(own + d)))
 
 
 def _ip(raw, key, back):
     parts = [int(x) for x in raw.split(".")]
-    if max(parts) > 255:
+    if max(parts) > 255 or ".".join(map(str, parts)) != raw:
         return None
     a, b = feistel(parts[0] << 8 | parts[1], parts[2] << 8 | parts[3], (1 << 16, 1 << 16), key, b"ip:", back)
     return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
@@ -174,19 +173,27 @@ def _mail(raw, key, back):
     labels = domain.split(".")
     own = max(0, len(labels) - 2)
     head, tail = local + "@" + ".".join(labels[:own]), ".".join(labels[own:])
-    new = permute(head, key, "email:" + tail, back)
-    return new + ("." if own else "") + tail
+    # Case stays where it is but says nothing, so an address is the same one in any case.
+    upper = [c in _place and c != c.lower() for c in head]
+    low = "".join(c.lower() if u else c for c, u in zip(head, upper, strict=True))
+    new = permute(low, key, "email:" + tail.lower(), back)
+    return "".join(c.upper() if u else c for c, u in zip(new, upper, strict=True)) + ("." if own else "") + tail
 
 
 def mask_text(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms (or, ``back``, with the values again), and how many of each kind."""
     found: dict[str, int] = {}
     spans: list[tuple[int, int, str]] = []
+    taken = bytearray()
 
     def take(kind, start, end, new):
-        if new is not None and not any(s < end and start < e for s, e, _ in spans):
-            spans.append((start, end, new))
-            found[kind] = found.get(kind, 0) + 1
+        nonlocal taken
+        if new is not None:
+            taken = taken or bytearray(len(text))
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
+                spans.append((start, end, new))
+                found[kind] = found.get(kind, 0) + 1
 
     if "@" in text:
         for m in _email.finditer(text):
