@@ -3,17 +3,21 @@
 A document's features are its words, pairs of neighbouring words, marks of repeated words, and the character n-grams of
 its bytes, each hashed to one of ``BUCKETS`` learned vectors. The document is the average of the vectors of its features,
 and a softmax layer on it gives the score. Vectors and layer are learned together by stochastic gradient descent in numpy.
-As the layer is linear in the average, scoring needs one learned number for each bucket (vector times layer), so whole
-texts of any length are scored with one table look-up for each feature and bounded memory.
+As the layer is linear in the average, scoring needs one learned number for each bucket (vector times layer): sums over a
+text's features, taken in pieces of PIECE_BYTES that overlap by a word, so that memory has a bound for texts of any length
+(of any length of words, that is: a piece ends at white space).
 
-Training takes at most ``TRAIN_DOCS`` labelled documents (the least hashes of doc_id); scoring takes every row.
+Training takes at most ``TRAIN_DOCS`` labelled documents (the least hashes of doc_id, one text for each), of at most
+``TRAIN_BYTES`` together (one that no longer fits is passed over); scoring takes every row and whole texts.
 
 Edge cases: null text is taken as empty; a text without features gets the score of the layer's bias; repeated rows each
-get a row; other columns are not read; without any labelled row every score is 0.5; an empty table gives an empty one.
+get a row; a null key is not held out and nothing is learned from it; other columns are not read; without any labelled row
+every score is 0.5; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, randoms, slices, utf8, words_of
+from .common import _BYTE, cut, randoms, slices, utf8, words_of
 
-#: The bound on labelled documents that training takes.
-TRAIN_DOCS = 3000
+#: The bounds on labelled documents that training takes: how many, and their bytes.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
+#: Bytes of one text that are scored at once.
+PIECE_BYTES = 1 << 20
 BITS, DIM, EPOCHS, RATE = 18, 8, 6, 2.0
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
+_SPACES = b" \t\n\x0b\x0c\r"
+_space = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -64,12 +72,36 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        for i, kinds in enumerate(features(texts)):
+        short = [i for i, t in enumerate(texts) if len(t) <= PIECE_BYTES]
+        for i, kinds in zip(short, features([texts[i] for i in short]), strict=True):
             means = [float(self.table[k].sum(dtype=np.float64)) / len(k) for k in kinds if len(k)]
             out[i] += sum(means) / len(kinds)
+        for i in sorted({*range(len(texts))} - {*short}):
+            sums, sizes = np.zeros(3 + len(GRAMS)), np.zeros(3 + len(GRAMS))
+            for piece, n_bytes, n_words in _pieces(texts[i]):
+                known = [n_words, max(0, n_words - 1), max(0, n_words - 1), *(max(0, n_bytes - n + 1) for n in GRAMS)]
+                for k, (kind, seen) in enumerate(zip(next(features([piece])), known, strict=True)):
+                    sums[k] += self.table[kind[seen:]].sum(dtype=np.float64)
+                    sizes[k] += len(kind[seen:])
+            out[i] += (sums / np.maximum(1, sizes)).sum() / len(sums)
         return 1 / (1 + np.exp(-out))
 
 
+def _pieces(text: bytes):
+    """(piece, bytes of it that the one before holds, words in these). Pieces begin with the last word before them, and hold max(GRAMS) - 1 bytes from before."""
+    at = begin = 0
+    while at < len(text):
+        m = _space.search(text, min(len(text), at + PIECE_BYTES))
+        end = m.end() if m else len(text)
+        yield text[begin:end], at - begin, len(text[begin:at].split())
+        at = begin = end
+        while begin and end - begin < max(GRAMS):  # word by word
+            while begin and text[begin - 1] in _SPACES:
+                begin -= 1
+            while begin and text[begin - 1] not in _SPACES:
+                begin -= 1
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Model:
     """Fit vectors and layer; each kind of feature has the same share in a document's average, whatever its count."""
     rng = np.random.default_rng(seed)
@@ -103,17 +135,25 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Model:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
     """A model from labelled rows (doc_id, quality) that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
-    if not rows:
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found = cut(found, "labelled")
+    fits, size = [], 0
+    for r in found.select("doc_id", "quality", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect():
+        if size + r.n <= TRAIN_BYTES:
+            fits.append((r.doc_id, r.quality))
+            size += r.n
+    if not fits:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    fits = docs.sparkSession.createDataFrame(fits, found.select("doc_id", "quality").schema)
+    rows = found.join(F.broadcast(fits), ["doc_id", "quality"]).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
     return train([(r.text or "").encode() for r in rows], np.array([int(r.quality > 0) for r in rows]))
 
 
