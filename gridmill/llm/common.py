@@ -19,10 +19,12 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all nodes share: spark.checkpoint.dir, or a local one of our own where it is unset (tests)."""
+    """The folder that all nodes share: spark.checkpoint.dir. Where it is unset, a local one of our own, in local mode only (tests); elsewhere an error."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="gridmill-")
@@ -79,11 +81,6 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             at = stop
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """From now on, Arrow batches to Python workers hold about ``size`` bytes at most, which bounds the buffers on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -541,6 +541,10 @@ def test_pipeline_by_brute_force(spark, small, library):
     want = {i: np.array(library.encode(pii.mask_text(t)[0], add_special_tokens=False).ids, "<u4").tobytes() for i, t in kept.items()}
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, small).collect()} == want
     assert len(want) < len(docs)
+    rows = [(5, "one two three four five six"), (5, "one two three four five six"), (5, "other text that is no copy of it"), (7, "One two three four five six"), (8, ""), (8, ""), (None, "x"), (None, "x")]
+    again = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    left = corpus_pipeline.keep_one_of_each(spark, again, small)
+    assert left.columns == again.columns and sorted(left.select("doc_id", "text").collect(), key=repr) == sorted([(5, "one two three four five six"), (8, ""), (None, "x"), (None, "x")], key=repr)
     odd = spark.createDataFrame([(None, None, "en", None, None), (1, "", None, "s", 0), (1, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for d in (odd, odd.limit(0)):
