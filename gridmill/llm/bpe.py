@@ -3,10 +3,15 @@
 Documents are cut into chunks of a few MB. Each chunk is split into words and keeps, for each word of each document, the
 word's position in the chunk's own list of distinct words. These lists, dealt by a hash of the word, meet in parts of the
 distinct-word table; a part encodes each of its words once and sends the ids back to the chunks, which put them in order
-by position. A frequent word thus reaches its part once for each chunk, never once for each occurrence.
+by position. A frequent word thus reaches its part once for each chunk, never once for each occurrence. A part reads its
+lists as a stream and holds only its distinct words, so there are MAX_PARTS at most, and a chunk sends so many rows at most.
 
-Edge cases: null text is taken as empty and gives no ids; a null key stays null; repeated rows each give a row; other
-columns are not read; an empty table gives an empty table.
+The input's rows must come in the same order when lost tasks run again, as those of files do; write others (``common.cut``)
+first. Each chunk has a stamp of its contents, which its words' ids bring back, so a chunk that was made anew in another
+order is an error and never gives wrong ids.
+
+Edge cases: null text is taken as empty and gives no ids; a null key, or one that is no integer, is null; repeated rows each
+give a row; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ import math
 import re
 import struct
 from collections import defaultdict
-from hashlib import sha256
+from collections.abc import Iterator
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,8 @@ from .common import slices
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
 #: Bytes of text in a chunk: longer chunks repeat fewer words, and take more memory.
 CHUNK_BYTES = 8 << 20
+#: Parts of the distinct-word table.
+MAX_PARTS = 1024
 _odd = re.compile(f"[^{ALIKE}]")
 _cache: dict = {}
 
@@ -166,12 +174,19 @@ def _chunks(path: str, parts: int):
             part = (pd.util.hash_array(values) % np.uint64(parts)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
             order = np.argsort(part, kind="stable")
             head = [np.array([k is not None for k in keys], bool), np.array([k or 0 for k in keys], np.int64), np.array(n_words, np.int64)]
-            yield -1 - chunk, chunk, -1, _pack(*head, *_pack_codes(rank[codes]), part.astype(np.uint32))
+            packed = _pack_codes(rank[codes])
+            stamp = blake2b(digest_size=8)
+            for x in (*head, *packed):
+                stamp.update(x.tobytes())
+            for w in values.tolist():
+                stamp.update(w.encode() + b"\0")
+            stamp = np.frombuffer(stamp.digest(), np.int64)
+            yield -1 - chunk, chunk, -1, _pack(stamp, *head, *packed, part.astype(np.uint32))
             part, values = part[order], values[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             for i, j in zip(edges, [*edges[1:], len(part)][: len(edges)], strict=True):
                 own = [w.encode() for w in values[i:j]]
-                yield int(part[i]), chunk, int(part[i]), _pack(np.fromiter(map(len, own), np.uint32, j - i), np.frombuffer(b"".join(own), np.uint8))
+                yield int(part[i]), chunk, int(part[i]), _pack(stamp, np.fromiter(map(len, own), np.uint32, j - i), np.frombuffer(b"".join(own), np.uint8))
 
         for batch in slices(batches, "text", CHUNK_BYTES):
             words: defaultdict = defaultdict()
@@ -190,22 +205,25 @@ def _chunks(path: str, parts: int):
 def _encode_part(path: str):
     """The rows of one part of the distinct-word table: each distinct word is encoded once. The ids go to their chunks."""
 
-    def run(table: pa.Table) -> pa.Table:
-        if table.column("part")[0].as_py() < 0:
-            return table.slice(0, 0)
-        lists = []
-        for blob in table.column("blob").to_pylist():
-            lengths, data = _unpack(blob, np.uint32, np.uint8)
-            ends, data = np.cumsum(lengths), data.tobytes()
-            lists.append([data[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)])
-        distinct = list(dict.fromkeys(w for ws in lists for w in ws))
-        ids = dict(zip(distinct, _once(WordTokenizer, path).ids([w.decode() for w in distinct]), strict=True))
-        blobs = []
-        for ws in lists:
-            got = [ids[w] for w in ws]
-            blobs.append(_pack(np.fromiter(map(len, got), np.uint32, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)))
-        chunks = table.column("chunk").to_numpy()
-        return pa.table([pa.array(-1 - chunks), pa.array(chunks), table.column("part"), pa.array(blobs, pa.binary())], schema=_ROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[bytes, bytes] = {}
+        for batch in batches:
+            if not batch.num_rows or batch.column("part")[0].as_py() < 0:
+                continue
+            stamps, lists = [], []
+            for blob in batch.column("blob").to_pylist():
+                stamp, lengths, data = _unpack(blob, np.int64, np.uint32, np.uint8)
+                ends, data = np.cumsum(lengths), data.tobytes()
+                stamps.append(stamp)
+                lists.append([data[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)])
+            new = list(dict.fromkeys(w for ws in lists for w in ws if w not in ids))
+            ids.update(zip(new, _once(WordTokenizer, path).ids([w.decode() for w in new]), strict=True))
+            blobs = []
+            for stamp, ws in zip(stamps, lists, strict=True):
+                got = [ids[w] for w in ws]
+                blobs.append(_pack(stamp, np.fromiter(map(len, got), np.uint32, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)))
+            chunks = batch.column("chunk").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - chunks), pa.array(chunks), batch.column("part"), pa.array(blobs, pa.binary())], schema=_ROW)
 
     return run
 
@@ -216,13 +234,15 @@ def _join_back(finish, empty: pa.Schema):
     def run(ids_of_words: pa.Table, chunk: pa.Table) -> pa.Table:
         if not chunk.num_rows or chunk.column("part")[0].as_py() >= 0:
             return empty.empty_table()
-        valid, keys, n_words, low, rest, huge, part = _unpack(chunk.column("blob")[0].as_py(), bool, np.int64, np.int64, np.uint8, np.uint16, np.uint32, np.uint32)
+        stamp, valid, keys, n_words, low, rest, huge, part = _unpack(chunk.column("blob")[0].as_py(), np.int64, bool, np.int64, np.int64, np.uint8, np.uint16, np.uint32, np.uint32)
         place = np.empty(len(part), np.int64)
         place[np.argsort(part, kind="stable")] = np.arange(len(part))
         codes = place[_unpack_codes(low, rest, huge)] if len(low) else np.zeros(0, np.int64)
         counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for r in sorted(ids_of_words.select(["part", "blob"]).to_pylist(), key=lambda r: r["part"]):
-            a, b = _unpack(r["blob"], np.uint32, np.uint32)
+            own, a, b = _unpack(r["blob"], np.int64, np.uint32, np.uint32)
+            if own[0] != stamp[0]:
+                raise RuntimeError("a chunk was made anew from rows in another order: write the documents before they are encoded")
             counts.append(a)
             ids.append(b)
         counts, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
@@ -257,7 +277,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     path = tokenizer or default_tokenizer()
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = read.mapInArrow(_chunks(path, max(8, math.ceil(size / part_bytes))), _ROW_SQL)
+    rows = read.mapInArrow(_chunks(path, min(MAX_PARTS, max(8, math.ceil(size / part_bytes)))), _ROW_SQL)
     ids = rows.groupBy("dest").applyInArrow(_encode_part(path), _ROW_SQL)
     fields = ", ".join(f"`{f.name}` {_SQL[f.type]}" for f in schema)
     out = ids.groupBy("dest").cogroup(rows.groupBy("dest")).applyInArrow(_join_back(finish, schema), fields)

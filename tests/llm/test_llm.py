@@ -60,6 +60,33 @@ def test_bpe_is_the_library(spark, small, library):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_a_chunk_made_anew_in_another_order_is_an_error():
+    import pyarrow as pa
+    import pyarrow.compute
+
+    def made(texts):
+        class Context:
+            partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+        bpe.TaskContext.get, kept = staticmethod(lambda: Context), bpe.TaskContext.get
+        try:
+            batch = pa.RecordBatch.from_pydict({"key": pa.array(range(len(texts)), pa.int64()), "text": texts})
+            return pa.Table.from_batches(list(bpe._chunks(bpe.default_tokenizer(), 8)([batch])))
+        finally:
+            bpe.TaskContext.get = kept
+
+    a, b = made(["one two", "three two"]), made(["three two", "one two"])
+    finish = bpe._join_back(None, bpe._ENCODED)
+    for rows, good in ((a, True), (b, False)):
+        chunk = next(a.slice(i, 1) for i in range(a.num_rows) if a.column("part")[i].as_py() < 0)
+        words = [x for part in range(8) for x in bpe._encode_part(bpe.default_tokenizer())(rows.filter(pa.compute.equal(rows.column("part"), part)).to_batches())]
+        if good:
+            assert finish(pa.Table.from_batches(words), chunk).num_rows == 2
+        else:
+            with pytest.raises(RuntimeError):
+                finish(pa.Table.from_batches(words), chunk)
+
+
 def test_word_codes_of_any_size():
     codes = np.array([0, 239, 240, 65535, 65536, (15 << 16) - 1, 15 << 16, 1 << 24], np.uint32)
     assert (bpe._unpack_codes(*bpe._pack_codes(codes.copy())) == codes).all()
