@@ -17,7 +17,6 @@ give a row; other columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import array
-import ctypes
 import gc
 import math
 import re
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trim
 
 #: Characters that the splitters of all Unicode versions treat alike; a text with others goes through the library whole.
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
@@ -112,11 +111,7 @@ def forget() -> None:
     if _cache:
         _cache.clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # a C library without it
-        pass
+    trim()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,32 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch
+    trim()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """While this lasts, Arrow batches to Python workers hold about ``size`` bytes at most, which bounds the buffers on both sides. For work that is done at once: a lazy result reads the setting when it is asked for."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def trim() -> None:
+    """Give memory that a worker's libraries hold without use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -103,30 +131,32 @@ def randoms(n: int, seed: int) -> np.ndarray:
 
 _BYTE = randoms(256, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, np.uint64)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Powers that are kept between calls; longer rows of them are made anew.
+_KEPT = 1 << 21
+_kept: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers[:n]
+def _power_row(base: np.uint64, n: int) -> np.ndarray:
+    held = _kept.get(int(base))
+    if held is not None and len(held) >= n:
+        return held[:n]
+    p = np.full(max(n, 1) if n > _KEPT else min(_KEPT, max(1 << 16, 2 * n)), base, np.uint64)
+    p[0] = 1
+    np.multiply.accumulate(p, out=p)
+    if len(p) <= _KEPT:
+        _kept[int(base)] = p
+    return p[:n]
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_inverses = np.ones(1, np.uint64)
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd base modulo 2**64."""
+    return _power_row(_BASE, n)
 
 
 def inverses(n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n:
-        p = np.full(max(n, 2 * len(_inverses)), _INVERSE, np.uint64)
-        p[0] = 1
-        _inverses = np.multiply.accumulate(p)
-    return _inverses[:n]
+    """Powers of the base's inverse."""
+    return _power_row(_INVERSE, n)
 
 
 #: ASCII white space: space, and 0x09 to 0x0D.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mix, randoms, slices, utf8
+from .common import LOWER, cut, mix, randoms, slices, small_batches, utf8
 from .components import connected_components
 
 MISS = 1e-7
@@ -219,7 +219,7 @@ def _cells(value: str, prepare):
 
     def run(batches):
         held, last = ([], [], []), None
-        for batch in batches:
+        for batch in slices(batches, value):
             marks = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "j")]
             change = np.flatnonzero(np.concatenate(([True], np.any([m[1:] != m[:-1] for m in marks], axis=0)))).tolist() if batch.num_rows else []
             columns = [batch.column(c).to_pylist() for c in ("id", "side", value)]
@@ -300,6 +300,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Documents are linked whose shingle sets share at least ``percent`` hundredths of their union; component_id is the
     smallest key reachable by links, kept says whether that is the row's own.
     """
+    with small_batches(docs.sparkSession):  # all that goes through workers is done here; what is returned is a join
+        return _classified(docs, key, text, width, percent)
+
+
+def _classified(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     rows, bands = bands_for(percent / 100)
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = cut(read.mapInArrow(_signatures(width, rows, bands), "key long, n long, digest binary, sig binary, bands array<long>"), "signatures")
