@@ -21,6 +21,7 @@ import gc
 import math
 import re
 import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
@@ -155,8 +156,6 @@ def _chunks(path: str, parts: int):
     """
 
     def run(batches):
-        import pandas as pd
-
         tokenizer, count, first = _once(WordTokenizer, path), 0, TaskContext.get().partitionId() << 32
 
         def rows(chunk, keys, n_words, codes, words):
@@ -166,7 +165,7 @@ def _chunks(path: str, parts: int):
             rank = np.empty(len(words), np.uint32)
             rank[by_rank] = np.arange(len(words), dtype=np.uint32)
             values = np.array([*words, ""], object)[:-1][by_rank]
-            part = (pd.util.hash_array(values) % np.uint64(parts)).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in values.tolist()), np.int32, len(values))
             order = np.argsort(part, kind="stable")
             head = [np.array([k is not None for k in keys], bool), np.array([k or 0 for k in keys], np.int64), np.array(n_words, np.int64)]
             packed = _pack_codes(rank[codes])

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step in a Python worker takes at once.
 SLICE_BYTES = 1 << 20
+#: The setting that bounds Arrow batches to Python workers.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
@@ -88,16 +90,12 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 8 << 20):
     """While this lasts, Arrow batches to Python workers hold about ``size`` bytes at most, which bounds the buffers on both sides. For work that is done at once: a lazy result reads the setting when it is asked for."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(size))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        spark.conf.set(ARROW_BYTES, before)
 
 
 def trim() -> None:
