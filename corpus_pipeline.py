@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import bpe, decontam, neardup, pii, quality
-from gridmill.llm.common import cut
+from gridmill.llm.common import ARROW_BYTES, cut, small_batches
+
+
+def bounded(stage):
+    """A stage whose Arrow batches are small. Its result is lazy, so the session keeps the setting; :func:`run` sets it back."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@bounded
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.3 or more. It learns from the labelled rows of the documents it is given."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model)
 
 
+@bounded
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles: of the rows with the smallest doc_id, the least by its columns. Rows without a doc_id stay."""
     found = cut(neardup.near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"), "found")
@@ -26,16 +41,19 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
+@bounded
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data; n_chars follows the new text."""
     return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@bounded
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every document."""
     return bpe.encode(docs)
@@ -54,10 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet and read again by the next."""
+    """All stages over the documents, each written as Parquet and read again by the next; the last one's rows as written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, "stage")
+    with small_batches(spark):
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), "stage")
     return docs
