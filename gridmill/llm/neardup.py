@@ -248,7 +248,7 @@ def _forest(members: DataFrame, with_values, value: str, prepare) -> DataFrame:
 
     ``members``: rows (g, id, size), size being the bytes of the member's value; ``with_values`` adds the column ``value``
     by id to rows that have been dealt to cells. Cells have at most about MEMBERS and PIVOTS rows in the first round; in
-    the second, a group of n members has cells of about the square root of n.
+    the second, a group of n members has cells of about four times the square root of n.
     """
 
     def links(dealt: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _forest(members: DataFrame, with_values, value: str, prepare) -> DataFrame:
     if most.isEmpty():
         return first
     placed = placed.join(most, "g")
-    side = F.greatest(F.lit(1.0), F.least(CELL_BYTES / mean, F.greatest(F.lit(32.0), F.sqrt("n"))))
+    side = F.greatest(F.lit(1.0), F.least(CELL_BYTES / mean, F.greatest(F.lit(64.0), 2 * F.sqrt("n"))))
     placed = placed.withColumns({"rows": F.ceil(F.col("rest") / side).cast("int"), "cols": F.ceil(n / side).cast("int")})
     hashed = lambda c: F.pmod(F.xxhash64("id", F.lit(3)), F.col(c)).cast("int")
     rest = placed.where("tree <> most").select("g", "id", hashed("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
@@ -312,7 +312,7 @@ def _classified(docs: DataFrame, key: str, text: str, width: int, percent: int)
     # Written first, so that the join has two plain shuffles, and Spark can split the one with many copies.
     classes = cut(full.groupBy("digest").agg(F.min("key").alias("rep")), "digests")
     member = cut(signed.select("key", "n", "digest").join(classes, "digest", "left").select("key", "n", "rep"), "members")
-    reps = full.join(classes.withColumnRenamed("digest", "own"), (F.col("key") == F.col("rep")) & (F.col("digest") == F.col("own"))).dropDuplicates(["digest"])
+    reps = full.join(classes.withColumnRenamed("digest", "own"), (F.col("key") == F.col("rep")) & (F.col("digest") == F.col("own"))).dropDuplicates(["key", "digest"])  # as they are dealt, without another shuffle
     reps = cut(reps.select(F.col("key").alias("id"), "n", "sig", "bands"), "classes")
     # A key with texts of several classes is one node: its classes come together.
     known = member.where("rep is not null")
