@@ -11,6 +11,10 @@ from gridmill.llm import bpe, decontam, neardup, pii, quality
 from gridmill.llm.common import ARROW_BYTES, cut, small_batches
 
 
+#: Bytes of keys that may be broadcast, so that texts stay where they are; beyond it a shuffled join drops them.
+BROADCAST_BYTES = 32 << 20
+
+
 def bounded(stage):
     """A stage whose Arrow batches are small. Its result is lazy, so the session keeps the setting; :func:`run` sets it back."""
 
@@ -33,7 +37,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles: of the rows with the smallest doc_id, the least by its columns. Rows without a doc_id stay."""
     found = cut(neardup.near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"), "found")
-    kept = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = cut(found.where("not kept").select("doc_id").distinct(), "gone")
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
     again = cut(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
