@@ -138,7 +138,7 @@ def binary_partition(key: Column, n: int, left: int = 0, right: int = -1) -> Col
     size = F.octet_length(key)
     at = lambda i: F.lit(i) if i >= 0 else size + i
     part = F.substring(key.cast("binary"), (at(left) + 1).cast("int"), (at(right) - at(left) + 1).cast("int"))
-    return F.pmod(F.crc32(part), F.lit(n)).cast("int")
+    return F.pmod(byte_hash(part).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(n)).cast("int")
 
 
 def range_partition(key: Column, splits: list) -> Column:

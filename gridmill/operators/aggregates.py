@@ -39,12 +39,14 @@ def named(df: DataFrame, specs: list[tuple[str, str, Column]] | None = None) ->
 
 
 def keyed(df: DataFrame, kind: str = "type", key: str = "id", value: str = "value") -> DataFrame:
-    """Rows (type, id, value: string) that a mapper has made, to one row for each type and id. Each type sums its own rows."""
-    parts = None
-    for t in TYPES:
-        own = df.where(F.col(kind) == t).groupBy(kind, key).agg(TYPES[t](F.col(value)).cast("string").alias("value"))
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    """Rows (type, id, value: string) that a mapper has made, to one row for each type and id, in one pass over the rows.
+
+    Each row's aggregate is that of its type; a type that is not registered is an error.
+    """
+    own = lambda t: F.when(F.col(kind) == t, F.col(value))
+    out = df.groupBy(kind, key).agg(*(TYPES[t](own(t)).cast("string").alias(f"_a{i}") for i, t in enumerate(TYPES)))
+    picked = F.coalesce(*(F.when(F.col(kind) == t, F.struct(F.col(f"_a{i}").alias("v"))) for i, t in enumerate(TYPES)), F.raise_error(F.concat(F.lit("no aggregate type "), F.coalesce(kind, F.lit("null")))).cast("struct<v: string>"))
+    return out.select(kind, key, picked["v"].alias("value"))
 
 
 def value_counts(df: DataFrame, value: str = "value", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -61,11 +63,14 @@ def histogram(df: DataFrame, value: str = "value", by: list[str] | None = None,
     by = by or []
     counts = value_counts(df, value, by, weight).groupBy(*by, "n").agg(F.count("*").alias("m"))
     pairs = F.array_sort(F.collect_list(F.struct("n", "m")))
-    out = counts.groupBy(*by).agg(F.sum("m").alias("n_values"), F.min("n").alias("least"), F.max("n").alias("largest"), F.sum(F.col("n") * F.col("m")).alias("total"), F.sum((F.col("n") * F.col("n") * F.col("m")).cast("double")).alias("squares"), pairs.alias("pairs"))
+    out = counts.groupBy(*by).agg(F.sum("m").alias("n_values"), F.min("n").alias("least"), F.max("n").alias("largest"), F.sum(F.col("n") * F.col("m")).alias("total"), pairs.alias("pairs"))
     # Walk the sorted counts up to the half of their number.
     walked = F.aggregate("pairs", F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("at")), lambda s, p: F.struct((s["seen"] + p["m"]).alias("seen"), F.when(s["at"].isNull() & (s["seen"] + p["m"] > F.floor(F.col("n_values") / 2)), p["n"]).otherwise(s["at"]).alias("at")))
     mean = F.col("total") / F.col("n_values")
-    return out.select(*by, "n_values", "least", walked["at"].alias("median"), "largest", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n_values") - mean * mean)).alias("stddev"))
+    # Deviations from the mean are squared, not the counts, which would cancel where these are large.
+    spread = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["m"] * (p["n"] - F.col("mean")) * (p["n"] - F.col("mean")))
+    out = out.withColumn("mean", mean)
+    return out.select(*by, "n_values", "least", walked["at"].alias("median"), "largest", "mean", F.sqrt(spread / F.col("n_values")).alias("stddev"))
 
 
 def record_count(df: DataFrame, text: str | None = None) -> DataFrame:

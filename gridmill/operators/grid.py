@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +61,18 @@ class Grid(Cells):
 
     @classmethod
     def of(cls, x: int, y: int, width: int, height: int, cells: int) -> Grid:
-        """The longer side of the cells is split until there are enough."""
-        cols = rows = 1
-        while cols * rows < cells:
-            if width // cols > height // rows:
-                cols += 1
-            else:
-                rows += 1
-        return cls(x, y, width, height, cols, rows)
+        """At least so many cells. Cuts go one by one to the longer side of a cell (in whole units, the height where they are alike) until there are enough.
+
+        The sides that the cuts meet are width // 1, width // 2, ... and the like for the height, so the cuts' order is
+        that of these numbers, falling.
+        """
+        count = np.arange(1, max(2, cells + 1))
+        side = np.concatenate((height // count, width // count))
+        across = np.repeat([0, 1], len(count))
+        across = across[np.argsort(-side, kind="stable")]  # of equal sides, the height comes first
+        cols, rows = 1 + np.cumsum(across), 1 + np.cumsum(1 - across)
+        first = int(np.argmax(cols * rows >= cells))
+        return cls(x, y, width, height, 1, 1) if cells <= 1 else cls(x, y, width, height, int(cols[first]), int(rows[first]))
 
     @classmethod
     def parse(cls, text: str) -> Grid:
@@ -100,20 +105,17 @@ class Packed(Cells):
 
     @classmethod
     def of(cls, sample: list[tuple[int, int]], x: int, y: int, width: int, height: int, cells: int) -> Packed:
-        """From a bounded sample of points; outer edges lie on the bounds, and slices without width are dropped."""
+        """From a bounded sample of points: quantiles of x, and of y within each column; equal edges are one."""
         shape = Grid.of(x, y, width, height, cells)
-        points, x_edges, y_edges, done = sorted(sample), [x], [], 0
-        for c in range(shape.cols):
-            upto = len(points) * (c + 1) // shape.cols
-            edge = x + width if c == shape.cols - 1 or not upto else points[upto - 1][0]
-            if edge <= x_edges[-1]:
-                continue
-            own = sorted(p[1] for p in points[done:upto])
-            done = upto
-            edges = [y] + sorted({own[len(own) * (r + 1) // shape.rows - 1] for r in range(shape.rows - 1) if len(own) * (r + 1) // shape.rows} - {y}) + [y + height]
-            x_edges.append(edge)
-            y_edges.append(tuple(e for i, e in enumerate(edges) if y <= e <= y + height and (not i or e > edges[i - 1])))
-        return cls(tuple(x_edges), tuple(y_edges))
+        px, py = np.array(sample, np.int64).reshape(-1, 2).T
+
+        def edges(values, parts, low, high):
+            inner = np.quantile(values, np.arange(1, parts) / parts, method="inverted_cdf").astype(np.int64) if len(values) else []
+            return tuple(sorted({low, high, *(int(v) for v in inner if low < v < high)}))
+
+        x_edges = edges(px, shape.cols, x, x + width)
+        column = np.searchsorted(x_edges, px, side="right") - 1
+        return cls(x_edges, tuple(edges(py[column == c], shape.rows, y, y + height) for c in range(len(x_edges) - 1)))
 
     @property
     def first(self) -> list[int]:
@@ -141,18 +143,20 @@ class Packed(Cells):
 def assign(df: DataFrame, cells: Cells, box: Box | None = None) -> DataFrame:
     """``df`` with ``cell_id`` and ``is_home``, a row for each cell that the row's box overlaps. No join, no shuffle."""
     box = box or Box()
+    if clash := {"cell_id", "is_home"} & set(df.columns):
+        raise ValueError(f"rename the columns {sorted(clash)}: cells are given in columns of that name")
     low, high = _extent(cells)
     w, h = F.greatest(box.width, F.lit(1)), F.greatest(box.height, F.lit(1))
     inside = (box.x < high[0]) & (box.x + w > low[0]) & (box.y < high[1]) & (box.y + h > low[1])
     x1, x2 = F.greatest(box.x, F.lit(low[0])), F.least(box.x + w - 1, F.lit(high[0] - 1))
     y1, y2 = F.greatest(box.y, F.lit(low[1])), F.least(box.y + h - 1, F.lit(high[1] - 1))
     columns = F.when(inside, F.sequence(cells.column(x1), cells.column(x2))).otherwise(F.array(F.lit(-1)))
-    out = df.withColumns({"_y1": y1, "_y2": y2, "_home_x": x1, "_inside": inside}).withColumn("_col", F.explode(columns))
-    rows = F.when(F.col("_inside"), F.sequence(cells.row(F.col("_col"), F.col("_y1")), cells.row(F.col("_col"), F.col("_y2")))).otherwise(F.array(F.lit(-1)))
-    out = out.withColumn("_row", F.explode(rows))
-    home = (F.col("_col") == cells.column(F.col("_home_x"))) & (F.col("_row") == cells.row(F.col("_col"), F.col("_y1")))
-    out = out.withColumns({"cell_id": F.when(F.col("_inside"), cells.cell_id(F.col("_col"), F.col("_row"))).otherwise(F.lit(-1).cast("bigint")), "is_home": ~F.col("_inside") | home})
-    return out.drop("_y1", "_y2", "_home_x", "_inside", "_col", "_row")
+    out = df.withColumns({"_gridmill_y1": y1, "_gridmill_y2": y2, "_gridmill_home_x": x1, "_gridmill_inside": inside}).withColumn("_gridmill_col", F.explode(columns))
+    rows = F.when(F.col("_gridmill_inside"), F.sequence(cells.row(F.col("_gridmill_col"), F.col("_gridmill_y1")), cells.row(F.col("_gridmill_col"), F.col("_gridmill_y2")))).otherwise(F.array(F.lit(-1)))
+    out = out.withColumn("_gridmill_row", F.explode(rows))
+    home = (F.col("_gridmill_col") == cells.column(F.col("_gridmill_home_x"))) & (F.col("_gridmill_row") == cells.row(F.col("_gridmill_col"), F.col("_gridmill_y1")))
+    out = out.withColumns({"cell_id": F.when(F.col("_gridmill_inside"), cells.cell_id(F.col("_gridmill_col"), F.col("_gridmill_row"))).otherwise(F.lit(-1).cast("bigint")), "is_home": ~F.col("_gridmill_inside") | home})
+    return out.drop("_gridmill_y1", "_gridmill_y2", "_gridmill_home_x", "_gridmill_inside", "_gridmill_col", "_gridmill_row")
 
 
 def _extent(cells: Cells):

@@ -34,7 +34,7 @@ def every(df: DataFrame, step: int, order: str) -> DataFrame:
 
 
 def by_digest(df: DataFrame, key: str | Column, step: int) -> DataFrame:
-    """Rows whose key's MD5 (its first eight bytes, as a number) divides by ``step``; equal keys stay or go together."""
+    """Rows whose key's MD5 (its first fifteen hexadecimal digits, as a number) divides by ``step``; equal keys stay or go together."""
     key = key if isinstance(key, Column) else F.col(key)
     return df.where(F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint"), F.lit(step)) == 0)
 
@@ -73,15 +73,17 @@ MAX_KEYS = 1_000_000
 
 
 def split_points(sample: DataFrame, key: str, partitions: int, seed: int = 1) -> list:
-    """partitions - 1 split points at even steps of the sorted keys, equal ones left out. Of more than MAX_KEYS keys, a random sample of about so many over all rows."""
+    """Distinct keys that cut the sample in ``partitions`` ranges of like weight: those at the shares 1/partitions, 2/partitions, ... of it.
+
+    A key that holds several shares is given once, as no split can divide it. Of more than MAX_KEYS keys, a random sample
+    of about so many over all rows is taken.
+    """
     held = sample.select(key).where(F.col(key).isNotNull())
     n = held.count()
-    keys = sorted(r[0] for r in (held if n <= MAX_KEYS else held.sample(MAX_KEYS / n, seed)).collect())
-    out: list = []
-    for i in range(1, partitions):
-        k = min(len(keys) - 1, round(i * len(keys) / partitions))
-        while 0 <= k < len(keys) and out and keys[k] <= out[-1]:
-            k += 1
-        if 0 <= k < len(keys):
-            out.append(keys[k])
-    return out
+    weights = (held if n <= MAX_KEYS else held.sample(MAX_KEYS / n, seed)).groupBy(key).agg(F.count("*").alias("weight")).collect()
+    if not weights:
+        return []
+    weights.sort(key=lambda r: r[0])
+    upto = np.cumsum([r[1] for r in weights])
+    shares = np.arange(1, partitions) * int(upto[-1]) // partitions
+    return [weights[i][0] for i in np.unique(np.searchsorted(upto, shares, side="right")).tolist()]

@@ -47,10 +47,10 @@ def batch_range_query(df: DataFrame, queries: DataFrame, cells: Cells | None = N
     return spatial_join(df, right, cells, box or Box())
 
 
-def knn(df: DataFrame, px: int, py: int, k: int, box: Box | None = None, dedupe: bool = False, measure: str = "max", whole: bool = False) -> DataFrame:
+def knn(df: DataFrame, px: int, py: int, k: int, box: Box | None = None, dedupe: bool = True, measure: str = "max", whole: bool = False) -> DataFrame:
     """The k nearest rows and their ``distance``, ascending; ties by all columns. Each task keeps k rows (top-k, no full sort).
 
-    ``dedupe`` counts equal rows once; ``whole`` cuts distances to whole numbers, so that ties within one unit go by columns.
+    ``dedupe`` counts equal rows once (False: each); ``whole`` cuts distances to whole numbers, so that ties within one unit go by columns.
     """
     distance = _distance(box, px, py, measure)
     distance = F.floor(distance).cast("double") if whole else distance

@@ -39,23 +39,26 @@ def numbered(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 
     The ranges are written to the shared folder once, so that sizes and rows come from the same ones.
     """
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name}: give another name for the places")
+
     def number(batches):
         done = 0
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(done + 1, done + 1 + batch.num_rows))], [*batch.schema.names, name])
             done += batch.num_rows
 
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_gridmill_range", F.spark_partition_id())
     path = shared_path(df.sparkSession, "numbered")
     ranged.mapInArrow(number, StructType([*ranged.schema.fields, StructField(name, LongType())])).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     before, total = [], 0
-    for p, n in sorted(map(tuple, rows.groupBy("_p").count().collect())):
+    for p, n in sorted(map(tuple, rows.groupBy("_gridmill_range").count().collect())):
         before.append(F.struct(F.lit(p), F.lit(total).cast("bigint")))
         total += n
     if not before:
-        return rows.drop("_p")
-    return rows.withColumn(name, F.col(name) + F.element_at(F.map_from_entries(F.array(*before)), F.col("_p"))).drop("_p")
+        return rows.drop("_gridmill_range")
+    return rows.withColumn(name, F.col(name) + F.element_at(F.map_from_entries(F.array(*before)), F.col("_gridmill_range"))).drop("_gridmill_range")
 
 
 def order_errors(df: DataFrame, key: str, position: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.geometry import Box
 from .grid import Cells, _extent, assign, grid_for_join
@@ -18,7 +20,7 @@ SWEEP_ROWS = 2000
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select([F.col(c).alias(c if c == "cell_id" else f"{side}_{c}") for c in df.columns if c != "is_home"])
+    return df.select([F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
 def _box(side: str) -> Box:
@@ -28,22 +30,37 @@ def _box(side: str) -> Box:
 def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, left_box: Box | None = None, right_box: Box | None = None) -> DataFrame:
     """Pairs of overlapping rows, columns named l_* and r_*: both sides replicated to cells, each pair kept in one cell only.
 
-    Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. Shapes must
-    lie within the cells' extent to meet.
+    Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. With given
+    cells, shapes that reach beyond them are joined by themselves, on a grid over both sides.
     """
     left, right = _flat(left, left_box), _flat(right, right_box)
-    cells = cells or grid_for_join(left, right)
-    a, b = _named(assign(left, cells), "l").where("cell_id >= 0"), _named(assign(right, cells), "r").where("cell_id >= 0")
+    if cells is None:
+        return _met(left, right, grid_for_join(left, right))
+    within = _within(cells, cells, Box())
+    return _with_beyond(_met(left.where(within), right.where(within), cells), left, right, within)
+
+
+def _met(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
+    a = assign(_named(left, "l"), cells, _box("l")).drop("is_home").where("cell_id >= 0")
+    b = assign(_named(right, "r"), cells, _box("r")).drop("is_home").where("cell_id >= 0")
     pairs = a.join(b, "cell_id").where(_box("l").overlaps(_box("r")))
     return pairs.where(in_cell(cells, F.col("cell_id"), _box("l"), _box("r"))).drop("cell_id")
 
 
+def _with_beyond(met: DataFrame, left: DataFrame, right: DataFrame, within: Column) -> DataFrame:
+    """``met``, the pairs of shapes ``within`` some bounds, and those of which one shape or both reach beyond."""
+    for a, b, beyond in ((left.where(~within), right, left), (left.where(within), right.where(~within), right)):
+        if not beyond.where(~within).isEmpty():
+            met = met.unionByName(spatial_join(a, b))
+    return met
+
+
 def _flat(df: DataFrame, box: Box | None) -> DataFrame:
     return df if box is None else df.withColumns(dict(zip(("x", "y", "width", "height"), (box.x, box.y, box.width, box.height), strict=True)))
 
 
-def cell_pairs(left: Cells, right: Cells) -> list[tuple[int, int]]:
-    """Overlapping cells of two indexes, by a sweep over x."""
+def cell_pairs(left: Cells, right: Cells, most: int | None = None) -> list[tuple[int, int]] | None:
+    """Overlapping cells of two indexes, by a sweep over x; nothing as soon as there are more than ``most``."""
     a, b, out, active = sorted(left.bounds(), key=lambda c: c[1]), sorted(right.bounds(), key=lambda c: c[1]), [], []
     k = 0
     for c in a:
@@ -52,6 +69,8 @@ def cell_pairs(left: Cells, right: Cells) -> list[tuple[int, int]]:
             k += 1
         active = [d for d in active if d[1] + d[3] > c[1]]
         out += [(c[0], d[0]) for d in active if c[2] + c[4] > d[2] and d[2] + d[4] > c[2] and d[1] < c[1] + c[3]]
+        if most is not None and len(out) > most:
+            return None
     return sorted(out)
 
 
@@ -68,31 +87,28 @@ def distributed_join(spark: SparkSession, left: Index, right: Index) -> DataFram
     Within a pair of cells, rows meet in the cells of a fine grid, so that large cells are not searched row against row.
     Shapes that reach beyond the cells of either index are joined by themselves, on a grid over both sides.
     """
-    pairs = cell_pairs(left.cells, right.cells)
-    if len(pairs) > MAX_PAIRS:
+    pairs = cell_pairs(left.cells, right.cells, MAX_PAIRS)
+    if pairs is None:
         return spatial_join(left.home(spark), right.home(spark))
-    table = F.broadcast(spark.createDataFrame(pairs or [(-2, -2)], "l_cell_id long, r_cell_id long"))
-    fine = grid_for_join(left.data(spark), right.data(spark))
+    table = F.broadcast(spark.createDataFrame(pairs or [(-2, -2)], "l_own long, r_own long"))
     within = _within(left.cells, right.cells, Box())
+    a, b = left.home(spark), right.home(spark)
+    fine = grid_for_join(a, b)
     sides = {}
     for side, index in (("l", left), ("r", right)):
         rows = index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where(within)
-        sides[side] = _named(assign(rows, fine), side).withColumnRenamed(f"{side}_own", f"{side}_cell_id").join(table, f"{side}_cell_id")
-    met = sides["l"].join(sides["r"], ["cell_id", "l_cell_id", "r_cell_id"]).where(_box("l").overlaps(_box("r")))
-    for cells, name in ((fine, "cell_id"), (left.cells, "l_cell_id"), (right.cells, "r_cell_id")):
+        sides[side] = assign(_named(rows, side), fine, _box(side)).drop("is_home").join(table, f"{side}_own")
+    met = sides["l"].join(sides["r"], ["cell_id", "l_own", "r_own"]).where(_box("l").overlaps(_box("r")))
+    for cells, name in ((fine, "cell_id"), (left.cells, "l_own"), (right.cells, "r_own")):
         met = met.where(in_cell(cells, F.col(name), _box("l"), _box("r")))
-    met = met.drop("cell_id", "l_cell_id", "r_cell_id")
-    a, b = left.home(spark), right.home(spark)
-    for x, y, beyond in ((a.where(~within), b, a), (a.where(within), b.where(~within), b)):
-        if not beyond.where(~within).isEmpty():
-            met = met.unionByName(spatial_join(x, y))
-    return met
+    return _with_beyond(met.drop("cell_id", "l_own", "r_own"), a, b, within)
 
 
 def should_repartition(left: Cells, right: Cells) -> bool:
     """Whether dealing the side with fewer cells by the other's cells costs less than reading all pairs of cells."""
     small, large = sorted((len(left.bounds()), len(right.bounds())))
-    return 3 * small + large < len(cell_pairs(left, right))
+    pairs = cell_pairs(left, right, 3 * small + large)
+    return pairs is None
 
 
 def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: str = "auto") -> DataFrame:
@@ -103,31 +119,41 @@ def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: st
 
 
 def plane_sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Overlapping pairs of two sets of boxes by a sweep over x; columns l_* and r_*."""
-    a, b, out, k, active = left.sort_values("x"), right.sort_values("x"), [], 0, []
-    rows = list(b.itertuples(index=False))
-    for r in a.itertuples(index=False):
-        while k < len(rows) and rows[k].x < r.x + r.width:
-            active.append(rows[k])
-            k += 1
-        active = [s for s in active if s.x + s.width > r.x]
-        out += [(*r, *s) for s in active if s.x < r.x + r.width and r.y + r.height > s.y and s.y + s.height > r.y]
-    return pd.DataFrame(out, columns=[f"l_{c}" for c in left.columns] + [f"r_{c}" for c in right.columns])
+    """Overlapping pairs of two sets of boxes (columns l_x, ... and r_x, ...) by a sweep over x: each box meets the others that begin within it, of which those apart in y are left out."""
+    a, b = left.sort_values("l_x", kind="stable"), right.sort_values("r_x", kind="stable")
+    ax, bx = a["l_x"].to_numpy(), b["r_x"].to_numpy()
+    found = []
+    # A pair's later beginning lies within the other box: of the left sides' (a tie counts here), then of the right ones'.
+    for x, end, other, tie, swap in ((ax, ax + a["l_width"].to_numpy(), bx, "left", False), (bx, bx + b["r_width"].to_numpy(), ax, "right", True)):
+        low, high = np.searchsorted(other, x, side=tie), np.searchsorted(other, end, side="left")
+        n = np.maximum(0, high - low)
+        first = np.repeat(np.arange(len(x)), n)
+        second = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        found.append((second, first) if swap else (first, second))
+    i, j = (np.concatenate(v) for v in zip(*found, strict=True))
+    ay, by = a["l_y"].to_numpy(), b["r_y"].to_numpy()
+    meet = (ay[i] + a["l_height"].to_numpy()[i] > by[j]) & (by[j] + b["r_height"].to_numpy()[j] > ay[i])
+    # A box without width begins in another without lying over it.
+    meet &= (ax[i] + a["l_width"].to_numpy()[i] > bx[j]) & (bx[j] + b["r_width"].to_numpy()[j] > ax[i])
+    return pd.concat([a.iloc[i[meet]].reset_index(drop=True), b.iloc[j[meet]].reset_index(drop=True)], axis=1)
 
 
 def sweep_join(left: DataFrame, right: DataFrame, cells: Cells | None = None) -> DataFrame:
     """As :func:`spatial_join`, by a plane sweep within each cell. A cell's shapes are in one task; take enough cells."""
-    cells = cells or grid_for_join(left, right, rows_per_cell=SWEEP_ROWS)
-    a, b = assign(left, cells).drop("is_home"), assign(right, cells).drop("is_home")
-    fields = [f"l_{f.name} {f.dataType.simpleString()}" for f in left.schema] + [f"r_{f.name} {f.dataType.simpleString()}" for f in right.schema]
-    bounds = {c[0]: c[1:] for c in cells.bounds()}
+    if cells is not None:
+        within = _within(cells, cells, Box())
+        return _with_beyond(_swept(left.where(within), right.where(within), cells), left, right, within)
+    return _swept(left, right, grid_for_join(left, right, rows_per_cell=SWEEP_ROWS))
+
+
+def _swept(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
+    l_named, r_named = _named(left, "l"), _named(right, "r")
+    a = assign(l_named, cells, _box("l")).drop("is_home").where("cell_id >= 0").withColumnRenamed("cell_id", "l__cell")
+    b = assign(r_named, cells, _box("r")).drop("is_home").where("cell_id >= 0").withColumnRenamed("cell_id", "r__cell")
+    schema = StructType([*l_named.schema.fields, *r_named.schema.fields, StructField("cell_id", LongType())])
 
     def cell(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        pairs = plane_sweep(x.drop(columns="cell_id"), y.drop(columns="cell_id"))
-        if int(key[0]) not in bounds or pairs.empty:
-            return pairs.iloc[:0]
-        cx, cy, w, h = bounds[int(key[0])]
-        px, py = pairs[["l_x", "r_x"]].max(axis=1), pairs[["l_y", "r_y"]].max(axis=1)
-        return pairs[(px >= cx) & (px < cx + w) & (py >= cy) & (py < cy + h)]
-
-    return a.groupBy("cell_id").cogroup(b.groupBy("cell_id")).applyInPandas(cell, ", ".join(fields))
+        return plane_sweep(x.drop(columns="l__cell"), y.drop(columns="r__cell")).assign(cell_id=int(key[0]))
+
+    met = a.groupBy("l__cell").cogroup(b.groupBy("r__cell")).applyInPandas(cell, schema)
+    return met.where(in_cell(cells, F.col("cell_id"), _box("l"), _box("r"))).drop("cell_id")

@@ -180,7 +180,7 @@ def _sequence(t: Tables) -> DataFrame:
     return files.read_sequence(t.spark, path, "key long, value string")
 
 
-query("S17_as_text", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer")(lambda t: t.customer.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value")))
+query("S17_as_text", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer")(lambda t: _sequence(t).select(F.col("key").cast("string").alias("key"), "value"))
 query("S18_filter_regex", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '7$')")(lambda t: S.matching(t.customer, "c_name", "7$").select("c_custkey"))
 query("S18_filter_percent", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0")(lambda t: S.every(t.orders, 10, "o_orderkey").select("o_orderkey"))
 query("S18_filter_md5", "SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT % 7 = 0")(lambda t: S.by_digest(t.orders, "o_orderkey", 7).select("o_orderkey"))
@@ -212,13 +212,14 @@ def _routed(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-query("S30_range_splits", "SELECT least((o_orderkey - lo) * 8 // (hi - lo), 7) AS split, count(*) AS n FROM orders, (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) GROUP BY 1")(lambda t: _range_splits(t))
+query("S30_range_splits", "SELECT (SELECT count(*) FROM range(1, 8) r(i) WHERE o_orderkey >= lo + (hi - lo) * i // 8)::INT AS split, count(*) AS n FROM orders, (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) GROUP BY 1")(lambda t: _range_splits(t))
 
 
 def _range_splits(t: Tables) -> DataFrame:
     r = t.orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
-    scaled = div((F.col("o_orderkey") - r.lo) * 8, F.lit(r.hi - r.lo))
-    return t.orders.groupBy(F.least(scaled, F.lit(7)).alias("split")).agg(F.count("*").alias("n"))
+    conditions = files.split_ranges(r.lo, r.hi, 8, "o_orderkey")
+    split = F.coalesce(*(F.when(F.expr(c), i) for i, c in enumerate(conditions)))
+    return t.orders.groupBy(split.alias("split")).agg(F.count("*").alias("n"))
 
 
 query("S29_database", "SELECT c_custkey AS k, c_name AS v FROM customer")(lambda t: _database(t))
@@ -249,8 +250,8 @@ def _codec(t: Tables) -> DataFrame:
     return t.spark.read.schema("c_custkey long, c_name string").csv(path)
 
 
-query("S38_random_rectangles")(lambda t: files.random_shapes(t.spark, 20_000, "rectangle", 0, 0, 10_000, 10_000))
-query("S38_random_polygons")(lambda t: files.random_shapes(t.spark, 5_000, "polygon", 0, 0, 10_000, 10_000).select("id", F.size("xs").alias("corners")))
+query("S38_random_rectangles", "SELECT 20000::BIGINT AS n, true AS inside, true AS sized, true AS spread FROM range(1)")(lambda t: files.random_shapes(t.spark, 20_000, "rectangle", 0, 0, 10_000, 10_000).agg(F.count("*").alias("n"), F.every(F.expr("x >= 0 AND y >= 0 AND x + width <= 10000 AND y + height <= 10000")).alias("inside"), F.every(F.expr("width BETWEEN 1 AND 100 AND height BETWEEN 1 AND 100")).alias("sized"), ((F.count_distinct("x") > 8000) & (F.count_distinct("y") > 8000) & (F.count_distinct(F.floor(F.col("x") / 2500), F.floor(F.col("y") / 2500)) == 16)).alias("spread")))
+query("S38_random_polygons", "SELECT 5000::BIGINT AS n, true AS inside, 3 AS fewest, 5 AS most FROM range(1)")(lambda t: files.random_shapes(t.spark, 5_000, "polygon", 0, 0, 10_000, 10_000).agg(F.count("*").alias("n"), F.every(F.expr("size(xs) = size(ys) AND array_min(xs) >= 0 AND array_max(xs) <= 10000 AND array_min(ys) >= 0 AND array_max(ys) <= 10000")).alias("inside"), F.min(F.size("xs")).alias("fewest"), F.max(F.size("xs")).alias("most")))
 query("S39_describe_index", "SELECT c.cell_id, c.x, c.y, c.width, c.height, count(r.id) AS n_rows, count(r.id) FILTER (greatest(r.x, c.x) = r.x AND greatest(r.y, c.y) = r.y AND r.x >= c.x AND r.y >= c.y) AS n_home FROM (SELECT (i*4+j)::BIGINT AS cell_id, 10100*i//4 AS x, 10100*j//4 AS y, 10100*(i+1)//4-10100*i//4 AS width, 10100*(j+1)//4-10100*j//4 AS height FROM range(4) a(i), range(4) b(j)) c LEFT JOIN rect_orders r ON r.x + r.width > c.x AND c.x + c.width > r.x AND r.y + r.height > c.y AND c.y + c.height > r.y GROUP BY ALL")(lambda t: _described(t))
 
 
@@ -262,9 +263,16 @@ def _described(t: Tables) -> DataFrame:
 
 
 query("S40_tail", "SELECT o_orderkey, o_orderstatus AS value FROM orders ORDER BY o_orderkey DESC LIMIT 25")(lambda t: files.last_lines(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("value")), 25, "o_orderkey"))
-query("S42_random_words")(lambda t: files.random_words(t.spark, 10_000, ["alpha", "beta", "gamma", "delta"]))
+query("S42_random_words", "SELECT w AS word, 10000::BIGINT AS lines, 100000::BIGINT AS words, true AS fair FROM (VALUES ('alpha'), ('beta'), ('gamma'), ('delta')) v(w)")(lambda t: _drawn(t))
 query("S44_sort_log", "SELECT value FROM items WHERE regexp_matches(value, '-R-F-')")(lambda t: files.sort_log(t.items.select("value"), "-R-F-", [1, 0], "-"))
 
+def _drawn(t: Tables) -> DataFrame:
+    lines = files.random_words(t.spark, 10_000, ["alpha", "beta", "gamma", "delta"])
+    words = lines.select("id", F.explode(F.split("value", " ")).alias("word"))
+    total = words.agg(F.count_distinct("id").alias("lines"), F.count("*").alias("words"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).crossJoin(total).select("word", "lines", "words", F.expr("abs(n - words / 4) < 1000").alias("fair"))  # total is one row
+
+
 # Indexes.
 query("I03_partition_count", "SELECT greatest(1, ceil(count(*) * 40 * 1.1 / 65536))::BIGINT AS n FROM orders")(lambda t: t.spark.createDataFrame([(GR.partition_count(t.orders.count() * 40, 65536),)], "n long"))
 query("I04_uniform_grid", "WITH RECURSIVE m AS (SELECT max(x+width)-min(x) AS w, max(y+height)-min(y) AS h FROM rect_orders), g(c, r) AS (SELECT 1, 1 UNION ALL SELECT CASE WHEN w // c > h // r THEN c + 1 ELSE c END, CASE WHEN w // c > h // r THEN r ELSE r + 1 END FROM g, m WHERE c * r < 50) SELECT max(c)::BIGINT AS cols, max(r)::BIGINT AS nrows FROM g")(lambda t: t.spark.createDataFrame([(g.cols, g.rows) for g in [GR.grid_for(t.rect_orders, 50)]], "cols long, nrows long"))
@@ -273,7 +281,18 @@ CELLS20 = "(SELECT (i*20+j)::BIGINT AS cell_id, 10100*i//20 AS cx, 10100*j//20 A
 query("I01_repartition", f"SELECT okey, line, cell_id, (x >= cx AND y >= cy) AS is_home FROM rect_lineitem JOIN {CELLS20} ON x + width > cx AND cx + cw > x AND y + height > cy AND cy + ch > y")(lambda t: GR.assign(t.rect_lineitem, GRID).select("okey", "line", "cell_id", "is_home"))
 query("I01_index_home", "SELECT id, x, y, width, height FROM rect_orders")(lambda t: build(t.rect_orders, shared_path(t.spark, "index"), 16).home(t.spark))
 query("I06_packed_index", "SELECT id, x, y, width, height FROM rect_orders")(lambda t: build(t.rect_orders, shared_path(t.spark, "index"), 16, "str").home(t.spark))
-query("I09_cells_of", f"SELECT cell_id, count(*) AS n FROM rect_lineitem JOIN {CELLS20} ON x + width > cx AND cx + cw > x AND y + height > cy AND cy + ch > y GROUP BY cell_id")(lambda t: build(t.rect_lineitem, shared_path(t.spark, "index"), GRID).data(t.spark).groupBy(F.col("cell_id").cast("bigint").alias("cell_id")).agg(F.count("*").alias("n")))
+query("I09_cells_of", f"SELECT cell_id, count(*) AS n FROM rect_lineitem JOIN {CELLS20} ON x + width > cx AND cx + cw > x AND y + height > cy AND cy + ch > y GROUP BY cell_id")(lambda t: _cells_of_another(t))
+
+
+def _cells_of_another(t: Tables) -> DataFrame:
+    """An index of lines in the cells of an index of orders, read from where that is stored."""
+    from ..operators.index import load
+
+    path = shared_path(t.spark, "index")
+    build(t.rect_orders, path, GRID)
+    own = build(t.rect_lineitem, shared_path(t.spark, "index"), load(t.spark, path).cells)
+    return own.data(t.spark).groupBy(F.col("cell_id").cast("bigint").alias("cell_id")).agg(F.count("*").alias("n"))
+
 
 # Selection.
 query("Q01_range_query", f"SELECT okey, line, x, y, width, height FROM rect_lineitem WHERE {OVER}")(lambda t: Q.range_query(t.rect_lineitem, WINDOW))
@@ -301,6 +320,11 @@ query("J03_repartition_join", f"SELECT l.okey AS okey, l.line AS line, r.id AS i
 query("J04_join_cost", "SELECT n AS pairs, 3 * 25 + 36 < n AS repartition FROM (SELECT count(*) AS n FROM (SELECT 10100*i//6 AS x1, 10100*(i+1)//6 AS x2, 10100*j//6 AS y1, 10100*(j+1)//6 AS y2 FROM range(6) a(i), range(6) b(j)) p JOIN (SELECT 10100*i//5 AS x1, 10100*(i+1)//5 AS x2, 10100*j//5 AS y1, 10100*(j+1)//5 AS y2 FROM range(5) a(i), range(5) b(j)) q ON p.x2 > q.x1 AND q.x2 > p.x1 AND p.y2 > q.y1 AND q.y2 > p.y1)")(lambda t: t.spark.createDataFrame([(len(SJ.cell_pairs(G6, G5)), SJ.should_repartition(G6, G5))], "pairs long, repartition boolean"))
 query("J05_cell_pairs", "SELECT p.c AS left_cell, q.c AS right_cell FROM (SELECT (i*6+j)::BIGINT AS c, 10100*i//6 AS x1, 10100*(i+1)//6 AS x2, 10100*j//6 AS y1, 10100*(j+1)//6 AS y2 FROM range(6) a(i), range(6) b(j)) p JOIN (SELECT (i*5+j)::BIGINT AS c, 10100*i//5 AS x1, 10100*(i+1)//5 AS x2, 10100*j//5 AS y1, 10100*(j+1)//5 AS y2 FROM range(5) a(i), range(5) b(j)) q ON p.x2 > q.x1 AND q.x2 > p.x1 AND p.y2 > q.y1 AND q.y2 > p.y1")(lambda t: t.spark.createDataFrame(SJ.cell_pairs(G6, G5), "left_cell long, right_cell long"))
 query("J06_plane_sweep", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.sweep_join(t.rect_lineitem, t.rect_orders)))
+query("J01_beyond_the_cells", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.spatial_join(t.rect_lineitem, t.rect_orders, GR.Grid(2000, 3000, 4000, 4000, 8, 8))))
+query("J06_sweep_beyond_the_cells", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.sweep_join(t.rect_lineitem, t.rect_orders, GR.Grid(2000, 3000, 4000, 4000, 8, 8))))
+query("J02_beyond_the_cells", f"SELECT l.okey AS okey, l.line AS line, r.id AS id {PAIRS}")(lambda t: _pairs(SJ.join_indexed(t.spark, build(t.rect_lineitem, shared_path(t.spark, "index"), GR.Grid(0, 0, 5000, 10100, 6, 6)), build(t.rect_orders, shared_path(t.spark, "index"), GR.Grid(3000, 0, 7100, 6000, 5, 5)), repartition="no")))
+query("J06_self_sweep", "SELECT l.id AS l_id, r.id AS r_id, l.id AS l_cell_id, r.id AS r_n FROM rect_orders l JOIN rect_orders r ON l.x + l.width > r.x AND r.x + r.width > l.x AND l.y + l.height > r.y AND r.y + r.height > l.y")(lambda t: SJ.sweep_join(*(2 * [t.rect_orders.selectExpr("*", "id AS cell_id", "id AS _col", "id AS n")])).selectExpr("l_id", "r_id", "l_cell_id", "r_n"))
+query("J01_self_join", "SELECT l.id AS l_id, r.id AS r_id, l.id AS l_cell_id, r.id AS r__col FROM rect_orders l JOIN rect_orders r ON l.x + l.width > r.x AND r.x + r.width > l.x AND l.y + l.height > r.y AND r.y + r.height > l.y")(lambda t: SJ.spatial_join(*(2 * [t.rect_orders.selectExpr("*", "id AS cell_id", "id AS _col", "id AS n")])).selectExpr("l_id", "r_id", "l_cell_id", "r__col"))
 G6, G5 = GR.Grid(0, 0, 10100, 10100, 6, 6), GR.Grid(0, 0, 10100, 10100, 5, 5)
 
 
@@ -313,36 +337,45 @@ def _two(t: Tables):
 
 
 # Joins by key.
-def _three(t: Tables):
-    return (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v")).where("v % 50 = 1"), t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v")), t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("bigint").alias("v")))
+def _whole(t: Tables):
+    return (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v")), t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("bigint").alias("v")))
 
 
-THREE = "WITH a AS (SELECT c_nationkey AS k, c_custkey AS v FROM customer WHERE c_custkey % 50 = 1), b AS (SELECT s_nationkey AS k, s_suppkey AS v FROM supplier), c AS (SELECT n_nationkey AS k, n_regionkey::BIGINT AS v FROM nation WHERE n_nationkey < 20) "
-query("J08_inner_join", THREE + "SELECT a.k, a.v AS v0, b.v AS v1, c.v AS v2 FROM a JOIN b ON a.k = b.k JOIN c ON a.k = c.k")(lambda t: J.inner_join(*_three(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3))))
-query("J09_outer_join", THREE + "SELECT coalesce(a.k, b.k, c.k) AS k, a.v AS v0, b.v AS v1, c.v AS v2, ((a.v IS NOT NULL)::BIGINT + 2 * (b.v IS NOT NULL)::BIGINT + 4 * (c.v IS NOT NULL)::BIGINT) AS present FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")(lambda t: J.outer_join(*_three(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)), "present"))
-query("J10_override_join", THREE + ", u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) SELECT k, v, source FROM u QUALIFY source = max(source) OVER (PARTITION BY k)")(lambda t: J.override_join(*_three(t), key="k").select("k", "v", "source"))
-query("J11_join_expression", THREE + "SELECT a.k, a.v AS v0, b.v AS v1 FROM a JOIN b ON a.k = b.k")(lambda t: J.JoinExpression(dict(zip("abc", _three(t), strict=True)), "k")("inner(tbl(a), tbl(b))").select("k", F.col("s0.v").alias("v0"), F.col("s1.v").alias("v1")))
+def _small_tables(t: Tables):
+    _, suppliers, nations = _whole(t)
+    least = suppliers.groupBy("k").agg(F.min("v").alias("v")).unionByName(nations.select("k", F.lit(None).cast("bigint").alias("v")).join(suppliers, "k", "left_anti"))
+    inner = J.JoinExpression({"nations": nations, "least": least, "none": nations.where("false")}, "k")("inner(tbl(nations), outer(tbl(least), tbl(none)))")
+    return {"nations": nations, "least": least, "none": nations.where("false"), "nothing": inner.where("false")}
 
-# The same joins over whole tables; the four above and THREE keep the cut of their SQL.
-def _whole(t: Tables):
-    return (t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v")), t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("bigint").alias("v")))
+
+def _own_operation(t: Tables) -> DataFrame:
+    """An operation of one's own in the expression language: how many rows of all sources have each key."""
+    class Counting(J.JoinExpression):
+        pass
+
+    Counting.define("rows", lambda *frames, key: files.multiple_inputs(*((f, lambda d: d.select(key)) for f in frames)).groupBy(key).agg(F.count("*").alias("n")))
+    customers, suppliers, _ = _whole(t)
+    return Counting({"customers": customers, "suppliers": suppliers}, "k")("rows(tbl(customers), tbl(suppliers))")
 
 
 WHOLE = "WITH a AS (SELECT c_nationkey AS k, c_custkey AS v FROM customer), b AS (SELECT s_nationkey AS k, s_suppkey AS v FROM supplier), c AS (SELECT n_nationkey AS k, n_regionkey::BIGINT AS v FROM nation) "
-query("J08_inner_join_whole", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1, c.v AS v2 FROM a JOIN b ON a.k = b.k JOIN c ON a.k = c.k")(lambda t: J.inner_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3))))
-query("J09_outer_join_whole", WHOLE + "SELECT coalesce(a.k, b.k, c.k) AS k, a.v AS v0, b.v AS v1, c.v AS v2, ((a.v IS NOT NULL)::BIGINT + 2 * (b.v IS NOT NULL)::BIGINT + 4 * (c.v IS NOT NULL)::BIGINT) AS present FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")(lambda t: J.outer_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)), "present"))
-query("J10_override_join_whole", WHOLE + ", u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) SELECT k, v, source FROM u QUALIFY source = max(source) OVER (PARTITION BY k)")(lambda t: J.override_join(*_whole(t), key="k").select("k", "v", "source"))
-query("J11_join_expression_whole", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1 FROM a JOIN b ON a.k = b.k")(lambda t: J.JoinExpression(dict(zip("abc", _whole(t), strict=True)), "k")("inner(tbl(a), tbl(b))").select("k", F.col("s0.v").alias("v0"), F.col("s1.v").alias("v1")))
+query("J08_inner_join", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1, c.v AS v2 FROM a JOIN b ON a.k = b.k JOIN c ON a.k = c.k")(lambda t: J.inner_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3))))
+query("J09_outer_join", WHOLE + "SELECT coalesce(a.k, b.k, c.k) AS k, a.v AS v0, b.v AS v1, c.v AS v2, ((a.v IS NOT NULL)::BIGINT + 2 * (b.v IS NOT NULL)::BIGINT + 4 * (c.v IS NOT NULL)::BIGINT) AS present FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON coalesce(a.k, b.k) = c.k")(lambda t: J.outer_join(*_whole(t), key="k").select("k", *(F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)), "present"))
+query("J10_override_join", WHOLE + ", u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) SELECT k, v, source FROM u QUALIFY source = max(source) OVER (PARTITION BY k)")(lambda t: J.override_join(*_whole(t), key="k").select("k", "v", "source"))
+query("J11_join_expression", WHOLE + "SELECT a.k, a.v AS v0, b.v AS v1 FROM a JOIN b ON a.k = b.k")(lambda t: J.JoinExpression(dict(zip("abc", _whole(t), strict=True)), "k")("inner(tbl(a), tbl(b))").select("k", F.col("s0.v").alias("v0"), F.col("s1.v").alias("v1")))
+query("J11_nested_expression", WHOLE + "SELECT c.k, c.v AS v0, b.v AS v1 FROM c LEFT JOIN (SELECT k, min(v) AS v FROM b GROUP BY k) b ON c.k = b.k")(lambda t: J.JoinExpression(_small_tables(t), "k")("override(inner(tbl(nations), outer(tbl(least), tbl(none))), tbl(nothing))").select("k", F.col("s0.v").alias("v0"), F.col("s1.s0.v").alias("v1")))
+query("J11_own_operation", WHOLE + "SELECT k, count(*) AS n FROM (SELECT k FROM a UNION ALL SELECT k FROM b) GROUP BY k")(lambda t: _own_operation(t))
 query("J13_tagged_join", "SELECT o_custkey AS k, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: J.tagged_join({"o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "c": t.customer.select(F.col("c_custkey").alias("k"), "c_name")}, "k").select("k", "o.o_orderkey", "c.c_name"))
 query("J13_tagged_join_capped", "SELECT k, o_orderkey, c_name FROM (SELECT o_custkey AS k, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3) JOIN customer ON k = c_custkey")(lambda t: J.tagged_join({"o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "c": t.customer.select(F.col("c_custkey").alias("k"), "c_name")}, "k", max_values_per_group=3).select("k", "o.o_orderkey", "c.c_name"))
-query("J13_tagged_anti", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda t: J.tagged_join({"c": t.customer.select(F.col("c_custkey").alias("k"), "c_name"), "o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey")}, "k", "anti").select("k"))
+query("J13_tagged_anti", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")(lambda t: J.tagged_join({"c": t.customer.select(F.col("c_custkey").alias("k"), "c_name"), "o": t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), "o_orderkey")}, "k", "anti").select("k"))
+query("J13_tagged_outer", "SELECT coalesce(c_custkey, o_custkey) AS k, c_name, o_orderkey FROM customer FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")(lambda t: J.tagged_join({"c": t.customer.select(F.col("c_custkey").alias("k"), "c_name"), "o": t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), "o_orderkey")}, "k", "outer").select("k", "c.c_name", "o.o_orderkey"))
 query("J14_joined_line", "SELECT o_custkey AS k, concat_ws(chr(9), o_orderkey, c_name) AS value FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: J.joined_line(J.tagged_join({"o": t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "c": t.customer.select(F.col("c_custkey").alias("k"), "c_name")}, "k"), "k", ["o", "c"]))
 
 # Aggregates.
 query("A01_mbr", "SELECT min(x) AS x, min(y) AS y, max(x+width)-min(x) AS width, max(y+height)-min(y) AS height FROM rect_lineitem")(lambda t: GR.mbr(t.rect_lineitem))
 query("A02_record_count", "SELECT count(*) AS n FROM lines")(lambda t: A.record_count(t.lines))
 query("A03_nonempty_count", "SELECT count(*) AS n FROM lines WHERE length(value) > 0")(lambda t: A.record_count(t.lines, "value"))
-query("A04_estimated_count")(lambda t: A.estimated_count(t.lines, 10_000_000, fraction=0.2))
+query("A04_estimated_count", "SELECT true AS within, true AS near FROM range(1)")(lambda t: _estimated(t))
 query("A05_long_sum", "SELECT o_orderstatus, sum(o_custkey)::BIGINT AS n FROM orders GROUP BY o_orderstatus")(lambda t: t.orders.groupBy("o_orderstatus").agg(A.TYPES["LongValueSum"](F.col("o_custkey")).alias("n")))
 query("A06_double_sum", "SELECT l_returnflag, sum(l_quantity) AS n FROM lineitem GROUP BY l_returnflag")(lambda t: t.lineitem.groupBy("l_returnflag").agg(A.TYPES["DoubleValueSum"](F.col("l_quantity")).alias("n")))
 query("A07_long_extremes", "SELECT o_orderstatus, max(o_custkey) AS high, min(o_custkey) AS low FROM orders GROUP BY o_orderstatus")(lambda t: t.orders.groupBy("o_orderstatus").agg(A.TYPES["LongValueMax"](F.col("o_custkey")).alias("high"), A.TYPES["LongValueMin"](F.col("o_custkey")).alias("low")))
@@ -354,7 +387,7 @@ query("A12_named_aggregates", "SELECT 'LongValueSum' AS type, 'keys' AS id, CAST
 query("A12_keyed_aggregates", "SELECT 'LongValueSum' AS type, o_orderpriority AS id, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'LongValueMax', o_orderpriority, CAST(max(o_custkey) AS VARCHAR) FROM orders GROUP BY o_orderpriority")(lambda t: A.keyed(t.orders.select(F.inline(F.array(F.struct(F.lit("LongValueSum").alias("type"), F.col("o_orderpriority").alias("id"), F.lit("1").alias("value")), F.struct(F.lit("LongValueMax").alias("type"), F.col("o_orderpriority").alias("id"), F.col("o_custkey").cast("string").alias("value")))))))
 query("A13_default_aggregate", "SELECT 'LongValueSum' AS type, 'record_count' AS id, CAST(count(*) AS VARCHAR) AS value FROM orders")(lambda t: A.named(t.orders))
 query("A14_sum_per_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")(lambda t: t.orders.groupBy("o_custkey").agg(F.sum(F.lit(1).cast("bigint")).alias("n")))
-query("A16_identity_sort", "SELECT o_orderkey, o_custkey FROM orders")(lambda t: O.key_sort(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"]))
+query("A16_identity_sort", "SELECT o_custkey, count(*) AS n, true AS together FROM orders GROUP BY o_custkey")(lambda t: _together(O.key_sort(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], 5)))
 query("A17_pi", "WITH RECURSIVE d(i, a, fa, x, b, fb, y) AS (SELECT i + 1, i + 1, 0.5::DOUBLE, 0.0::DOUBLE, i + 1, (1.0/3)::DOUBLE, 0.0::DOUBLE FROM range(20000) r(i) UNION ALL SELECT i, a // 2, fa / 2, x + (a % 2) * fa, b // 3, fb / 3, y + (b % 3) * fb FROM d WHERE a > 0 OR b > 0) SELECT count(*) AS inside FROM d WHERE a = 0 AND b = 0 AND (x-0.5)*(x-0.5)+(y-0.5)*(y-0.5) <= 0.25")(lambda t: _pi(t, 20_000))
 query("A18_counters", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")(lambda t: t.orders.where("o_orderstatus = 'F'").observe("counters", F.count("*").alias("seen")).agg(F.count("*").alias("n")))
 
@@ -372,27 +405,31 @@ def _pi(t: Tables, n: int) -> DataFrame:
     return t.spark.range(n).where(x * x + y * y <= 0.25).agg(F.count("*").alias("inside"))
 
 
+def _estimated(t: Tables) -> DataFrame:
+    """The estimate from a sample, held against the lines that there are."""
+    n, size = t.lines.agg(F.count("*"), F.sum(F.octet_length("value") + 1)).first()
+    out = A.estimated_count(t.lines, size, fraction=0.2)
+    return out.select(F.expr("low <= estimate AND estimate <= high").alias("within"), (F.abs(F.col("estimate") - n) < 0.2 * n).alias("near"))
+
+
 # Sorting, partitioning, sampling.
-query("O01_key_sort", "SELECT o_custkey, o_orderkey FROM orders")(lambda t: O.key_sort(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"]))
+query("O01_key_sort", "SELECT o_custkey, count(*) AS n, true AS together FROM orders GROUP BY o_custkey")(lambda t: _together(O.key_sort(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"])))
 query("O02_secondary_sort", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS position FROM events")(lambda t: O.secondary_sort(t.events.select("user_id", "event_id"), "user_id", "event_id"))
 query("O03_key_field_sort", "SELECT value, row_number() OVER (ORDER BY CAST(string_split(value, '-')[2] AS BIGINT) DESC, string_split(value, '-')[5], value) AS n FROM items")(lambda t: _spec_sorted(t))
 query("O04_key_field_partition", "SELECT value, list_reduce(list_prepend(0::BIGINT, [ord(c)::BIGINT FOR c IN string_split(string_split(value, '-')[3], '')]), lambda h, v: (h * 31 + v) % 4294967296) % 2147483648 % 10 AS p FROM items")(lambda t: t.items.select("value", T.key_partition("value", "-k3,3", 10, "-").cast("bigint").alias("p")))
-query("O05_hash_partition", "SELECT o_orderkey FROM orders")(lambda t: t.orders.repartition(8, "o_orderkey").select("o_orderkey"))
-query("O06_binary_partition", None)(lambda t: t.customer.select("c_custkey", T.binary_partition(F.col("c_name"), 10, -3, -1).alias("p")))
+query("O05_hash_partition", "SELECT o_custkey, count(*) AS n, 1::BIGINT AS partitions, true AS known FROM orders GROUP BY o_custkey")(lambda t: t.orders.repartition(8, "o_custkey").withColumn("p", F.spark_partition_id()).groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("p").alias("partitions"), (F.max("p") < 8).alias("known")))
+query("O06_binary_partition", "SELECT c_custkey, (list_reduce(list_prepend(1::BIGINT, [ord(c)::BIGINT FOR c IN string_split(right(c_name, 3), '')]), lambda h, v: (h * 31 + v) % 4294967296) % 2147483648 % 10)::INT AS p FROM customer")(lambda t: t.customer.select("c_custkey", T.binary_partition(F.col("c_name"), 10, -3, -1).alias("p")))
 query("O07_range_partition", "SELECT o_orderkey, ((o_custkey >= 100)::INT + (o_custkey >= 500)::INT + (o_custkey >= 1000)::INT) AS p FROM orders")(lambda t: t.orders.select("o_orderkey", T.range_partition(F.col("o_custkey"), [100, 500, 1000]).alias("p")))
-query("O08_split_points", "SELECT count(*) AS n FROM range(7)")(lambda t: t.spark.createDataFrame([(len(S.split_points(t.orders, "o_orderkey", 8)),)], "n long"))
-query("O08_split_point_keys", "SELECT i, o_orderkey AS key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) JOIN range(1, 8) t(i) ON place = round_even(i * n / 8, 0)")(lambda t: _split_points(t, t.orders))
+query("O08_split_points", "SELECT i, o_orderkey AS key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) JOIN range(1, 8) t(i) ON place = i * n // 8")(lambda t: _split_points(t, t.orders))
 query("O08_split_sampler")(lambda t: _split_points(t, S.first_of_each(t.orders.select("o_orderkey"), 1000)))
 query("O08_random_sampler")(lambda t: _split_points(t, S.by_ratio(t.orders.select("o_orderkey"), 0.1)))
 query("O08_interval_sampler")(lambda t: _split_points(t, S.interval_of_each(t.orders.select("o_orderkey"), 0.1)))
 query("O09_total_order", "SELECT o_orderkey, o_orderdate, n FROM (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")(lambda t: O.numbered(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey"))
-query("O10_sort_rows", "SELECT 0::BIGINT AS errors")(lambda t: O.order_errors(O.numbered(files.sort_rows(t.spark, 20_000), "key", "row_id"), "key", "n").agg(F.count("*").alias("errors")))
-query("O11_sample_ratio")(lambda t: S.by_ratio(t.orders, 0.1).select("o_orderkey"))
+query("O10_sort_rows", "SELECT 0::BIGINT AS errors, 20000::BIGINT AS n, true AS same_rows, true AS places")(lambda t: _sort_benchmark(t, 20_000))
+query("O11_sample_ratio", "SELECT true AS known, true AS distinct_rows, true AS near, true AS spread FROM range(1)")(lambda t: _sampled(t))
 query("O11_sample_count", "SELECT least(count(*), 500) AS n FROM orders")(lambda t: S.by_count(t.orders, 500).agg(F.count("*").alias("n")))
-query("O12_shuffle", "SELECT o_orderkey FROM orders")(lambda t: S.shuffled(t.orders.select("o_orderkey")))
-query("O13_descending", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey)::INT AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) QUALIFY place <= 100")(lambda t: _top(t))
-
-query("O13_descending_whole", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)")(lambda t: O.numbered(A.value_counts(t.lineitem, "l_suppkey").withColumn("k", -F.col("n")), "k", "l_suppkey", name="place").drop("k"))
+query("O12_shuffle", "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, true AS moved FROM orders")(lambda t: _shuffled(t))
+query("O13_descending", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey)")(lambda t: O.numbered(A.value_counts(t.lineitem, "l_suppkey").withColumn("k", -F.col("n")), "k", "l_suppkey", name="place").drop("k"))
 
 
 def _split_points(t: Tables, sample: DataFrame) -> DataFrame:
@@ -400,9 +437,37 @@ def _split_points(t: Tables, sample: DataFrame) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(S.split_points(sample, "o_orderkey", 8), 1)), "i long, key long")
 
 
-def _top(t: Tables) -> DataFrame:
-    top = A.value_counts(t.lineitem, "l_suppkey").orderBy(F.desc("n"), "l_suppkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "l_suppkey")))
+def _together(sorted_rows: DataFrame) -> DataFrame:
+    """Each key's rows, and whether they lie side by side."""
+    placed = sorted_rows.withColumn("i", F.monotonically_increasing_id())
+    return placed.groupBy("o_custkey").agg(F.count("*").alias("n"), (F.max("i") - F.min("i") + 1 == F.count("*")).alias("together"))
+
+
+def _sort_benchmark(t: Tables, n: int) -> DataFrame:
+    """Rows made, sorted and validated: keys that fall, and whether the sorted rows are those that were made, by a checksum of each."""
+    rows = files.sort_rows(t.spark, n)
+    check = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.crc32(F.concat("key", "row_id", "filler"))).alias("sums"))
+    made, done = check(rows), O.numbered(rows, "key", "row_id")
+    errors = O.order_errors(done, "key", "n").agg(F.count("*").alias("errors"))
+    after = check(done.drop("n")).crossJoin(done.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_distinct("n").alias("all_places")))  # one row each
+    out = errors.crossJoin(made.select(F.col("n").alias("was"), F.col("sums").alias("had"))).crossJoin(after)
+    return out.select("errors", "n", F.expr("n = was AND sums = had").alias("same_rows"), F.expr("low = 1 AND high = n AND all_places = n").alias("places"))
+
+
+def _sampled(t: Tables) -> DataFrame:
+    """A sample by ratio, held against its table: rows of it, none twice, about a tenth, from all of it."""
+    n, high = t.orders.agg(F.count("*"), F.max("o_orderkey")).first()
+    got = S.by_ratio(t.orders, 0.1).select("o_orderkey")
+    known = got.join(t.orders.select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left_semi").agg(F.count("*").alias("k"))
+    out = got.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d"), F.count_distinct(F.floor(F.col("o_orderkey") * 10 / (high + 1))).alias("tenths")).crossJoin(known)  # one row each
+    return out.select(F.expr("n = k").alias("known"), F.expr("n = d").alias("distinct_rows"), (F.abs(F.col("n") - 0.1 * n) <= 5 * (0.09 * n) ** 0.5).alias("near"), F.expr("tenths = 10").alias("spread"))
+
+
+def _shuffled(t: Tables) -> DataFrame:
+    """All rows, and whether neighbours have come apart: a third of the steps between rows go back."""
+    placed = S.shuffled(t.orders.select("o_orderkey")).withColumns({"i": F.monotonically_increasing_id(), "p": F.spark_partition_id()})
+    back = placed.withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("p").orderBy("i")))
+    return back.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), (F.sum((F.col("before") > F.col("o_orderkey")).cast("bigint")) > F.count("*") / 3).alias("moved"))
 
 
 def _spec_sorted(t: Tables) -> DataFrame:
@@ -426,7 +491,7 @@ query("E01_wordcount", f"SELECT word, count(*) AS n FROM {WORDS} WHERE word <> '
 query("E02_aggregate_wordcount", f"SELECT 'LongValueSum' AS type, word AS id, CAST(count(*) AS VARCHAR) AS value FROM {WORDS} WHERE word <> '' GROUP BY word")(lambda t: A.keyed(t.documents.select(F.lit("LongValueSum").alias("type"), F.explode(T.tokens()).alias("id"), F.lit("1").alias("value"))))
 query("E03_word_histogram", "SELECT count(*) AS n_values, min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS median, max(n) AS largest, round(avg(n), 6) AS mean, round(stddev_pop(n), 4) AS stddev FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[ \\t]')) AS word FROM documents) GROUP BY word)")(lambda t: A.histogram(t.documents.select(F.explode(T.pieces()).alias("value"))).withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 4)}))
 query("E04_grep", "SELECT count(*) AS n, m FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[a-z]+tion')) AS m FROM documents) GROUP BY m")(lambda t: A.value_counts(t.documents.select(F.explode(T.matches(F.coalesce("text", F.lit("")), "[a-z]+tion")).alias("m")), "m").orderBy(F.desc("n"), "m").select("n", "m"))
-query("E05_sort", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t: O.total_order(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice"))
+query("E05_sort", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")(lambda t: O.numbered(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", name="place"))
 query("E06_secondarysort", "SELECT l_orderkey AS a, l_partkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber)::INT AS position FROM lineitem")(lambda t: t.lineitem.withColumn("position", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber"))).select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), "position"))
 query("E07_join", "SELECT o_orderkey AS k, o_custkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey")(lambda t: J.inner_join(t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey"), t.lineitem.select(F.col("l_orderkey").alias("k"), "l_linenumber"), key="k").groupBy("k", "s0.o_custkey").agg(F.count("*").alias("n")))
 query("E08_multifile_wordcount", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)) WHERE word <> '' GROUP BY word")(lambda t: files.multiple_inputs((t.documents, lambda d: d.select("text")), (t.benchmark, lambda d: d.select("text"))).select(F.explode(T.tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
@@ -460,8 +525,16 @@ def _inverted(t: Tables) -> DataFrame:
     return postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_uses"), F.min("doc_id").alias("first_doc"))
 
 
+def _per_file(t: Tables) -> DataFrame:
+    """The records of each file, files being known by the folder that they were written to."""
+    path = shared_path(t.spark, "files")
+    files.write_routed(t.orders.select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
+    read = t.spark.read.parquet(path).select(F.input_file_name().alias("name"))
+    return read.groupBy(F.regexp_extract("name", "o_orderstatus=([^/]*)/", 1).alias("file")).agg(A.TYPES["LongValueSum"](F.lit(1)).alias("n"))
+
+
 # The rest of the library's surface.
-query("A13_per_file_count", "SELECT n FROM (SELECT count(*) AS n FROM orders)")(lambda t: t.orders.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n")))
+query("A13_per_file_count", "SELECT o_orderstatus AS file, count(*) AS n FROM orders GROUP BY o_orderstatus")(lambda t: _per_file(t))
 query("P02_identity", "SELECT o_orderkey, o_custkey FROM orders")(lambda t: t.orders.select("o_orderkey", "o_custkey"))
 FILTERED = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"
 

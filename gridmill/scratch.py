@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder of our own where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a local folder of our own, in local mode only (tests). It is deleted when the process ends."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         key = spark.sparkContext.applicationId
-        root = _own.setdefault(key, "") or _own.update({key: "file://" + tempfile.mkdtemp(prefix="gridmill-")}) or _own[key]
-    return f"{root.rstrip('/')}/gridmill/{name}-{uuid.uuid4().hex}"
+        if key not in _own:
+            _own[key] = "file://" + tempfile.mkdtemp(prefix="gridmill-")
+        root = _own[key]
+    path = f"{root.rstrip('/')}/gridmill/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_made() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended
+            return

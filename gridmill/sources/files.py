@@ -218,20 +218,17 @@ def _quote(v) -> str:
 
 
 def split_points(low, high, n: int) -> list:
-    """n + 1 rising values from low to high: numbers, booleans, dates, timestamps, or texts (by their first characters)."""
+    """n + 1 rising values from low to high: numbers, booleans, dates, timestamps, or texts (halved again and again)."""
     if isinstance(low, bool):
         return [low, high] if low == high else [False, True]
     if isinstance(low, str):
-        shared = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-        number = lambda s: sum(ord(c) * 65536 ** (7 - i) for i, c in enumerate(s[shared : shared + 8]))
-
-        def text(v):
-            chars = [v >> 16 * (7 - i) & 0xFFFF for i in range(8)]
-            return low[:shared] + "".join(chr(c) for c in chars if c and not 0xD800 <= c < 0xE000)
-
-        a, b = number(low), number(high)
-        inner = [text(a + (b - a) * i // n) for i in range(1, n)]
-        return [low, *dict.fromkeys(t for t in inner if low < t < high), high]
+        points = [low, high]
+        while len(points) < n + 1:
+            inner = [_between(a, b) for a, b in zip(points, points[1:], strict=False)][: n + 1 - len(points)]
+            if all(v is None for v in inner):
+                break
+            points = sorted({*points, *(v for v in inner if v is not None)})
+        return points
     if isinstance(low, (datetime.date, datetime.datetime)):
         step = (high - low) / n
         return [low, *dict.fromkeys(p for i in range(1, n) if low < (p := low + step * i) < high), high]
@@ -240,6 +237,26 @@ def split_points(low, high, n: int) -> list:
     return [low + (high - low) * i / n for i in range(n)] + [high]
 
 
+def _between(low: str, high: str) -> str | None:
+    """A short text above ``low`` and below ``high``, if there is one: half way at the first place where there is room."""
+    out = ""
+    for i in range(max(len(low), len(high)) + 1):
+        a = ord(low[i]) if i < len(low) else 0
+        b = ord(high[i]) if high is not None and i < len(high) else 0x80 if high is None else 0
+        if high is not None and a == b:
+            if i >= len(low):
+                return None
+            out += low[i]
+            continue
+        middle = (a + max(a, b)) // 2
+        if a < middle < b and not 0xD800 <= middle < 0xE000:
+            return out + chr(middle)
+        if i >= len(low):
+            return out + chr(0x40) if high is None else None
+        out, high = out + low[i], None  # any text that goes on like this is below
+    return out + chr(0x40) if high is None else None
+
+
 def read_table(spark: SparkSession, url: str, table: str, column: str | None = None, low=None, high=None, splits: int = 8, properties: dict | None = None) -> DataFrame:
     """A database table, read in ranges of a column if one is given."""
     if column is None:

@@ -11,7 +11,7 @@ from gridmill.operators.index import build
 from gridmill.plans import queries as plans
 
 
-@pytest.mark.parametrize(("name", "rows"), [("J08_inner_join_whole", None), ("J09_outer_join_whole", None), ("J10_override_join_whole", 25), ("J11_join_expression_whole", None)])
+@pytest.mark.parametrize(("name", "rows"), [("J08_inner_join", None), ("J09_outer_join", None), ("J10_override_join", 25), ("J11_join_expression", None)])
 def test_key_joins_read_whole_tables(spark, name, rows):
     sf = "/root/testdata/sf0.01"
     got = plans.QUERIES[name](spark, sf)
@@ -24,7 +24,7 @@ def test_key_joins_read_whole_tables(spark, name, rows):
 
 def test_descending_numbers_all_rows(spark):
     sf = "/root/testdata/sf0.1"
-    got = plans.QUERIES["O13_descending_whole"](spark, sf).collect()
+    got = plans.QUERIES["O13_descending"](spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count() > 100
     assert sorted(r.place for r in got) == list(range(1, len(got) + 1))
 
