@@ -17,7 +17,6 @@ give a row; other columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import array
-import gc
 import math
 import re
 import struct
@@ -34,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, trim
+from .common import once as _once
+from .common import slices
 
 #: Characters that the splitters of all Unicode versions treat alike; a text with others goes through the library whole.
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
@@ -43,7 +43,6 @@ CHUNK_BYTES = 8 << 20
 #: Parts of the distinct-word table.
 MAX_PARTS = 1024
 _odd = re.compile(f"[^{ALIKE}]")
-_cache: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -101,20 +100,6 @@ class WordTokenizer:
         return out
 
 
-def _once(kind, path: str):
-    if (kind, path) not in _cache:
-        _cache[kind, path] = kind(path)
-    return _cache[kind, path]
-
-
-def forget() -> None:
-    """Drop a worker's tokenizers, and give the memory that they and Arrow had back to the system."""
-    if _cache:
-        _cache.clear()
-        gc.collect()
-    trim()
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = [a.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Pieces, _once, default_tokenizer
+from .bpe import Pieces, default_tokenizer
+from .common import once as _once
 
 FENCE = "<|endoftext|>"
 #: Characters of rendered text that a segment holds at least before it is closed; more only by its last turn.

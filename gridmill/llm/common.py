@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -107,6 +108,24 @@ def trim() -> None:
         pass
 
 
+_cache: dict = {}
+
+
+def once(kind, path: str):
+    """``kind(path)``, kept by this process until :func:`forget`."""
+    if (kind, path) not in _cache:
+        _cache[kind, path] = kind(path)
+    return _cache[kind, path]
+
+
+def forget() -> None:
+    """Drop what :func:`once` keeps (a worker's tokenizers are large) and give free memory back to the system."""
+    if _cache:
+        _cache.clear()
+        gc.collect()
+        trim()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

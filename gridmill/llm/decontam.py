@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, inverses, powers, randoms, slices
+from .common import cut, forget, inverses, powers, randoms, slices
 
 Q = 9
 #: Edits allowed as a share of an item's length.
@@ -196,6 +196,7 @@ def _waves(benchmark: DataFrame, item: str, text: str):
 
 def _search(indexes):
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             keys = batch.column(0).to_pylist()
             rows = find(indexes.value, [normalise(t) for t in batch.column("text").to_pylist()])
@@ -221,6 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def _without(indexes):
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             good = np.ones(batch.num_rows, bool)
             good[[r[0] for r in find(indexes.value, [normalise(t) for t in batch.column("text").to_pylist()])]] = False

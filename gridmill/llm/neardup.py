@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mix, randoms, slices, small_batches, utf8
+from .common import LOWER, cut, forget, mix, randoms, slices, small_batches, utf8
 from .components import connected_components
 
 MISS = 1e-7
@@ -125,6 +125,7 @@ def _signatures(width: int, rows: int, bands: int):
     factor, salt = randoms(rows, 13) | np.uint64(1), randoms(bands, 17)
 
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             sizes, digests, sigs, keys = [], [], [], []
             for s in shingle_sets(utf8(batch.column("text")), width):
@@ -286,6 +287,7 @@ def _forest(members: DataFrame, with_values, value: str, prepare) -> DataFrame:
 
 def _sets(width: int):
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             sets = [s.tobytes() for s in shingle_sets(utf8(batch.column("text")), width)]
             rest = [n for n in batch.schema.names if n != "text"]

@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import forget, slices
 
 KEY = b"set a key of your own"
 ROUNDS = 10
@@ -223,6 +223,7 @@ def mask_text(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dic
 
 def _rows(names: list[str], text: str, key: bytes, counts: bool):
     def run(batches):
+        forget()
         for batch in slices(batches, text):
             got = [(None, {}) if t is None else mask_text(t, key) for t in batch.column(text).to_pylist()]
             columns = [pa.array([g[0] for g in got], pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]

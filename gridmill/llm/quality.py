@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, cut, randoms, slices, utf8, words_of
+from .common import _BYTE, cut, forget, randoms, slices, trim, utf8, words_of
 
 #: The bounds on labelled documents that training takes: how many, and their bytes.
 TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
@@ -108,12 +108,18 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Model:
     vectors = ((rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     bags = []
-    for i in range(0, len(texts), 64):
-        for kinds in features(texts[i : i + 64]):
+    at = 0
+    while at < len(texts):  # some texts at once, of a bounded size but for a longer one by itself
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= 1 << 18:
+            size += len(texts[stop])
+            stop += 1
+        for kinds in features(texts[at:stop]):
             ids = np.concatenate(kinds)
             share = np.concatenate([np.full(len(k), 1 / (max(1, len(k)) * len(kinds))) for k in kinds]) if len(ids) else np.zeros(0)
             distinct, where = np.unique(ids, return_inverse=True)
             bags.append((distinct, np.bincount(where, share, len(distinct)).astype(np.float32)))
+        at = stop
     steps, step = max(1, EPOCHS * len(bags)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)).tolist():
@@ -154,11 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model
     fits = docs.sparkSession.createDataFrame(fits, found.select("doc_id", "quality").schema)
     rows = found.join(F.broadcast(fits), ["doc_id", "quality"]).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality))
-    return train([(r.text or "").encode() for r in rows], np.array([int(r.quality > 0) for r in rows]))
+    texts, given = [(r.text or "").encode() for r in rows], np.array([int(r.quality > 0) for r in rows])
+    del rows
+    model = train(texts, given)
+    del texts
+    trim()  # this is the driver, which goes on
+    return model
 
 
 def _score(model):
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             scores = model.value.score(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
@@ -174,6 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _keep(model, threshold: float):
     def run(batches):
+        forget()
         for batch in slices(batches, "text"):
             good = model.value.score(utf8(batch.column("text"))) >= threshold
             yield batch.filter(pa.array(good))

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import _byte_letters, _odd, _once, default_tokenizer, forget, library, split_pattern
-from .common import cut, scratch_path, slices
+from .bpe import _byte_letters, _odd, default_tokenizer, library, split_pattern
+from .common import cut, forget, scratch_path, slices
+from .common import once as _once
 
 MAGIC = b"GMTOK1\0\0"
 NO_KEY = -(1 << 63)
