@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import array
 import math
+import os
 import re
 import struct
 import zlib
@@ -34,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import once as _once
-from .common import slices
+from .common import slices, trim
 
 #: Characters that the splitters of all Unicode versions treat alike; a text with others goes through the library whole.
 ALIKE = r"\x00-\u0557\u2000-\u2060\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3\U0001f300-\U0001f64f"
 #: Bytes of text in a chunk: longer chunks repeat fewer words, and take more memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Parts of the distinct-word table.
 MAX_PARTS = 1024
 _odd = re.compile(f"[^{ALIKE}]")
@@ -58,6 +59,8 @@ def split_pattern() -> str:
 
 
 def library(path: str):
+    # Tasks run side by side already, and each thread of the library's own would hold memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -237,7 +240,9 @@ def _join_back(finish, empty: pa.Schema):
         ends = ends[np.concatenate(([0], np.cumsum(n_words)))]
         out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
         table = pa.table({"key": pa.array(keys, mask=~valid), "n_tokens": np.diff(ends).astype(np.int64), "ids": out.cast(pa.binary())})
-        return finish(table) if finish else table
+        table = finish(table) if finish else table
+        trim()
+        return table
 
     return run
 
