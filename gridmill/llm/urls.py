@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, randoms
+from .common import cut, mix, randoms
 
 #: The rules of the query, as (entry, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -108,7 +108,9 @@ def judge(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     tried = urls.select("u", F.explode(suffixes).alias("s"), heads.alias("heads")).select("u", "s", F.explode("heads").alias("head")).select("u", F.concat("s", "head").alias("entry"))
     possible = tried.withColumn("h", F.xxhash64("entry")).mapInArrow(_may_hold(kept), "u string, entry string, h long")
     found = possible.join(listed, "entry").groupBy("u").agg(F.max_by(F.struct("entry", "verdict"), F.length("entry")).alias("best"))
-    out = read.join(found, "u", "left")
+    # Written first: a small table is then broadcast by its known size, and beside a large one a hot URL's pages can be split,
+    # which adaptive execution can't do next to an aggregate.
+    out = read.join(cut(found, "urls"), "u", "left")
     return out.select(F.col("key").alias(key), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), F.col("best.entry").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
