@@ -97,6 +97,7 @@ def dynamic(df: DataFrame, key: str, keys: int, rate: float = 0.01, per_filter:
 def retouch(f: Filter, unwanted: np.ndarray) -> Filter:
     """Clear, for each unwanted hash that is held, its place with the least count: fewer false hits, at the price of some misses."""
     for row in f.at(unwanted):
-        if f.counts[0, row].all():
-            f.counts[0, row[f.counts[0, row].argmin()]] = 0
+        for counts in f.counts:
+            if counts[row].all():
+                counts[row[counts[row].argmin()]] = 0
     return f

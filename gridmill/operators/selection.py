@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,10 +80,20 @@ def indexed_knn(spark: SparkSession, index: Index, px: int, py: int, k: int, box
         n = min(len(bounds), 2 * n)
     if n >= len(bounds):
         return first
-    # A shape's home is the cell of its lower corner, which its farthest and its nearest distance bound differently.
-    reach = worst.d if measure == "max" else None
-    ids = [b[0] for b in bounds if reach is None or gap(b) <= reach * reach]
-    return knn(index.data(spark, ids).where("is_home").drop("cell_id", "is_home"), px, py, k, box, measure=measure)
+    reach = worst.d * worst.d
+    if measure == "max":  # a shape's farthest corner is no nearer than its home
+        rows = index.data(spark, [b[0] for b in bounds if gap(b) <= reach]).where("is_home")
+    else:
+        # A shape that comes so near has a copy in a cell that does, if the outer cells reach on without end; copies count once.
+        left, low, right, high = min(b[1] for b in bounds), min(b[2] for b in bounds), max(b[1] + b[3] for b in bounds), max(b[2] + b[4] for b in bounds)
+
+        def outer_gap(b):
+            x1, x2 = -math.inf if b[1] == left else b[1], math.inf if b[1] + b[3] == right else b[1] + b[3]
+            y1, y2 = -math.inf if b[2] == low else b[2], math.inf if b[2] + b[4] == high else b[2] + b[4]
+            return max(x1 - px, 0, px - x2) ** 2 + max(y1 - py, 0, py - y2) ** 2
+
+        rows = index.data(spark, [b[0] for b in bounds if outer_gap(b) <= reach])
+    return knn(rows.drop("cell_id", "is_home"), px, py, k, box, measure=measure)
 
 
 #: Queries that one pass takes; more go in blocks.

@@ -533,6 +533,36 @@ def _per_file(t: Tables) -> DataFrame:
     return read.groupBy(F.regexp_extract("name", "o_orderstatus=([^/]*)/", 1).alias("file")).agg(A.TYPES["LongValueSum"](F.lit(1)).alias("n"))
 
 
+ADD_UP = ["awk", "-F", "\t", "-v", "OFS=\t", "{n[$1 FS $2] += $3} END {for (k in n) print k, n[k]}"]
+query("U05_reducer", "SELECT o_orderstatus || chr(9) || o_orderpriority || chr(9) || count(*) AS value FROM orders GROUP BY o_orderstatus, o_orderpriority")(lambda t: map_reduce(t.orders.select(F.concat_ws("\t", "o_orderstatus", "o_orderpriority").alias("value")), ["sed", "s/$/\t1/"], ADD_UP, key_fields=2, combiner=ADD_UP, partition_fields=1))
+TERMS = "SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+')) AS term FROM documents"
+query("X01_index_search", f"SELECT doc_id, count(*) AS n_uses FROM ({TERMS}) WHERE term IN ('the', 'of') GROUP BY doc_id HAVING count(DISTINCT term) = 2")(lambda t: _searched(t))
+query("X01_index_update", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, '') || CASE WHEN doc_id % 3 = 1 THEN ' changed now' ELSE '' END, '[ \\t\\n\\r\\f]+')) AS term FROM documents WHERE doc_id % 3 <> 2) WHERE term <> '' GROUP BY doc_id, term")(lambda t: _updated(t))
+
+
+def _index(t: Tables) -> DataFrame:
+    from ..operators import inverted
+
+    path = shared_path(t.spark, "inverted")
+    inverted.build(t.documents, path, "doc_id", "text")
+    return t.spark.read.parquet(path)
+
+
+def _searched(t: Tables) -> DataFrame:
+    """Documents that hold both words, from the written index."""
+    from ..operators import inverted
+
+    return inverted.search(_index(t), ["the", "of"], "doc_id")
+
+
+def _updated(t: Tables) -> DataFrame:
+    """The postings of a written index after changes to it: of each three documents one stays, one gets another text, one goes."""
+    from ..operators import inverted
+
+    changes = t.documents.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" changed now")).alias("text"), F.expr("if(doc_id % 3 = 1, 'update', 'delete')").alias("op"))
+    return inverted.update(_index(t), changes, "doc_id", "text").select("doc_id", "term", "n")
+
+
 # The rest of the library's surface.
 query("A13_per_file_count", "SELECT o_orderstatus AS file, count(*) AS n FROM orders GROUP BY o_orderstatus")(lambda t: _per_file(t))
 query("P02_identity", "SELECT o_orderkey, o_custkey FROM orders")(lambda t: t.orders.select("o_orderkey", "o_custkey"))
@@ -553,6 +583,18 @@ for _kind in ("plain", "counting", "dynamic"):
     query(f"P08_bloom_{_kind}", FILTERED)(_filtered(_kind))
 
 
+def _retouched(t: Tables) -> DataFrame:
+    """A filter of some orders that must not let given other keys through: whether it does, and whether it did before."""
+    some, other = (t.orders.where(f"o_orderstatus {op} 'P'").select("o_orderkey") for op in ("=", "<>"))
+    held = bloom.counting(some, "o_orderkey", max(1, some.count()), 0.3)
+    unwanted = held.may_hold(other, "o_orderkey").select(F.xxhash64("o_orderkey").alias("h")).orderBy("h").limit(100).toArrow().column("h").to_numpy()
+    before = bool(len(unwanted)) and bool(held.holds(unwanted).all())
+    return t.spark.createDataFrame([(before, bool(bloom.retouch(held, unwanted).holds(unwanted).any()))], "before boolean, after boolean")
+
+
+query("P08_bloom_retouched", "SELECT true AS before, false AS after")(_retouched)
+
+
 def _globbed(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "glob")
     t.customer.select(F.col("c_name").alias("value")).write.text(f"{path}/kept.d")
@@ -568,7 +610,7 @@ query("S20_many_files", "SELECT c_name AS value FROM customer UNION ALL SELECT s
 query("S27_named_outputs", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")(lambda t: _named_outputs(t))
 query("U01_own_mapper", "SELECT o_orderkey, o_custkey % 7 AS r FROM orders WHERE o_custkey % 7 < 3")(lambda t: t.orders.select("o_orderkey", "o_custkey").mapInArrow(_own_mapper, "o_orderkey long, r long"))
 query("U04_own_aggregate", "SELECT 'LongValueSpan' AS type, 'keys' AS id, CAST(max(o_orderkey) - min(o_orderkey) AS VARCHAR) AS value FROM orders")(lambda t: _own_aggregate(t))
-query("U09_side_data", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
+query("U09_side_data", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(lambda t: t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
 query("R_union", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")(lambda t: t.customer.select(F.col("c_nationkey").alias("k")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"))))
 
 

@@ -57,10 +57,12 @@ def pipe(lines: DataFrame, command: list[str], value: str = "value", env: dict[s
     return lines.select(F.col(value).cast("string").alias("value")).mapInArrow(_run(command, env or {}), "value string")
 
 
-def map_reduce(lines: DataFrame, mapper: list[str], reducer: list[str] | str | None = None, separator: str = "\t", key_fields: int = 1, partitions: int | None = None, env: dict[str, str] | None = None) -> DataFrame:
+def map_reduce(lines: DataFrame, mapper: list[str], reducer: list[str] | str | None = None, separator: str = "\t", key_fields: int = 1, partitions: int | None = None, env: dict[str, str] | None = None, combiner: list[str] | None = None, partition_fields: int | None = None) -> DataFrame:
     """A mapper, a shuffle by the first fields of its lines, and a reducer that sees its lines sorted by key.
 
-    The reducer ``aggregate`` takes lines ``type:id<sep>value`` and gives ``id<sep>aggregate``.
+    The reducer ``aggregate`` takes lines ``type:id<sep>value`` and gives ``id<sep>aggregate``. A ``combiner`` sees each
+    task's own lines in the same order before they are shuffled. ``partition_fields``, where given, deals lines by fewer
+    fields than ``key_fields`` sorts them by.
     """
     out = pipe(lines, mapper, env=env)
     if reducer is None:
@@ -72,9 +74,11 @@ def map_reduce(lines: DataFrame, mapper: list[str], reducer: list[str] | str | N
         rows = out.select(F.substring_index(key, ":", 1).alias("type"), _after_colon(key).alias("id"), value.alias("value"))
         return keyed(rows).select(key_value_line("id", "value", separator).alias("value"))
     key = F.substring_index("value", separator, key_fields)
-    shuffled = out.withColumn("_key", key)
-    shuffled = (shuffled.repartition(partitions, "_key") if partitions else shuffled.repartition("_key")).sortWithinPartitions("_key", "value")
-    return pipe(shuffled, reducer, env=env)
+    if combiner:
+        out = pipe(out.sortWithinPartitions(key, "value"), combiner, env=env)
+    dealt = F.substring_index("value", separator, partition_fields or key_fields)
+    shuffled = out.repartition(partitions, dealt) if partitions else out.repartition(dealt)
+    return pipe(shuffled.sortWithinPartitions(key, "value"), reducer, env=env)
 
 
 def _after_colon(key: Column) -> Column:

@@ -49,6 +49,16 @@ def test_indexed_knn(spark, tmp_path, point):
         assert rows(selection.indexed_knn(spark, index, *point, k, Box())) == rows(selection.knn(df, *point, k, Box()))
 
 
+@pytest.mark.parametrize("point", [(350, 200), (-3000, 40), (1200, 1200)])
+def test_indexed_knn_by_nearest_side(spark, tmp_path, point):
+    df = boxes(spark, 300, 4).where("width > 0 and height > 0")
+    for name, cells in (("all", 12), ("some", GR.Grid(200, 100, 400, 500, 4, 4))):
+        index = build(df, str(tmp_path / name), cells)
+        for k in (1, 7, 1000):
+            got = selection.indexed_knn(spark, index, *point, k, Box(), measure="min")
+            assert rows(got) == rows(selection.knn(df, *point, k, Box(), measure="min")), (name, k)
+
+
 def test_spatial_joins_agree(spark, tmp_path):
     a, b = boxes(spark, 200, 5), boxes(spark, 150, 6)
     want = rows(a.alias("l").crossJoin(b.alias("r")).where("l.x + l.width > r.x and r.x + r.width > l.x and l.y + l.height > r.y and r.y + r.height > l.y").select("l.id", "r.id"))
