@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import Box, circle_box, circle_overlaps
-from .grid import Cells
+from ..scratch import shared_path
+from .grid import Cells, Grid, assign
 from .index import Index
 
 
@@ -114,6 +115,55 @@ def batch_knn(df: DataFrame, queries: list[tuple[int, int, int]], k: int, key: s
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_join(df: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """The k nearest points for each row of ``queries`` (query_id, qx, qy), however many: query_id, qx, qy, key, d2, rank; ties by key.
+
+    Rounds of a join over cells about as wide as a round's reach, so that a query meets a few cells; queries that have found
+    k points are done, the others reach twice as far. Of points at one place only the k least keys can count; the others go
+    first. Equal queries count once; those without a place, and points without one, have no neighbours. Squared distances
+    must fit in 64 bits.
+    """
+    spark = df.sparkSession
+
+    def written(rows: DataFrame) -> DataFrame:
+        path = shared_path(spark, "knn")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def ends(rows: DataFrame, x: str, y: str):
+        return rows.agg(F.count("*").alias("n"), F.min(x).alias("x1"), F.max(x).alias("x2"), F.min(y).alias("y1"), F.max(y).alias("y2")).first()
+
+    place = Window.partitionBy("x", "y").orderBy("_key")
+    points = df.select(F.col(key).alias("_key"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).where("x is not null and y is not null")
+    points = written(points.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n"))
+    rest = written(queries.select("query_id", F.col("qx").cast("bigint").alias("qx"), F.col("qy").cast("bigint").alias("qy")).where("qx is not null and qy is not null").distinct())
+    p, q = ends(points, "x", "y"), ends(rest, "qx", "qy")
+    if not p.n or not q.n:
+        return rest.limit(0).join(points.limit(0)).select("query_id", "qx", "qy", F.col("_key").alias(key), F.lit(0).cast("bigint").alias("d2"), F.lit(0).alias("rank"))
+    width, height = p.x2 - p.x1 + 1, p.y2 - p.y1 + 1
+    farthest = max(p.x2, q.x2) - min(p.x1, q.x1) + max(p.y2, q.y2) - min(p.y1, q.y1)
+    own = ["query_id", "qx", "qy"]
+    same = F.expr("query_id <=> _query_id and qx = _qx and qy = _qy")  # a query's id may be null
+    nearest = Window.partitionBy(*own).orderBy("d2", "_key")
+    reach, out = max(1, math.isqrt(k * width * height // p.n)), None
+    while True:
+        grid = Grid(p.x1, p.y1, width, height, max(1, width // reach), max(1, height // reach))
+        squares = assign(rest, grid, Box(F.col("qx") - reach, F.col("qy") - reach, F.lit(2 * reach + 1), F.lit(2 * reach + 1))).where("cell_id >= 0").drop("is_home")
+        d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+        met = squares.join(points.withColumn("cell_id", grid.cell_at(F.col("x"), F.col("y"))), "cell_id").withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+        found = written(met.select(*own, "_key", "d2").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
+        full = found.where(F.col("rank") == k).select(*(F.col(c).alias(f"_{c}") for c in own))
+        part = found if reach >= farthest else found.join(full, same, "left_semi")
+        out = part if out is None else out.unionByName(part)
+        if reach >= farthest:
+            break
+        rest = written(rest.join(full, same, "left_anti"))
+        if rest.isEmpty():
+            break
+        reach *= 2
+    return out.select(*own, F.col("_key").alias(key), "d2", "rank")
+
+
 def _nearest(queries, k, key):
     def run(batches):
         q = np.array(queries, np.int64).reshape(-1, 3)

@@ -310,6 +310,7 @@ query("K01_indexed_knn", KNN)(lambda t: Q.indexed_knn(t.spark, build(t.pt_custom
 query("K03_knn_distinct", "SELECT x, y, sqrt(((x-100)*(x-100)+(y-100)*(y-100))::DOUBLE) AS distance FROM (SELECT DISTINCT x, y FROM rect_lineitem) ORDER BY distance, x, y LIMIT 40")(lambda t: Q.knn(t.rect_lineitem.select("x", "y"), 100, 100, 40, dedupe=True))
 query("K05_knn_rectangles", "SELECT id, x, y, width, height, sqrt((greatest(5000-x, x+width-5000)*greatest(5000-x, x+width-5000)+greatest(5000-y, y+height-5000)*greatest(5000-y, y+height-5000))::DOUBLE) AS distance FROM rect_orders ORDER BY distance, id LIMIT 30")(lambda t: Q.knn(t.rect_orders, 5000, 5000, 30, LI))
 query("K06_batch_knn", "SELECT query_id, id, d2, rank FROM (SELECT q.query_id, c.id, (c.x-q.px)*(c.x-q.px)+(c.y-q.py)*(c.y-q.py) AS d2, row_number() OVER (PARTITION BY q.query_id ORDER BY (c.x-q.px)*(c.x-q.px)+(c.y-q.py)*(c.y-q.py), c.id)::INT AS rank FROM pt_customer c, (SELECT i AS query_id, (i*997)%10000 AS px, (i*613)%10000 AS py FROM range(100) r(i)) q) WHERE rank <= 5")(lambda t: Q.batch_knn(t.pt_customer, [(i, i * 997 % 10000, i * 613 % 10000) for i in range(100)], 5))
+query("K06_knn_join", "SELECT query_id, id, d2, rank FROM (SELECT c.id AS query_id, p.id AS id, (c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y) AS d2, row_number() OVER (PARTITION BY c.id ORDER BY (c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y), p.id)::INT AS rank FROM pt_customer c, pt_part p) WHERE rank <= 3")(lambda t: Q.knn_join(t.pt_part, t.pt_customer.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy")), 3).select("query_id", "id", "d2", "rank"))
 
 # Spatial joins.
 PAIRS = "FROM rect_lineitem l JOIN rect_orders r ON l.x + l.width > r.x AND r.x + r.width > l.x AND l.y + l.height > r.y AND r.y + r.height > l.y"

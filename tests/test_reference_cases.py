@@ -59,6 +59,20 @@ def test_indexed_knn_by_nearest_side(spark, tmp_path, point):
             assert rows(got) == rows(selection.knn(df, *point, k, Box(), measure="min")), (name, k)
 
 
+def test_knn_join_by_brute_force(spark):
+    r = random.Random(5)
+    points = [(i, r.randrange(-50, 300), r.randrange(0, 900)) for i in range(200)] + [(200 + i, 7, 7) for i in range(100)] + [(300, None, 1)]
+    asked = [(i, r.randrange(-600, 900), r.randrange(-600, 1500)) for i in range(60)] + [(60, 7, 7), (60, 7, 7), (60, 8, 8), (None, 40_000, 0), (61, None, 0)]
+    df, queries = spark.createDataFrame(points, "id long, x long, y long"), spark.createDataFrame(asked, "query_id long, qx long, qy long")
+    for k in (1, 4, 500):
+        want = []
+        for i, x, y in {a for a in asked if a[1] is not None}:
+            near = sorted(((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]) for p in points if p[1] is not None)[:k]
+            want += [(i, x, y, p, d, n) for n, (d, p) in enumerate(near, 1)]
+        assert sorted(map(str, map(tuple, selection.knn_join(df, queries, k).collect()))) == sorted(map(str, want)), k
+    assert selection.knn_join(df.limit(0), queries, 3).count() == selection.knn_join(df, queries.limit(0), 3).count() == 0
+
+
 def test_spatial_joins_agree(spark, tmp_path):
     a, b = boxes(spark, 200, 5), boxes(spark, 150, 6)
     want = rows(a.alias("l").crossJoin(b.alias("r")).where("l.x + l.width > r.x and r.x + r.width > l.x and l.y + l.height > r.y and r.y + r.height > l.y").select("l.id", "r.id"))
