@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.geometry import Box
-from .grid import Cells, _extent, assign, grid_for_join
+from .grid import ROWS_PER_CELL, Cells, Grid, _extent, assign, grid_for_join
 from .index import Index
 from .selection import in_cell
 
 #: Cell pairs that may be broadcast: a bound on the index tables, checked on the driver.
 MAX_PAIRS = 1_000_000
-#: Rows in a cell that one sweep takes on average.
+#: Rows of the larger side in a cell that is swept, on average.
 SWEEP_ROWS = 2000
+#: Rows that are swept at once, about, and pairs that are looked at and given at once.
+SWEEP_AT_ONCE = 50_000
+PAIRS_AT_ONCE = 500_000
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
@@ -30,14 +35,30 @@ def _box(side: str) -> Box:
 def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, left_box: Box | None = None, right_box: Box | None = None) -> DataFrame:
     """Pairs of overlapping rows, columns named l_* and r_*: both sides replicated to cells, each pair kept in one cell only.
 
-    Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. With given
-    cells, shapes that reach beyond them are joined by themselves, on a grid over both sides.
+    Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. Given cells
+    are cut and carried on as :func:`_laid` says, so crowded ones are not searched row against row and nothing is beyond them.
     """
     left, right = _flat(left, left_box), _flat(right, right_box)
-    if cells is None:
-        return _met(left, right, grid_for_join(left, right))
-    within = _within(cells, cells, Box())
-    return _with_beyond(_met(left.where(within), right.where(within), cells), left, right, within)
+    return _met(left, right, _laid(left, right, cells, ROWS_PER_CELL))
+
+
+def _laid(left: DataFrame, right: DataFrame, cells: Cells | None, rows_per_cell: int) -> Grid:
+    """A grid over both sides. A given grid's edges stay edges where its cells are larger than the sides' sizes ask for: each is cut in equal parts, and as many of these follow on each side as the shapes reach."""
+    fine = grid_for_join(left, right, rows_per_cell=rows_per_cell)
+    if not isinstance(cells, Grid):
+        return fine
+    x, width, cols = _carried_on(cells.x, cells.width, cells.cols, fine.x, fine.width, fine.cols)
+    y, height, rows = _carried_on(cells.y, cells.height, cells.rows, fine.y, fine.height, fine.rows)
+    return Grid(x, y, width, height, cols, rows)
+
+
+def _carried_on(start: int, size: int, n: int, low: int, extent: int, fine: int) -> tuple[int, int, int]:
+    """Start, size and number of cells on one axis: those given, cut and carried on, or the fine ones if these are larger."""
+    if size * fine <= extent * n:
+        return low, extent, fine
+    cut = n * -(-size * fine // (extent * n))
+    before, after = max(0, -((low - start) // size)), max(0, -((start + size - low - extent) // size))
+    return start - before * size, (before + 1 + after) * size, (before + 1 + after) * cut
 
 
 def _met(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
@@ -118,42 +139,98 @@ def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: st
     return distributed_join(spark, left, right)
 
 
-def plane_sweep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Overlapping pairs of two sets of boxes (columns l_x, ... and r_x, ...) by a sweep over x: each box meets the others that begin within it, of which those apart in y are left out."""
-    a, b = left.sort_values("l_x", kind="stable"), right.sort_values("r_x", kind="stable")
-    ax, bx = a["l_x"].to_numpy(), b["r_x"].to_numpy()
-    found = []
+def plane_sweep(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two sets of boxes (cell, x, y, width, height) that overlap in one cell, by a sweep over x, in blocks: each box meets the others that begin within it, of which those apart in y are left out."""
+    sides = []
+    for cell, x, y, w, h in (left, right):
+        order = np.lexsort((x, cell))
+        sides.append((order, cell[order], x[order], x[order] + w[order], y[order], y[order] + h[order]))
+    (a_at, a_cell, ax, ax2, ay, ay2), (b_at, b_cell, bx, bx2, by, by2) = sides
+    if not len(ax) or not len(bx):
+        return
+    # Cells lie beside each other on one axis, as far apart as no box reaches.
+    low = min(int(ax.min()), int(bx.min()))
+    span = max(int(ax2.max()), int(bx2.max())) - low + 1
+    ids = np.unique(np.concatenate((a_cell, b_cell)))
+    if span * len(ids) >= 1 << 62:
+        for c in ids if len(ids) > 1 else ():
+            i, j = np.flatnonzero(left[0] == c), np.flatnonzero(right[0] == c)
+            for first, second in plane_sweep(tuple(v[i] for v in left), tuple(v[j] for v in right)):
+                yield i[first], j[second]
+        if len(ids) > 1:
+            return
+    a_off, b_off = np.searchsorted(ids, a_cell) * span - low, np.searchsorted(ids, b_cell) * span - low
     # A pair's later beginning lies within the other box: of the left sides' (a tie counts here), then of the right ones'.
-    for x, end, other, tie, swap in ((ax, ax + a["l_width"].to_numpy(), bx, "left", False), (bx, bx + b["r_width"].to_numpy(), ax, "right", True)):
-        low, high = np.searchsorted(other, x, side=tie), np.searchsorted(other, end, side="left")
-        n = np.maximum(0, high - low)
-        first = np.repeat(np.arange(len(x)), n)
-        second = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        found.append((second, first) if swap else (first, second))
-    i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-    ay, by = a["l_y"].to_numpy(), b["r_y"].to_numpy()
-    meet = (ay[i] + a["l_height"].to_numpy()[i] > by[j]) & (by[j] + b["r_height"].to_numpy()[j] > ay[i])
-    # A box without width begins in another without lying over it.
-    meet &= (ax[i] + a["l_width"].to_numpy()[i] > bx[j]) & (bx[j] + b["r_width"].to_numpy()[j] > ax[i])
-    return pd.concat([a.iloc[i[meet]].reset_index(drop=True), b.iloc[j[meet]].reset_index(drop=True)], axis=1)
-
-
-def sweep_join(left: DataFrame, right: DataFrame, cells: Cells | None = None) -> DataFrame:
-    """As :func:`spatial_join`, by a plane sweep within each cell. A cell's shapes are in one task; take enough cells."""
-    if cells is not None:
-        within = _within(cells, cells, Box())
-        return _with_beyond(_swept(left.where(within), right.where(within), cells), left, right, within)
-    return _swept(left, right, grid_for_join(left, right, rows_per_cell=SWEEP_ROWS))
-
-
-def _swept(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
-    l_named, r_named = _named(left, "l"), _named(right, "r")
-    a = assign(l_named, cells, _box("l")).drop("is_home").where("cell_id >= 0").withColumnRenamed("cell_id", "l__cell")
-    b = assign(r_named, cells, _box("r")).drop("is_home").where("cell_id >= 0").withColumnRenamed("cell_id", "r__cell")
-    schema = StructType([*l_named.schema.fields, *r_named.schema.fields, StructField("cell_id", LongType())])
-
-    def cell(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return plane_sweep(x.drop(columns="l__cell"), y.drop(columns="r__cell")).assign(cell_id=int(key[0]))
-
-    met = a.groupBy("l__cell").cogroup(b.groupBy("r__cell")).applyInPandas(cell, schema)
-    return met.where(in_cell(cells, F.col("cell_id"), _box("l"), _box("r"))).drop("cell_id")
+    for begin, end, other, tie, swap in ((ax + a_off, ax2 + a_off, bx + b_off, "left", False), (bx + b_off, bx2 + b_off, ax + a_off, "right", True)):
+        first = np.searchsorted(other, begin, side=tie)
+        n = np.maximum(0, np.searchsorted(other, end, side="left") - first)
+        upto = np.cumsum(n)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(PAIRS_AT_ONCE, int(upto[-1]), PAIRS_AT_ONCE)), [len(n)])))
+        for k, m in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part, total = n[k:m], int(n[k:m].sum())
+            one = np.repeat(np.arange(k, m), part)
+            two = np.arange(total) + np.repeat(first[k:m] - (np.cumsum(part) - part), part)
+            i, j = (two, one) if swap else (one, two)
+            # A box without width begins in another without lying over it.
+            meet = (ay2[i] > by[j]) & (by2[j] > ay[i]) & (ax2[i] > bx[j]) & (bx2[j] > ax[i])
+            yield a_at[i[meet]], b_at[j[meet]]
+
+
+def sweep_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, columns: list[str] | None = None) -> DataFrame:
+    """As :func:`spatial_join`, by a plane sweep within each cell; ``columns``: those of the result that are wanted, by default all.
+
+    The shapes of one cell are in one task's memory, their pairs are not: these are given in blocks.
+    """
+    return _swept(left, right, _laid(left, right, cells, SWEEP_ROWS), columns)
+
+
+def _swept(left: DataFrame, right: DataFrame, cells: Grid, columns: list[str] | None = None) -> DataFrame:
+    named = {"l": _named(left, "l"), "r": _named(right, "r")}
+    fields = [f for d in named.values() for f in d.schema.fields if columns is None or f.name in columns]
+    both = None
+    for side, df in named.items():
+        box = _box(side)
+        at = [c.cast("bigint").alias(f"_gridmill_{n}") for n, c in (("x", box.x), ("y", box.y), ("w", box.width), ("h", box.height))]
+        rest = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        rows = assign(df, cells, box).where("cell_id >= 0").select("cell_id", F.lit(side == "r").alias("_gridmill_right"), *at, *rest)
+        both = rows if both is None else both.unionByName(rows)
+    names = [f.name for f in fields]
+    ours = [n in named["l"].columns for n in names]
+    edges = [cells.x + cells.width * c // cells.cols for c in range(cells.cols + 1)], [cells.y + cells.height * r // cells.rows for r in range(cells.rows + 1)]
+
+    def pairs(table: pa.Table):
+        right = table.column("_gridmill_right").to_numpy()
+        x_edges, y_edges = (np.array(e, np.int64) for e in edges)
+        tables, boxes = [], []
+        for side in (~right, right):
+            t = table.filter(pa.array(side)).combine_chunks()
+            tables.append(t)
+            boxes.append(tuple(t.column(n).to_numpy() for n in ("cell_id", "_gridmill_x", "_gridmill_y", "_gridmill_w", "_gridmill_h")))
+        (cell, ax, ay, *_), (_, bx, by, *_) = boxes
+        col, row = cell // cells.rows, cell % cells.rows
+        for i, j in plane_sweep(*boxes):
+            # A pair is kept in the one cell that holds the lower corner of what is common.
+            x, y, c, r = np.maximum(ax[i], bx[j]), np.maximum(ay[i], by[j]), col[i], row[i]
+            home = (x >= x_edges[c]) & (x < x_edges[c + 1]) & (y >= y_edges[r]) & (y < y_edges[r + 1])
+            if home.any():
+                picked = [pa.array(v[home]) for v in (i, j)]
+                yield from pa.table([tables[0 if own else 1].column(n).take(picked[0 if own else 1]) for n, own in zip(names, ours, strict=True)], names).combine_chunks().to_batches(max_chunksize=100_000)
+
+    def run(batches):
+        held, n, enough = [], 0, SWEEP_AT_ONCE
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            cell = table.column("cell_id").to_numpy()
+            # All but the last cell are whole; a large one is looked at again when it is twice as long.
+            whole = int(np.searchsorted(cell, cell[-1]))
+            if whole:
+                yield from pairs(table.slice(0, whole))
+            held, n = table.slice(whole).to_batches(), n - whole
+            enough = max(SWEEP_AT_ONCE, 2 * n)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return both.repartition("cell_id").sortWithinPartitions("cell_id").mapInArrow(run, StructType(fields))
