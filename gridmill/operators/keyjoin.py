@@ -16,14 +16,54 @@ def _sources(frames: list[DataFrame], key: str) -> list[DataFrame]:
     return [f.select(F.col(key), F.struct(*(c for c in f.columns if c != key)).alias(f"s{i}")) for i, f in enumerate(frames)]
 
 
+#: Rows of a key's product that one task gives, about.
+PRODUCT_ROWS = 16_000_000
+
+
+def _product(sources: list[DataFrame], key: str) -> DataFrame:
+    """key, s0, s1, ...: the product of all sources' rows for each key that every source has.
+
+    A key whose product is beyond PRODUCT_ROWS is cut in slices: its rows in the source that has most of them are dealt out,
+    the others' rows go to each slice. All sources are dealt once, so no product is shuffled.
+    """
+    sizes = reduce(lambda a, b: a.join(b, key), (f.groupBy(key).agg(F.count("*").alias(f"_n{i}")) for i, f in enumerate(sources)))
+    ns = [F.col(f"_n{i}") for i in range(len(sources))]
+    rows = reduce(lambda a, b: a * b, (n.cast("double") for n in ns))
+    most = F.greatest(*ns) if len(ns) > 1 else ns[0]
+    slices = F.least(F.ceil(rows / PRODUCT_ROWS), most).cast("long")
+    dealt = F.coalesce(*(F.when(n == most, F.lit(i)) for i, n in enumerate(ns)))
+    large = sizes.where(rows > PRODUCT_ROWS).select(key, slices.alias("_slices"), dealt.alias("_dealt"))
+    total = large.agg(F.sum("_slices")).first()[0]
+    if not total:
+        return reduce(lambda a, b: a.join(b, key), sources)
+    tasks = max(64, min(2048, total))
+    light, heavy = [], []
+    for i, f in enumerate(sources):
+        light.append(f.join(large.select(key), key, "left_anti"))
+        # By the row's own values, so that a task that is run again deals alike.
+        values = F.to_json(f"s{i}") if "map<" in f.schema[f"s{i}"].dataType.simpleString() else F.col(f"s{i}")
+        own = F.when(F.col("_dealt") == i, F.array(F.pmod(F.xxhash64(values, F.lit(i)), F.col("_slices")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))
+        heavy.append(f.join(large, key).select(*f.columns, F.explode(own).alias("_slice")).repartition(tasks, key, "_slice"))
+    out = reduce(lambda a, b: a.hint("merge").join(b.hint("merge"), [key, "_slice"]), heavy).drop("_slice")
+    return reduce(lambda a, b: a.join(b, key), light).unionByName(out)
+
+
 def inner_join(*frames: DataFrame, key: str) -> DataFrame:
     """key, s0, s1, ...: the product of all sources' rows for each key that every source has. Null keys match nothing."""
-    return reduce(lambda a, b: a.join(b, key), _sources(list(frames), key))
+    return _product(_sources(list(frames), key), key)
 
 
 def outer_join(*frames: DataFrame, key: str) -> DataFrame:
-    """key, s0, s1, ... (null where a source lacks the key) and ``present``, a bit for each source that has it."""
-    out = reduce(lambda a, b: a.join(b, key, "full_outer"), _sources(list(frames), key))
+    """key, s0, s1, ... (null where a source lacks the key) and ``present``, a bit for each source that has it.
+
+    Each source gets a row without values for each key that only others have, so that one product gives the join. Rows
+    without a key match nothing and follow by themselves.
+    """
+    sources = _sources(list(frames), key)
+    keys = reduce(lambda a, b: a.unionByName(b), (f.select(key).where(F.col(key).isNotNull()) for f in sources)).distinct()
+    padded = [f.unionByName(keys.join(f, key, "left_anti").withColumn(f"s{i}", F.lit(None).cast(f.schema[f"s{i}"].dataType))) for i, f in enumerate(sources)]
+    without = [f.where(F.col(key).isNull()) for f in sources]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (_product(padded, key), *without))
     bits = sum((F.when(F.col(f"s{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(len(frames))), F.lit(0).cast("bigint"))
     return out.withColumn("present", bits)
 
