@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sorting import numbered
+
 
 def by_ratio(df: DataFrame, ratio: float, seed: int = 1) -> DataFrame:
     return df.sample(ratio, seed)
@@ -68,22 +70,22 @@ def interval_of_each(df: DataFrame, share: float) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-#: Keys that split points are taken from on the driver, about.
+#: Keys that split points are taken from on the driver, at most.
 MAX_KEYS = 1_000_000
 
 
-def split_points(sample: DataFrame, key: str, partitions: int, seed: int = 1) -> list:
+def split_points(sample: DataFrame, key: str, partitions: int) -> list:
     """Distinct keys that cut the sample in ``partitions`` ranges of like weight: those at the shares 1/partitions, 2/partitions, ... of it.
 
-    A key that holds several shares is given once, as no split can divide it. Of more than MAX_KEYS keys, a random sample
-    of about so many over all rows is taken.
+    A key that holds several shares is given once, as no split can divide it. Up to MAX_KEYS keys are cut on the driver;
+    more are sorted and numbered by ranges, so that the same points come from all of them.
     """
     held = sample.select(key).where(F.col(key).isNotNull())
     n = held.count()
-    weights = (held if n <= MAX_KEYS else held.sample(MAX_KEYS / n, seed)).groupBy(key).agg(F.count("*").alias("weight")).collect()
-    if not weights:
-        return []
-    weights.sort(key=lambda r: r[0])
-    upto = np.cumsum([r[1] for r in weights])
-    shares = np.arange(1, partitions) * int(upto[-1]) // partitions
+    shares = np.unique(np.arange(1, partitions) * n // partitions).tolist() if n else []
+    if n > MAX_KEYS:
+        placed = numbered(held, key, name="_gridmill_place").where(F.col("_gridmill_place").isin([p + 1 for p in shares]))
+        return sorted({r[0] for r in placed.collect()})
+    weights = sorted(map(tuple, held.groupBy(key).agg(F.count("*").alias("weight")).collect()), key=lambda r: r[0])
+    upto = np.cumsum([w for _, w in weights])
     return [weights[i][0] for i in np.unique(np.searchsorted(upto, shares, side="right")).tolist()]
