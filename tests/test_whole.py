@@ -5,7 +5,7 @@ import random
 import pytest
 
 from gridmill.operators import grid as GR
-from gridmill.operators import sampling
+from gridmill.operators import keyjoin, sampling
 from gridmill.operators import spatial_join as SJ
 from gridmill.operators.index import build
 from gridmill.plans import queries as plans
@@ -66,3 +66,22 @@ def test_given_cells_are_cut_and_carried_on(spark, monkeypatch):
     for cells in (given, None, GR.Grid(0, 0, 10, 10, 5, 5), GR.Grid(-1000, -1000, 4000, 4000, 1, 1)):
         assert sorted(map(tuple, SJ.sweep_join(a, b, cells, ["l_id", "r_id"]).collect())) == want
         assert sorted(map(tuple, SJ.spatial_join(a, b, cells).select("l_id", "r_id").collect())) == want
+
+
+def test_split_points_are_exact_beyond_the_driver(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 4).selectExpr("if(id < 900, 7, id * 7919 % 3001) AS k")
+    want = sampling.split_points(df, "k", 8)
+    monkeypatch.setattr(sampling, "MAX_KEYS", 100)
+    assert sampling.split_points(df, "k", 8) == want
+
+
+def test_key_joins_of_frequent_keys_are_cut(spark, monkeypatch):
+    frames = [spark.createDataFrame([(k if k < 6 else None, i * 10 + k) for k in ks for i in range(n)], "k int, v int") for ks, n in (((0, 1, 2, 6), 40), ((0, 1, 3, 6), 9), ((0, 2, 4, 6), 3))]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    inner, outer = rows(keyjoin.inner_join(*frames, key="k")), rows(keyjoin.outer_join(*frames, key="k"))
+    assert len(inner) == 40 * 9 * 3 and len(outer) == 40 * 9 * 3 + 40 * 9 + 40 * 3 + 9 + 3 + 40 + 9 + 3
+    monkeypatch.setattr(keyjoin, "PRODUCT_ROWS", 50)
+    cut = keyjoin.inner_join(*frames, key="k")
+    assert rows(cut) == inner and rows(keyjoin.outer_join(*frames, key="k")) == outer
+    # The frequent key's product is given by many tasks.
+    assert len({r[0] for r in cut.select(plans.F.spark_partition_id()).collect()}) > 10
