@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The largest filter that is built and sent to tasks; beyond it false hits grow, and nothing else changes.
 MAX_BYTES = 64 << 20
+#: Places that come to the driver as one row of bytes.
+BLOCK = 1 << 14
 
 
 class Filter:
@@ -25,8 +27,12 @@ class Filter:
         low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
         return ((low[:, None] + np.arange(self.hashes, dtype=np.uint64) * high[:, None]) % np.uint64(self.places)).astype(np.int64)
 
+    def part(self, h: np.ndarray) -> np.ndarray:
+        """The filter of the row that a key goes to."""
+        return ((h.astype(np.uint64) >> np.uint64(7)) % np.uint64(len(self.counts))).astype(np.int64)
+
     def holds(self, h: np.ndarray) -> np.ndarray:
-        return (self.counts[:, self.at(h)] > 0).all(axis=2).any(axis=0)
+        return (self.counts[self.part(h)[:, None], self.at(h)] > 0).all(axis=1)
 
     def may_hold(self, df: DataFrame, key: str) -> DataFrame:
         """Rows whose key may be held; none that is held is missing."""
@@ -58,17 +64,25 @@ def _filled(df: DataFrame, key: str, places: int, hashes: int, parts: int = 1) -
     def run(batches):
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False)
-            part = (h.astype(np.uint64) >> np.uint64(7)) % np.uint64(parts)
+            part = out.part(h)
             at = out.at(h)
             # A key counts once at each of its places.
             first = np.ones(at.shape, bool)
             for k in range(1, hashes):
                 first[:, k] = (at[:, :k] != at[:, k : k + 1]).all(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.astype(np.int64), hashes)[first.ravel()]), pa.array(at.ravel()[first.ravel()])], ["part", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, hashes)[first.ravel()]), pa.array(at.ravel()[first.ravel()])], ["part", "place"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        block = np.zeros(BLOCK, np.uint8)
+        block[table.column("place").to_numpy() % BLOCK] = table.column("n").to_numpy()
+        return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "counts": pa.array([block.tobytes()], pa.binary())})
 
     keys = df.select(F.xxhash64(key).alias("h")).distinct()
-    for batch in [keys.mapInArrow(run, "part long, place long").groupBy("part", "place").agg(F.least(F.count("*"), F.lit(255)).alias("n")).toArrow()]:
-        out.counts[batch.column("part").to_numpy(), batch.column("place").to_numpy()] = batch.column("n").to_numpy()
+    counts = keys.mapInArrow(run, "part long, place long").groupBy("part", "place").agg(F.least(F.count("*"), F.lit(255)).alias("n"))
+    blocks = counts.withColumn("block", F.floor(F.col("place") / BLOCK)).groupBy("part", "block").applyInArrow(packed, "part long, block long, counts binary")
+    for part, block, data in zip(*(c.to_pylist() for c in blocks.toArrow().columns), strict=True):
+        row = out.counts[part, block * BLOCK : (block + 1) * BLOCK]
+        row[:] = np.frombuffer(data, np.uint8)[: len(row)]
     return out
 
 
