@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,10 +123,22 @@ def sort_columns(text, spec: str, separator: str = "\t") -> list[Column]:
 
 def byte_hash(text: Column, start: int = 1) -> Column:
     """The 31-based hash of a text's bytes, as a signed 32-bit number."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(text), (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))
-    signed = F.transform(codes, lambda v: F.when(v > 127, v - 256).otherwise(v))
-    wrap = lambda v: F.when(F.pmod(v, F.lit(1 << 32)) >= 1 << 31, F.pmod(v, F.lit(1 << 32)) - (1 << 32)).otherwise(F.pmod(v, F.lit(1 << 32)))
-    return F.when(F.length(text) == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(signed, F.lit(start).cast("bigint"), lambda h, v: wrap(h * 31 + v)))
+    # Whole batches at once: a round for each place, over the texts that reach it.
+    @F.arrow_udf("long")
+    def hashed(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary())
+        size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(t for t in texts.to_pylist() if t), np.int8)
+        at = np.cumsum(size) - size
+        h = np.where(size == 0, 0, start).astype(np.int32)
+        left, i = np.flatnonzero(size), 0
+        while len(left):
+            h[left] = h[left] * np.int32(31) + data[at[left] + i]
+            i += 1
+            left = left[size[left] > i]
+        return pa.array(h.astype(np.int64), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return hashed(text.cast("binary"))
 
 
 def key_partition(text, spec: str, n: int, separator: str = "\t") -> Column:

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from gridmill.functions import bloom, text
 from gridmill.operators import grid as GR
 from gridmill.operators import keyjoin, sampling
 from gridmill.operators import spatial_join as SJ
@@ -85,3 +87,26 @@ def test_key_joins_of_frequent_keys_are_cut(spark, monkeypatch):
     assert rows(cut) == inner and rows(keyjoin.outer_join(*frames, key="k")) == outer
     # The frequent key's product is given by many tasks.
     assert len({r[0] for r in cut.select(plans.F.spark_partition_id()).collect()}) > 10
+
+
+def test_filters_come_to_the_driver_as_blocks(spark):
+    df = spark.range(0, 90_000).withColumnRenamed("id", "k")
+    got = bloom._filled(df, "k", 300_000, 4, 2)
+    h = np.array([r[0] for r in df.select(plans.F.xxhash64("k")).collect()])
+    want = bloom.Filter(300_000, 4, 2)
+    for part, row in zip(want.part(h), want.at(h)):
+        for place in set(row.tolist()):
+            want.counts[part, place] += 1
+    assert (got.counts == want.counts).all() and got.holds(h).all()
+
+
+def test_byte_hash_of_batches(spark):
+    texts = ["", "a", "é中", "x" * 300, None, "-\x00-"]
+    def plain(v, h):
+        for b in v.encode():
+            h = (h * 31 + (b - 256 if b > 127 else b)) % 2**32
+        return (h - 2**32 if h >= 2**31 else h) if v else 0
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for start in (0, 1):
+        assert [r[0] for r in df.select(text.byte_hash(plans.F.col("t"), start)).collect()] == [None if t is None else plain(t, start) for t in texts]
+        assert "ArrowEvalPython" in df.select(text.byte_hash(plans.F.col("t"), start))._jdf.queryExecution().toString()
