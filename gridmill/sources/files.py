@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import glob
+import os
+import shutil
 from collections.abc import Callable, Iterable
 from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,6 +272,37 @@ def write_table(df: DataFrame, url: str, table: str, properties: dict | None = N
     df.write.jdbc(url, table, mode=mode, properties=properties or {})
 
 
+_DERBY = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "string": "CLOB"}
+
+
+def embedded_database(df: DataFrame, path: str, table: str) -> tuple[str, dict]:
+    """The URL and properties of a database of one table under ``path``, a folder that all nodes see as a local one.
+
+    Spark's embedded database serves one process at a time. So tasks write the rows as text, the driver has the database
+    load these files, and what is read is an archive of it, which any number of processes may open at once.
+    """
+    if not path.startswith(("file:", "/")):
+        raise ValueError("an embedded database needs a shared folder that all nodes see as a local one")
+    jvm, root = df.sparkSession._jvm, "/" + path.removeprefix("file:").lstrip("/")
+    texts = [F.concat(F.lit('"'), F.replace(F.col(n), F.lit('"'), F.lit('""')), F.lit('"')) if k == "string" else F.col(n).cast("string") for n, k in df.dtypes]
+    df.select(F.concat_ws(",", *(F.coalesce(c, F.lit("")) for c in texts)).alias("value")).write.text(f"{path}/rows")
+    jvm.org.apache.derby.jdbc.EmbeddedDriver()
+    connection = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{root}/made/db;create=true")
+    statement = connection.createStatement()
+    statement.execute(f"CREATE TABLE {table} (" + ", ".join(f'"{n}" {_DERBY[t]}' for n, t in df.dtypes) + ")")
+    for name in sorted(glob.glob(f"{root}/rows/part-*")):
+        if os.path.getsize(name):
+            statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table}', '{name}', ',', '\"', 'UTF-8', 0)")
+    connection.close()
+    try:
+        jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{root}/made/db;shutdown=true")
+    except Py4JJavaError as e:  # how the database tells that it has shut down
+        if e.java_exception.getSQLState() != "08006":
+            raise
+    shutil.make_archive(f"{root}/db", "zip", f"{root}/made")
+    return f"jdbc:derby:jar:({root}/db.zip)db", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
 def box_of(kind: str) -> Box:
     """The box columns of a kind of shape that has them."""
     return Box("x", "y", F.lit(1), F.lit(1)) if kind == "point" else Box()

@@ -11,6 +11,7 @@ from gridmill.operators import keyjoin, sampling
 from gridmill.operators import spatial_join as SJ
 from gridmill.operators.index import build
 from gridmill.plans import queries as plans
+from gridmill.sources import files
 
 
 @pytest.mark.parametrize(("name", "rows"), [("J08_inner_join", None), ("J09_outer_join", None), ("J10_override_join", 25), ("J11_join_expression", None)])
@@ -110,3 +111,11 @@ def test_byte_hash_of_batches(spark):
     for start in (0, 1):
         assert [r[0] for r in df.select(text.byte_hash(plans.F.col("t"), start)).collect()] == [None if t is None else plain(t, start) for t in texts]
         assert "ArrowEvalPython" in df.select(text.byte_hash(plans.F.col("t"), start))._jdf.queryExecution().toString()
+
+
+def test_embedded_database_keeps_all_values(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (3, ""), (4, 'x "y", z'), (5, "two\nlines"), (6, "back\\slash"), (None, "é中"), (7, " lead ")]
+    url, properties = files.embedded_database(spark.createDataFrame(rows, "k long, v string").repartition(3), f"file://{tmp_path}", "T")
+    # An archive: a second process can open it beside this one.
+    assert url.startswith("jdbc:derby:jar:")
+    assert sorted(map(tuple, files.read_table(spark, url, "T", properties=properties).collect()), key=repr) == sorted(rows, key=repr)
