@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 from ..functions.geometry import Box
 from .grid import ROWS_PER_CELL, Cells, Grid, _extent, assign, grid_for_join
 from .index import Index
-from .selection import in_cell
 
 #: Cell pairs that may be broadcast: a bound on the index tables, checked on the driver.
 MAX_PAIRS = 1_000_000
@@ -22,6 +21,8 @@ SWEEP_ROWS = 2000
 #: Rows that are swept at once, about, and pairs that are looked at and given at once.
 SWEEP_AT_ONCE = 50_000
 PAIRS_AT_ONCE = 500_000
+#: Rows that are dealt to cells at once, about.
+DEALT_AT_ONCE = 100_000
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
@@ -32,14 +33,14 @@ def _box(side: str) -> Box:
     return Box(*(f"{side}_{c}" for c in ("x", "y", "width", "height")))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, left_box: Box | None = None, right_box: Box | None = None) -> DataFrame:
-    """Pairs of overlapping rows, columns named l_* and r_*: both sides replicated to cells, each pair kept in one cell only.
+def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, left_box: Box | None = None, right_box: Box | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Pairs of overlapping rows, columns named l_* and r_* (those in ``columns``, by default all): both sides replicated to cells, each pair kept in one cell only.
 
     Without cells, a grid is laid by the sides' sizes. True duplicates in the inputs give pairs of their own. Given cells
     are cut and carried on as :func:`_laid` says, so crowded ones are not searched row against row and nothing is beyond them.
     """
     left, right = _flat(left, left_box), _flat(right, right_box)
-    return _met(left, right, _laid(left, right, cells, ROWS_PER_CELL))
+    return _met(left, right, _laid(left, right, cells, ROWS_PER_CELL), columns)
 
 
 def _laid(left: DataFrame, right: DataFrame, cells: Cells | None, rows_per_cell: int) -> Grid:
@@ -61,18 +62,73 @@ def _carried_on(start: int, size: int, n: int, low: int, extent: int, fine: int)
     return start - before * size, (before + 1 + after) * size, (before + 1 + after) * cut
 
 
-def _met(left: DataFrame, right: DataFrame, cells: Cells) -> DataFrame:
-    a = assign(_named(left, "l"), cells, _box("l")).drop("is_home").where("cell_id >= 0")
-    b = assign(_named(right, "r"), cells, _box("r")).drop("is_home").where("cell_id >= 0")
-    pairs = a.join(b, "cell_id").where(_box("l").overlaps(_box("r")))
-    return pairs.where(in_cell(cells, F.col("cell_id"), _box("l"), _box("r"))).drop("cell_id")
+def _edges(cells: Grid) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([cells.x + cells.width * c // cells.cols for c in range(cells.cols + 1)], np.int64), np.array([cells.y + cells.height * r // cells.rows for r in range(cells.rows + 1)], np.int64)
 
 
-def _with_beyond(met: DataFrame, left: DataFrame, right: DataFrame, within: Column) -> DataFrame:
+def _dealt(df: DataFrame, cells: Grid, side: str, columns: list[str] | None = None, part: Box | None = None) -> DataFrame:
+    """Rows of a side with a row for each cell that the box overlaps (its ``part`` only, if one is given), in ``cell_id``.
+
+    ``_gridmill_l`` or ``_gridmill_r`` tells where the box begins in the cell: 1 on x, 2 on y, 3 on both. Of the other
+    columns those in ``columns`` are kept, by default all. Whole batches are dealt, by the cells' edges.
+    """
+    box = _box(side)
+    at = {f"_gridmill_{side}{n}": c.cast("bigint") for n, c in (("x", box.x), ("y", box.y), ("w", box.width), ("h", box.height))}
+    parts = {} if part is None else {f"_gridmill_part_{n}": c for n, c in (("x", part.x), ("y", part.y), ("x2", part.x2), ("y2", part.y2))}
+    kept = [c for c in df.columns if columns is None or c in columns]
+    rows = df.select(*kept, *(c.alias(n) for n, c in {**at, **parts}.items())).dropna(subset=list(at))
+    out = StructType([f for f in rows.schema.fields if f.name not in parts]).add("cell_id", "long").add(f"_gridmill_{side}", "byte")
+    box_names, part_names, names = list(at), list(parts), out.names
+
+    def deal(batches):
+        x_edges, y_edges = _edges(cells)
+        for batch in batches:
+            x, y, w, h = (batch.column(n).to_numpy(zero_copy_only=False) for n in box_names)
+            low, high = [np.maximum(x, x_edges[0]), np.maximum(y, y_edges[0])], [np.minimum(x + np.maximum(w, 1), x_edges[-1]) - 1, np.minimum(y + np.maximum(h, 1), y_edges[-1]) - 1]
+            begins = [np.ones(len(x), bool)] * 2
+            if part_names:
+                from_x, from_y, to_x, to_y = (batch.column(n).to_numpy(zero_copy_only=False) for n in part_names)
+                begins = [low[0] >= from_x, low[1] >= from_y]
+                low, high = [np.maximum(low[0], from_x), np.maximum(low[1], from_y)], [np.minimum(high[0], to_x - 1), np.minimum(high[1], to_y - 1)]
+            here = np.flatnonzero((low[0] <= high[0]) & (low[1] <= high[1]))
+            col, row = (np.searchsorted(e, v[here], side="right") - 1 for e, v in zip((x_edges, y_edges), low, strict=True))
+            cols, rows_ = (np.searchsorted(e, v[here], side="right") - c for e, v, c in zip((x_edges, y_edges), high, (col, row), strict=True))
+            upto = np.cumsum(cols * rows_)
+            cuts = [0, *(np.searchsorted(upto, np.arange(DEALT_AT_ONCE, upto[-1], DEALT_AT_ONCE)) + 1).tolist(), len(here)] if len(here) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                n, tall = (cols[a:b] * rows_[a:b]), rows_[a:b]
+                of = np.repeat(np.arange(b - a), n)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                i, j = nth // tall[of], nth % tall[of]
+                own = (begins[0][here[a:b]][of] & (i == 0)) + 2 * (begins[1][here[a:b]][of] & (j == 0)).astype(np.int8)
+                cell = (col[a:b][of] + i) * cells.rows + row[a:b][of] + j
+                picked = pa.array(here[a:b][of])
+                yield pa.RecordBatch.from_arrays([*(batch.column(name).take(picked) for name in names[:-2]), pa.array(cell.astype(np.int64)), pa.array(own.astype(np.int8))], names=names)
+
+    return rows.mapInArrow(deal, out)
+
+
+def _met(left: DataFrame, right: DataFrame, cells: Grid, columns: list[str] | None = None) -> DataFrame:
+    return _meet(_dealt(_named(left, "l"), cells, "l", columns), _dealt(_named(right, "r"), cells, "r", columns), ["cell_id"])
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlapping pairs of dealt rows, each in the one cell where the later beginning lies on both axes.
+
+    Both sides are sorted, at any size: a cell's rows are then looked through one after another in memory.
+    """
+    pairs = a.hint("merge").join(b.hint("merge"), keys).where(F.col("_gridmill_l").bitwiseOR(F.col("_gridmill_r")) == 3)
+    l, r = (Box(*(f"_gridmill_{side}{n}" for n in "xywh")) for side in "lr")
+    return pairs.where(l.overlaps(r)).select([c for c in (*a.columns, *b.columns) if c not in keys and not c.startswith("_gridmill_")])
+
+
+def _with_beyond(met: DataFrame, left: DataFrame, right: DataFrame, within: Column, columns: list[str] | None = None) -> DataFrame:
     """``met``, the pairs of shapes ``within`` some bounds, and those of which one shape or both reach beyond."""
     for a, b, beyond in ((left.where(~within), right, left), (left.where(within), right.where(~within), right)):
         if not beyond.where(~within).isEmpty():
-            met = met.unionByName(spatial_join(a, b))
+            met = met.unionByName(spatial_join(a, b, columns=columns))
     return met
 
 
@@ -102,27 +158,30 @@ def _within(left: Cells, right: Cells, box: Box) -> Column:
     return (box.x >= max(low[0], r_low[0])) & (box.x + w <= min(high[0], r_high[0])) & (box.y >= max(low[1], r_low[1])) & (box.y + h <= min(high[1], r_high[1]))
 
 
-def distributed_join(spark: SparkSession, left: Index, right: Index) -> DataFrame:
-    """Pairs of overlapping rows of two indexes, met through the table of overlapping cells.
+def distributed_join(spark: SparkSession, left: Index, right: Index, columns: list[str] | None = None) -> DataFrame:
+    """Pairs of overlapping rows of two indexes, met through the table of overlapping cells (``columns``: those of the result that are wanted, by default all).
 
     Within a pair of cells, rows meet in the cells of a fine grid, so that large cells are not searched row against row.
     Shapes that reach beyond the cells of either index are joined by themselves, on a grid over both sides.
     """
     pairs = cell_pairs(left.cells, right.cells, MAX_PAIRS)
     if pairs is None:
-        return spatial_join(left.home(spark), right.home(spark))
-    table = F.broadcast(spark.createDataFrame(pairs or [(-2, -2)], "l_own long, r_own long"))
+        return spatial_join(left.home(spark), right.home(spark), columns=columns)
+    # What two cells have in common, by number: rows are dealt within it only, so a row is not repeated for each other cell.
+    bounds = [{c: (x, y, x + w, y + h) for c, x, y, w, h in cells.bounds()} for cells in (left.cells, right.cells)]
+    common = [(c, d, n, *map(max, bounds[0][c][:2], bounds[1][d][:2]), *map(min, bounds[0][c][2:], bounds[1][d][2:])) for n, (c, d) in enumerate(pairs)]
+    table = F.broadcast(spark.createDataFrame(common or [(-2, -2, 0, 0, 0, 0, 0)], "l_own long, r_own long, _pair long, _x long, _y long, _x2 long, _y2 long"))
     within = _within(left.cells, right.cells, Box())
     a, b = left.home(spark), right.home(spark)
     fine = grid_for_join(a, b)
-    sides = {}
-    for side, index in (("l", left), ("r", right)):
-        rows = index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where(within)
-        sides[side] = assign(_named(rows, side), fine, _box(side)).drop("is_home").join(table, f"{side}_own")
-    met = sides["l"].join(sides["r"], ["cell_id", "l_own", "r_own"]).where(_box("l").overlaps(_box("r")))
-    for cells, name in ((fine, "cell_id"), (left.cells, "l_own"), (right.cells, "r_own")):
-        met = met.where(in_cell(cells, F.col(name), _box("l"), _box("r")))
-    return _with_beyond(met.drop("cell_id", "l_own", "r_own"), a, b, within)
+    part = Box("_x", "_y", F.col("_x2") - F.col("_x"), F.col("_y2") - F.col("_y"))
+    dealt = []
+    for side, index, home in (("l", left, a), ("r", right, b)):
+        rows = _named(index.data(spark).drop("is_home").withColumnRenamed("cell_id", "own").where(within), side).join(table, f"{side}_own")
+        wanted = [f"{side}_{c}" for c in home.columns if columns is None or f"{side}_{c}" in columns]
+        rows = _dealt(rows, fine, side, [*wanted, "_pair"], part)
+        dealt.append(rows.withColumn("cell_id", F.col("_pair") * (fine.cols * fine.rows) + F.col("cell_id")).drop("_pair"))
+    return _with_beyond(_meet(*dealt, ["cell_id"]), a, b, within, columns)
 
 
 def should_repartition(left: Cells, right: Cells) -> bool:
@@ -132,11 +191,11 @@ def should_repartition(left: Cells, right: Cells) -> bool:
     return pairs is None
 
 
-def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: str = "auto") -> DataFrame:
+def join_indexed(spark: SparkSession, left: Index, right: Index, repartition: str = "auto", columns: list[str] | None = None) -> DataFrame:
     """Pairs of two indexes; ``repartition``: auto, yes or no. Columns stay (left, right) whichever side is dealt anew."""
     if repartition == "yes" or (repartition == "auto" and should_repartition(left.cells, right.cells)):
-        return spatial_join(left.home(spark), right.home(spark))
-    return distributed_join(spark, left, right)
+        return spatial_join(left.home(spark), right.home(spark), columns=columns)
+    return distributed_join(spark, left, right, columns)
 
 
 def plane_sweep(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

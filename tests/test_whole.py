@@ -119,3 +119,32 @@ def test_embedded_database_keeps_all_values(spark, tmp_path):
     # An archive: a second process can open it beside this one.
     assert url.startswith("jdbc:derby:jar:")
     assert sorted(map(tuple, files.read_table(spark, url, "T", properties=properties).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_spatial_joins_deal_whole_batches(spark, monkeypatch):
+    r = random.Random(11)
+    a, b = (spark.createDataFrame([(i, r.randrange(0, 2000), r.randrange(0, 2000), r.randrange(0, 300), r.randrange(0, 5)) for i in range(n)], "id long, x long, y long, width long, height long") for n in (3000, 500))
+    # Flat boxes get flat cells.
+    grid = GR.grid_for_join(a, b, rows_per_cell=1)
+    assert grid.cols < 20 < 50 < grid.rows
+    monkeypatch.setattr(SJ, "DEALT_AT_ONCE", 40)
+    got = SJ.spatial_join(a, b, columns=["l_id", "r_id"])
+    plan = got._jdf.queryExecution().toString()
+    # Neither side is sent to all tasks, and cells are not found by expressions, which are too long to be compiled.
+    assert "MapInArrow" in plan and "SortMergeJoin" in plan and "sequence(" not in plan
+    want = sorted(map(tuple, a.alias("l").crossJoin(b.alias("r")).where("l.x + l.width > r.x and r.x + r.width > l.x and l.y + l.height > r.y and r.y + r.height > l.y").select("l.id", "r.id").collect()))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_indexed_join_deals_rows_in_common_parts_only(spark, tmp_path):
+    rows = [(i, i % 100 * 10, i // 100 * 100, 3, 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x long, y long, width long, height long")
+    left, right = build(df, str(tmp_path / "a"), GR.Grid(0, 0, 1000, 1000, 4, 4)), build(df, str(tmp_path / "b"), GR.Grid(0, 0, 1000, 1000, 3, 3))
+    dealt = []
+    meet = SJ._meet
+    SJ._meet = lambda a, b, keys: dealt.append((a.count(), b.count())) or meet(a, b, keys)
+    try:
+        assert SJ.join_indexed(spark, left, right, "no").count() == 1000
+    finally:
+        SJ._meet = meet
+    assert max(dealt[0]) < 1500
