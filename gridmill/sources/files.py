@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import glob
 import os
-import shutil
+import zipfile
 from collections.abc import Callable, Iterable
 from decimal import Decimal
 
@@ -272,7 +272,7 @@ def write_table(df: DataFrame, url: str, table: str, properties: dict | None = N
     df.write.jdbc(url, table, mode=mode, properties=properties or {})
 
 
-_DERBY = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "string": "CLOB"}
+_DERBY = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "float": "REAL", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "string": "CLOB"}
 
 
 def embedded_database(df: DataFrame, path: str, table: str) -> tuple[str, dict]:
@@ -299,7 +299,12 @@ def embedded_database(df: DataFrame, path: str, table: str) -> tuple[str, dict]:
     except Py4JJavaError as e:  # how the database tells that it has shut down
         if e.java_exception.getSQLState() != "08006":
             raise
-    shutil.make_archive(f"{root}/db", "zip", f"{root}/made")
+    # Stored, not deflated: a page is then found by its place, where a deflated table would be read from its start for each page.
+    with zipfile.ZipFile(f"{root}/part", "w", zipfile.ZIP_STORED) as archive:
+        for folder, _, names in sorted(os.walk(f"{root}/made")):
+            for name in ("", *sorted(names)):
+                archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), f"{root}/made"))
+    os.replace(f"{root}/part", f"{root}/db.zip")
     return f"jdbc:derby:jar:({root}/db.zip)db", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 

@@ -1,6 +1,7 @@
 """Each query or operator does the whole job: nothing that belongs to a result is left out."""
 
 import random
+import zipfile
 
 import numpy as np
 import pytest
@@ -148,3 +149,10 @@ def test_indexed_join_deals_rows_in_common_parts_only(spark, tmp_path):
     finally:
         SJ._meet = meet
     assert max(dealt[0]) < 1500
+
+
+def test_embedded_database_is_read_by_place(spark, tmp_path):
+    url, properties = files.embedded_database(spark.range(5000).selectExpr("id AS k", "cast(id AS float) AS v"), f"file://{tmp_path}", "T")
+    # A deflated table would be inflated from its start for each page.
+    assert {i.compress_type for i in zipfile.ZipFile(f"{tmp_path}/db.zip").infolist()} == {zipfile.ZIP_STORED}
+    assert files.read_table(spark, url, "T", '"k"', 0, 4999, 4, properties).distinct().count() == 5000
