@@ -25,6 +25,7 @@ def _product(sources: list[DataFrame], key: str) -> DataFrame:
 
     A key whose product is beyond PRODUCT_ROWS is cut in slices: its rows in the source that has most of them are dealt out,
     the others' rows go to each slice. All sources are dealt once, so no product is shuffled.
+    They are joined from the smallest to the largest, so that what is joined on stays small.
     """
     sizes = reduce(lambda a, b: a.join(b, key), (f.groupBy(key).agg(F.count("*").alias(f"_n{i}")) for i, f in enumerate(sources)))
     ns = [F.col(f"_n{i}") for i in range(len(sources))]
@@ -32,8 +33,9 @@ def _product(sources: list[DataFrame], key: str) -> DataFrame:
     most = F.greatest(*ns) if len(ns) > 1 else ns[0]
     slices = F.least(F.ceil(rows / PRODUCT_ROWS), most).cast("long")
     dealt = F.coalesce(*(F.when(n == most, F.lit(i)) for i, n in enumerate(ns)))
-    large = sizes.where(rows > PRODUCT_ROWS).select(key, slices.alias("_slices"), dealt.alias("_dealt"))
-    total = large.agg(F.sum("_slices")).first()[0]
+    beyond = sizes.where(rows > PRODUCT_ROWS).select(key, slices.alias("_slices"), dealt.alias("_dealt"), *ns)
+    total, *frequent = beyond.agg(F.sum("_slices"), *map(F.sum, ns)).first()
+    large = beyond.select(key, "_slices", "_dealt")
     if not total:
         return reduce(lambda a, b: a.join(b, key), sources)
     tasks = max(64, min(2048, total))
@@ -44,6 +46,7 @@ def _product(sources: list[DataFrame], key: str) -> DataFrame:
         values = F.to_json(f"s{i}") if "map<" in f.schema[f"s{i}"].dataType.simpleString() else F.col(f"s{i}")
         own = F.when(F.col("_dealt") == i, F.array(F.pmod(F.xxhash64(values, F.lit(i)), F.col("_slices")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))
         heavy.append(f.join(large, key).select(*f.columns, F.explode(own).alias("_slice")).repartition(tasks, key, "_slice"))
+    heavy = [heavy[i] for i in sorted(range(len(heavy)), key=frequent.__getitem__)]
     out = reduce(lambda a, b: a.hint("merge").join(b.hint("merge"), [key, "_slice"]), heavy).drop("_slice")
     return reduce(lambda a, b: a.join(b, key), light).unionByName(out)
 

@@ -1,6 +1,7 @@
 """Each query or operator does the whole job: nothing that belongs to a result is left out."""
 
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -156,3 +157,13 @@ def test_embedded_database_is_read_by_place(spark, tmp_path):
     # A deflated table would be inflated from its start for each page.
     assert {i.compress_type for i in zipfile.ZipFile(f"{tmp_path}/db.zip").infolist()} == {zipfile.ZIP_STORED}
     assert files.read_table(spark, url, "T", '"k"', 0, 4999, 4, properties).distinct().count() == 5000
+
+
+def test_frequent_keys_are_joined_from_the_smallest(spark, monkeypatch):
+    frames = [spark.createDataFrame([(0, i) for i in range(n)], "k int, v int") for n in (30, 8, 2)]
+    monkeypatch.setattr(keyjoin, "PRODUCT_ROWS", 50)
+    got = keyjoin.inner_join(*frames, key="k").select("k", *(plans.F.col(f"s{i}.v").alias(f"v{i}") for i in range(3)))
+    assert {tuple(r) for r in got.collect()} == {(0, a, b, c) for a in range(30) for b in range(8) for c in range(2)} and got.count() == 480
+    # The largest comes last, so the product of the others is what it is joined to.
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert re.findall(r"RepartitionByExpression \[k#\d+, _slice#\d+L?\], \d+\n[^\n]*Project \[k#\d+, (s\d)#", plan) == ["s2", "s1", "s0"]
