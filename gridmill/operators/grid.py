@@ -191,8 +191,8 @@ def packed_for(df: DataFrame, cells: int, box: Box | None = None, sample: int =
 ROWS_PER_CELL = 64
 
 
-def grid_for_join(left: DataFrame, right: DataFrame, left_box: Box | None = None, right_box: Box | None = None, rows_per_cell: int = ROWS_PER_CELL) -> Grid:
-    """A grid over both sides, fine enough for short lists in its cells and on each axis no finer than the mean box of the side with the larger ones."""
+def grid_for_join(left: DataFrame, right: DataFrame, left_box: Box | None = None, right_box: Box | None = None, rows_per_cell: int = ROWS_PER_CELL, flat: bool = False) -> Grid:
+    """A grid over both sides, fine enough for short lists in its cells and on each axis no finer than the mean box of the side with the larger ones; ``flat``: as fine as that on y before x is cut."""
     got = []
     for df, box in ((left, left_box or Box()), (right, right_box or Box())):
         got.append(df.agg(F.count("*").alias("n"), F.min(box.x).alias("x"), F.min(box.y).alias("y"), F.max(box.x2).alias("x2"), F.max(box.y2).alias("y2"), F.avg(box.width).alias("w"), F.avg(box.height).alias("h")).first())
@@ -203,5 +203,5 @@ def grid_for_join(left: DataFrame, right: DataFrame, left_box: Box | None = None
     width, height = max(1, max(r.x2 for r in full) - x), max(1, max(r.y2 for r in full) - y)
     across, along = max(1.0, *(r.w for r in full)), max(1.0, *(r.h for r in full))
     cells = max(1, max(r.n for r in full) // rows_per_cell)
-    shape = math.sqrt(cells * width / height)
+    shape = cells / max(1, min(cells, int(height / along))) if flat else math.sqrt(cells * width / height)
     return Grid(x, y, width, height, max(1, min(int(shape), int(width / across))), max(1, min(int(cells / max(1.0, shape)), int(height / along))))

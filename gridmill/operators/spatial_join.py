@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.geometry import Box
-from .grid import ROWS_PER_CELL, Cells, Grid, _extent, assign, grid_for_join
+from .grid import ROWS_PER_CELL, Cells, Grid, _extent, grid_for_join
 from .index import Index
 
 #: Cell pairs that may be broadcast: a bound on the index tables, checked on the driver.
@@ -43,9 +43,9 @@ def spatial_join(left: DataFrame, right: DataFrame, cells: Cells | None = None,
     return _met(left, right, _laid(left, right, cells, ROWS_PER_CELL), columns)
 
 
-def _laid(left: DataFrame, right: DataFrame, cells: Cells | None, rows_per_cell: int) -> Grid:
+def _laid(left: DataFrame, right: DataFrame, cells: Cells | None, rows_per_cell: int, flat: bool = False) -> Grid:
     """A grid over both sides. A given grid's edges stay edges where its cells are larger than the sides' sizes ask for: each is cut in equal parts, and as many of these follow on each side as the shapes reach."""
-    fine = grid_for_join(left, right, rows_per_cell=rows_per_cell)
+    fine = grid_for_join(left, right, rows_per_cell=rows_per_cell, flat=flat)
     if not isinstance(cells, Grid):
         return fine
     x, width, cols = _carried_on(cells.x, cells.width, cells.cols, fine.x, fine.width, fine.cols)
@@ -219,6 +219,8 @@ def plane_sweep(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) ->
         if len(ids) > 1:
             return
     a_off, b_off = np.searchsorted(ids, a_cell) * span - low, np.searchsorted(ids, b_cell) * span - low
+    # Boxes without width begin in another without lying over it.
+    narrow = bool((ax2 <= ax).any() or (bx2 <= bx).any())
     # A pair's later beginning lies within the other box: of the left sides' (a tie counts here), then of the right ones'.
     for begin, end, other, tie, swap in ((ax + a_off, ax2 + a_off, bx + b_off, "left", False), (bx + b_off, bx2 + b_off, ax + a_off, "right", True)):
         first = np.searchsorted(other, begin, side=tie)
@@ -230,17 +232,20 @@ def plane_sweep(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) ->
             one = np.repeat(np.arange(k, m), part)
             two = np.arange(total) + np.repeat(first[k:m] - (np.cumsum(part) - part), part)
             i, j = (two, one) if swap else (one, two)
-            # A box without width begins in another without lying over it.
-            meet = (ay2[i] > by[j]) & (by2[j] > ay[i]) & (ax2[i] > bx[j]) & (bx2[j] > ax[i])
+            meet = (ay2[i] > by[j]) & (by2[j] > ay[i])
+            if narrow:
+                meet &= (ax2[i] > bx[j]) & (bx2[j] > ax[i])
+            meet = np.flatnonzero(meet)
             yield a_at[i[meet]], b_at[j[meet]]
 
 
 def sweep_join(left: DataFrame, right: DataFrame, cells: Cells | None = None, columns: list[str] | None = None) -> DataFrame:
     """As :func:`spatial_join`, by a plane sweep within each cell; ``columns``: those of the result that are wanted, by default all.
 
-    The shapes of one cell are in one task's memory, their pairs are not: these are given in blocks.
+    The shapes of one cell are in one task's memory, their pairs are not: these are given in blocks. Cells are strips along x, as
+    what is swept together but apart in y is looked at in vain.
     """
-    return _swept(left, right, _laid(left, right, cells, SWEEP_ROWS), columns)
+    return _swept(left, right, _laid(left, right, cells, SWEEP_ROWS, flat=True), columns)
 
 
 def _swept(left: DataFrame, right: DataFrame, cells: Grid, columns: list[str] | None = None) -> DataFrame:
@@ -248,32 +253,27 @@ def _swept(left: DataFrame, right: DataFrame, cells: Grid, columns: list[str] |
     fields = [f for d in named.values() for f in d.schema.fields if columns is None or f.name in columns]
     both = None
     for side, df in named.items():
-        box = _box(side)
-        at = [c.cast("bigint").alias(f"_gridmill_{n}") for n, c in (("x", box.x), ("y", box.y), ("w", box.width), ("h", box.height))]
+        at = [F.col(f"_gridmill_{side}{n}").alias(f"_gridmill_{n}") for n in ("x", "y", "w", "h")]
         rest = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
-        rows = assign(df, cells, box).where("cell_id >= 0").select("cell_id", F.lit(side == "r").alias("_gridmill_right"), *at, *rest)
+        rows = _dealt(df, cells, side, columns).select("cell_id", F.lit(side == "r").alias("_gridmill_right"), F.col(f"_gridmill_{side}").alias("_gridmill_begins"), *at, *rest)
         both = rows if both is None else both.unionByName(rows)
     names = [f.name for f in fields]
     ours = [n in named["l"].columns for n in names]
-    edges = [cells.x + cells.width * c // cells.cols for c in range(cells.cols + 1)], [cells.y + cells.height * r // cells.rows for r in range(cells.rows + 1)]
 
     def pairs(table: pa.Table):
         right = table.column("_gridmill_right").to_numpy()
-        x_edges, y_edges = (np.array(e, np.int64) for e in edges)
-        tables, boxes = [], []
+        tables, boxes, begins = [], [], []
         for side in (~right, right):
             t = table.filter(pa.array(side)).combine_chunks()
-            tables.append(t)
             boxes.append(tuple(t.column(n).to_numpy() for n in ("cell_id", "_gridmill_x", "_gridmill_y", "_gridmill_w", "_gridmill_h")))
-        (cell, ax, ay, *_), (_, bx, by, *_) = boxes
-        col, row = cell // cells.rows, cell % cells.rows
+            begins.append(t.column("_gridmill_begins").to_numpy())
+            tables.append([t.column(n).combine_chunks() for n, own in zip(names, ours, strict=True) if own == (len(tables) == 0)])
         for i, j in plane_sweep(*boxes):
-            # A pair is kept in the one cell that holds the lower corner of what is common.
-            x, y, c, r = np.maximum(ax[i], bx[j]), np.maximum(ay[i], by[j]), col[i], row[i]
-            home = (x >= x_edges[c]) & (x < x_edges[c + 1]) & (y >= y_edges[r]) & (y < y_edges[r + 1])
-            if home.any():
-                picked = [pa.array(v[home]) for v in (i, j)]
-                yield from pa.table([tables[0 if own else 1].column(n).take(picked[0 if own else 1]) for n, own in zip(names, ours, strict=True)], names).combine_chunks().to_batches(max_chunksize=100_000)
+            # A pair is kept in the one cell where the later beginning lies on both axes.
+            home = np.flatnonzero((begins[0][i] | begins[1][j]) == 3)
+            for k in range(0, len(home), 100_000):
+                picked = [pa.array(v[home[k : k + 100_000]]) for v in (i, j)]
+                yield pa.RecordBatch.from_arrays([c.take(at) for t, at in zip(tables, picked, strict=True) for c in t], names=names)
 
     def run(batches):
         held, n, enough = [], 0, SWEEP_AT_ONCE

@@ -167,3 +167,16 @@ def test_frequent_keys_are_joined_from_the_smallest(spark, monkeypatch):
     # The largest comes last, so the product of the others is what it is joined to.
     plan = got._jdf.queryExecution().analyzed().toString()
     assert re.findall(r"RepartitionByExpression \[k#\d+, _slice#\d+L?\], \d+\n[^\n]*Project \[k#\d+, (s\d)#", plan) == ["s2", "s1", "s0"]
+
+
+def test_sweeps_deal_whole_batches_to_strips(spark):
+    r = random.Random(12)
+    a, b = (spark.createDataFrame([(i, r.randrange(0, 1000), r.randrange(0, 1000), r.randrange(0, 40), r.randrange(0, 12)) for i in range(n)], "id long, x long, y long, width long, height long") for n in (4000, 900))
+    laid = SJ._laid(a, b, None, 50, flat=True)
+    assert laid.rows > 60 and laid.cols == 1
+    got = SJ.sweep_join(a, b, columns=["l_id", "r_id"])
+    plan = got._jdf.queryExecution().toString()
+    # Cells are found by whole batches, not by expressions.
+    assert plan.count("MapInArrow") >= 3 and "sequence(" not in plan
+    want = sorted(map(tuple, a.alias("l").crossJoin(b.alias("r")).where("l.x + l.width > r.x and r.x + r.width > l.x and l.y + l.height > r.y and r.y + r.height > l.y").select("l.id", "r.id").collect()))
+    assert sorted(map(tuple, got.collect())) == want
