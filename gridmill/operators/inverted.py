@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 16 << 20
 #: Rows of a batch that goes back to Spark.
 BATCH_ROWS = 200_000
+#: Documents deleted by one update that are sent to all executors; beyond them, index and deletions are dealt by key.
+GONE_MOST = 4_000_000
 #: Files that a task holds open; further shards are sorted first.
 OPEN_FILES = 16
 
@@ -132,6 +134,8 @@ def build(docs: DataFrame, path: str, key: str, text: str, shards: int = 8) -> N
 def update(index: DataFrame, changes: DataFrame, key: str, text: str, shards: int = 8) -> DataFrame:
     """The index's postings after ``changes`` (key, text, op: insert, delete or update): old postings of named documents go, new ones come."""
     gone = changes.where(F.col("op").isin("delete", "update")).select(key).distinct()
+    if gone.count() <= GONE_MOST:
+        gone = F.broadcast(gone)
     new = _postings(changes.where(F.col("op").isin("insert", "update")), key, text, shards)
     return index.join(gone, key, "left_anti").select(new.columns).unionByName(new)
 
