@@ -87,6 +87,19 @@ def _posted(key: str):
     return posted
 
 
+def _summed(batches):
+    """key, text to a block's sums for each term: term, n_docs, n_uses, first_doc."""
+    for keys, texts in _blocks(batches):
+        order = pc.array_sort_indices(keys)  # nulls come last
+        place = np.empty(len(keys), np.int64)
+        place[order.to_numpy()] = np.arange(len(keys))
+        terms, _, rank, place, n = _counted(texts, place)
+        starts = np.flatnonzero(np.diff(rank, prepend=-1))
+        docs, uses = np.diff(starts, append=len(rank)), np.add.reduceat(n, starts) if len(n) else n
+        first, rank = keys.take(order.take(pa.array(place[starts]))), rank[starts]
+        yield from _batches(["term", "n_docs", "n_uses", "first_doc"], len(rank), lambda s: [terms.take(pa.array(rank[s])), pa.array(docs[s], pa.int64()), pa.array(uses[s], pa.int64()), first[s]])
+
+
 def _repeated(docs: DataFrame, key: str) -> bool:
     """Whether some key has several rows."""
     return bool(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").take(1))
@@ -108,6 +121,15 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return _postings(docs, key, text, 1).drop("shard")
 
 
+def summary(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, n_docs, n_uses, first_doc) over all postings: the documents that use a term, its uses, the smallest key. Blocks of documents are summed before the shuffle by term."""
+    if _repeated(docs, key):
+        return postings(docs, key, text).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_uses"), F.min(key).alias("first_doc"))
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_uses", T.LongType()), T.StructField("first_doc", docs.schema[key].dataType)])
+    blocks = docs.select(key, text).mapInArrow(_summed, schema)
+    return blocks.groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_uses").alias("n_uses"), F.min("first_doc").alias("first_doc"))
+
+
 def shard_of(key: str, shards: int):
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 

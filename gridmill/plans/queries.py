@@ -521,9 +521,9 @@ query("X01_inverted_index", "SELECT term, count(*) AS n_docs, sum(n)::BIGINT AS
 
 
 def _inverted(t: Tables) -> DataFrame:
-    from ..operators.inverted import postings
+    from ..operators.inverted import summary
 
-    return postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_uses"), F.min("doc_id").alias("first_doc"))
+    return summary(t.documents, "doc_id", "text")
 
 
 def _per_file(t: Tables) -> DataFrame:
